@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup, warc
 from .binary_tokens import op3_binary_tokens
+from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
+from .warc import op8_warc
 
-QUERIES = (op3_binary_tokens, op4_mixing)
-SQL: dict[str, str] = {}
+QUERIES = (op3_binary_tokens, op4_mixing, op5_line_dedup, op8_warc)
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
