@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, warc
+from . import lattice, line_dedup, near_dups, warc
 from .binary_tokens import op3_binary_tokens
+from .lattice import op10_lattice
 from .line_dedup import op5_line_dedup
 from .mixing import op4_mixing
+from .near_dups import op6_near_dups
 from .warc import op8_warc
 
-QUERIES = (op3_binary_tokens, op4_mixing, op5_line_dedup, op8_warc)
-SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op8_warc": warc.SQL}
+QUERIES = (op3_binary_tokens, op4_mixing, op5_line_dedup, op6_near_dups, op8_warc, op10_lattice)
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_near_dups": near_dups.SQL, "op8_warc": warc.SQL, "op10_lattice": lattice.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
