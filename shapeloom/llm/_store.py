@@ -32,8 +32,13 @@ def files(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
+def spread(listed: DataFrame) -> DataFrame:
+    """A table of files, a task for each of them."""
+    return listed.repartition(max(1, listed.count()))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["StorageLevel", "files", "read", "shared", "table"]
+__all__ = ["StorageLevel", "files", "read", "shared", "spread", "table"]

@@ -32,7 +32,7 @@ from . import _store, _text
 
 END_ID = 2
 FRAME_IDS = 1 << 26
-MEMO_WORDS = 150_000
+MEMO_WORDS = 700_000
 # fixed values of the zstandard seekable format
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 MANIFEST = "part long, path string, n_docs long, n_tokens long, n_bytes long"
@@ -44,35 +44,56 @@ class WordEncoder:
 
     Words between white space are encoded apart, which gives the ids of the whole text as neither the
     normaliser nor the splitter of such a tokenizer sees across white space. Texts with the four
-    characters that Python takes for white space and the tokenizer does not are encoded whole.
+    characters that Python takes for white space and the tokenizer does not are encoded whole. A
+    closing mark after letters, which the tokenizer splits off, and ASCII capitals, which it lowers,
+    are taken off before a word is looked up. The memory is two generations of at most `most` words.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    MARKS = ".,;:!?|"
 
     def __init__(self, path: str, most: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), most, {}
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.tokenizer, self.most, self.new, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words) -> None:
+        new, old, asked = self.new, self.old, {}
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                new[w] = ids
+                continue
+            core, mark = (w[:-1], w[-1]) if w[-1] in self.marks and w[:-1].isalpha() else (w, "")
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+            ids = new.get(core) or old.get(core)
+            if ids is None:
+                asked.setdefault(core, []).append((w, mark))
+            else:
+                new[w] = ids + self.marks[mark] if mark else ids
+        cores = list(asked)
+        for at in range(0, len(cores), 2048):
+            part = cores[at : at + 2048]
+            for core, ids in zip(part, self._encode(part), strict=True):
+                new[core] = ids
+                for w, mark in asked[core]:
+                    new[w] = ids + self.marks[mark] if mark else ids
 
     def __call__(self, text: str) -> bytes:
         if any(c in text for c in self.ODD):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._encode([text])[0]
         words = text.split()
         try:
-            return b"".join(map(self.memo.__getitem__, words))
+            return b"".join(map(self.new.__getitem__, words))
         except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self.memo])
-            if any(w not in self.memo for w in words):  # the memo was emptied meanwhile
-                self._learn([w for w in dict.fromkeys(words) if w not in self.memo])
-            return b"".join(map(self.memo.__getitem__, words))
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
+            self._learn(set(words).difference(self.new))
+            return b"".join(map(self.new.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -199,7 +220,7 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return placed.select("path", "base").repartition(F.col("path")).mapInArrow(run, ROWS)
+    return _store.spread(placed.select("path", "base")).mapInArrow(run, ROWS)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

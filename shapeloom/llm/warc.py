@@ -154,7 +154,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     side.write("".join(index).encode())
                 yield pa.RecordBatch.from_arrays([pa.array([to]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "n_records", "n_bytes"])
 
-    return _store.table(archives.repartition("path").mapInArrow(run, ARCHIVES), "records")
+    return _store.table(_store.spread(archives).mapInArrow(run, ARCHIVES), "records")
 
 
 def open_record(f, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -194,7 +194,7 @@ def read_back(records: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return records.repartition("path").mapInArrow(run, ROWS)
+    return _store.spread(records).mapInArrow(run, ROWS)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
