@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import lattice, line_dedup, near_dups, warc
 from .binary_tokens import op3_binary_tokens
+from .decontaminate import op7_decontaminate
 from .lattice import op10_lattice
 from .line_dedup import op5_line_dedup
 from .maxent import op2_maxent
@@ -16,7 +17,7 @@ from .near_dups import op6_near_dups
 from .quality import op1_quality
 from .warc import op8_warc
 
-QUERIES = (op1_quality, op2_maxent, op3_binary_tokens, op4_mixing, op5_line_dedup, op6_near_dups, op8_warc, op10_lattice)
+QUERIES = (op1_quality, op2_maxent, op3_binary_tokens, op4_mixing, op5_line_dedup, op6_near_dups, op7_decontaminate, op8_warc, op10_lattice)
 SQL: dict[str, str] = {"op5_line_dedup": line_dedup.SQL, "op6_near_dups": near_dups.SQL, "op8_warc": warc.SQL, "op10_lattice": lattice.SQL}
 
 
