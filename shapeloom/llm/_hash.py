@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import _store
+from . import _store, _text
 
 
 class HashTable:
@@ -60,3 +65,38 @@ def load(uri: str, key: str, *values: str) -> HashTable:
         t = pq.read_table(path, columns=[key, *values], filesystem=fs)
         _held[uri] = HashTable(t[key].to_numpy().view(np.uint64), *(t[v].to_numpy() for v in values))
     return _held[uri]
+
+
+class Bloom:
+    """A filter of 64-bit keys: 32 bits a key, but 2**25 bits at least and 2**30 at most, three probes.
+
+    Its size is bounded whatever the number of keys, so that tasks may hold it; with very many keys more
+    false ones pass, which cost work and change no result.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.select(column).distinct().count()
+        self.bits = bits = min(30, max(25, math.ceil(math.log2(max(1, n) * 32))))
+        self.field = np.zeros(2**bits // 8, np.uint8)
+
+        def run(batches):
+            for rb in batches:
+                k = rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                at = np.unique(np.concatenate(list(probes(k, bits))))
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array((1 << (at & 7)).astype(np.int32))], names=["byte", "bit"])
+
+        filled = keys.select(column).mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+        for b in filled.toArrow().to_batches():  # at most a row a byte of the filter
+            self.field[b.column("byte").to_numpy()] = b.column("bits").to_numpy()
+
+    def has(self, k: np.ndarray) -> np.ndarray:
+        hit = np.ones(k.shape, bool)
+        for p in probes(k, self.bits):
+            hit &= (self.field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return hit
+
+
+def probes(k: np.ndarray, bits: int):
+    k = _text.mix(k)
+    for shift in (0, 17, 34):
+        yield ((k >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.int64)

@@ -23,18 +23,15 @@ null; empty tables give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from . import _hash, _store, _text
 
 WINDOW, STRIDE, WALKS, SAMPLES, STEPS, TAKEN = 12, 4, 3, 4, 2, 8
 PERCENT = 20
-MOST_BITS = 30
 _RNG = np.random.Generator(np.random.PCG64(4111))
 _TURN = _RNG.integers(0, 2**63, (WALKS, STEPS * WINDOW), dtype=np.uint64) | np.uint64(1)
 _SEED = _RNG.integers(0, 2**63, (WALKS, SAMPLES, STEPS * WINDOW), dtype=np.uint64) | np.uint64(1)
@@ -70,11 +67,6 @@ def keys(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _probes(k: np.ndarray, bits: int):
-    for shift in (0, 17, 34):
-        yield ((k >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.int64)
-
-
 def items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """(item, words, n): the distinct items that have words, by their smallest id."""
 
@@ -103,24 +95,6 @@ def item_keys(found: DataFrame) -> DataFrame:
     return _store.table(found.select("item", "words").mapInArrow(run, "k long, item long, at long").distinct(), "item-keys")
 
 
-def bloom(spark: SparkSession, known: DataFrame) -> tuple[np.ndarray, int]:
-    """A filter of the keys: 32 bits a key or more, of 2**25 to 2**MOST_BITS bits whatever their number."""
-    n = known.select("k").distinct().count()
-    bits = min(MOST_BITS, max(25, math.ceil(math.log2(max(1, n) * 32))))
-    out = np.zeros(2**bits // 8, np.uint8)
-
-    def run(batches):
-        for rb in batches:
-            k = rb.column("k").to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate(list(_probes(k, bits))))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array((1 << (at & 7)).astype(np.int32))], names=["byte", "bit"])
-
-    filled = known.select("k").mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    for b in filled.toArrow().to_batches():  # at most a row a byte of the filter
-        out[b.column("byte").to_numpy()] = b.column("bits").to_numpy()
-    return out, bits
-
-
 def passages(docs: DataFrame, sizes: list[int], longest: int, have, key: str, text: str) -> DataFrame:
     """(region, doc_id, words, hits): passages around windows whose keys are in the filter.
 
@@ -132,7 +106,7 @@ def passages(docs: DataFrame, sizes: list[int], longest: int, have, key: str, te
     def run(batches):
         from pyspark import TaskContext
 
-        field, bits = have.value
+        known = have.value
         region = TaskContext.get().partitionId() << 33
         for rb in _text.slices(batches, "t"):
             h, offs, starts, ends, data = _text.words(rb.column("t"))
@@ -142,10 +116,7 @@ def passages(docs: DataFrame, sizes: list[int], longest: int, have, key: str, te
             for size in sizes:
                 at = np.flatnonzero(place % STRIDE == 0) if size == WINDOW else np.arange(len(h))
                 k = keys(h, at, size)
-                hit = np.ones(k.shape, bool)
-                for p in _probes(k, bits):
-                    hit &= (field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                row, col = np.nonzero(hit)
+                row, col = np.nonzero(known.has(k))
                 pos.append(at[row])
                 ks.append(k[row, col])
             pos, ks = np.concatenate(pos), np.concatenate(ks)
@@ -227,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         return spark.createDataFrame([], "doc_id long, item_id long, distance long")
     known = item_keys(found)
     longest = found.agg(F.max("n")).first()[0]
-    have = spark.sparkContext.broadcast(bloom(spark, known))
+    have = spark.sparkContext.broadcast(_hash.Bloom(known, "k"))
     return matches(found, known, passages(docs, sizes, longest, have, key, text))
 
 

@@ -4,8 +4,9 @@
    band key for every ROWS samples, and an odd sketch: each sample (index, value) flips one of SKETCH
    bits, so that the number of ones in the XOR of two sketches estimates how many samples differ.
 2. Texts with equal sets form one class, found by grouping the digests; its smallest key stands for it.
-3. In each bucket of a band one member, drawn by hash, is paired with the others. Pairs whose sizes or
-   XOR counts cannot belong to similar sets go; the rest are verified on the full sets and linked.
+3. In each bucket of a band the smallest member is paired with the others. Pairs whose sizes or XOR
+   counts cannot belong to similar sets go; the rest are verified on the full sets and linked. Only the
+   texts in such pairs, told by a filter of bounded size, leave the scan.
 4. Buckets that still hold several components are searched through: every member outside the bucket's
    largest component meets all members of other components, with the same two tests inside the join.
    So no link between two components is left out, and members of one component never meet.
@@ -17,8 +18,8 @@ links, not the square of a group; a very common passage makes buckets of texts t
 whose pairs step 4 compares inside the join without emitting them.
 
 Cases: null and empty texts have an empty set, link with nothing and are their own component; texts of
-fewer words than a shingle have one shingle, the whole sequence; rows that share a key are one node; a
-row with a null key links with nothing, has no component and is kept; an empty table gives an empty
+fewer words than a shingle have one shingle, the whole sequence; of rows that share
+a key each has the component of its own text; a row with a null key links with nothing, has no component and is kept; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _hash, _text
 from ._graph import components
 from ._store import read, table
 
@@ -77,9 +78,9 @@ def _samples(s: np.ndarray) -> np.ndarray:
     return best
 
 
-def describe(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, d1, d2, bands, sketch) of every row; d1 and d2 are the digest of the set."""
-    schema = "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
+def describe(docs: DataFrame, size: int, key: str, text: str, carry: str | None = None) -> DataFrame:
+    """(doc_id, x, n, d1, d2, bands, sketch) of every row; d1 and d2 are the digest of the set, x what is carried."""
+    schema = "doc_id long, x long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
 
     def run(batches):
         for rb in _text.slices(batches, "text"):
@@ -99,9 +100,9 @@ def describe(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
             flips = np.bincount((np.arange(m)[:, None] * SKETCH + bit).ravel(), minlength=m * SKETCH).reshape(m, SKETCH) & 1
             sketch = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
             lists = [pa.ListArray.from_arrays(np.arange(0, (m + 1) * w, w, dtype=np.int32), pa.array(x.reshape(-1))) for x, w in ((bands.view(np.int64), BANDS), (sketch, SKETCH // 64))]
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), *lists], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("x"), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), *lists], names=["doc_id", "x", "n", "d1", "d2", "bands", "sketch"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), (F.col(carry) if carry else F.lit(0)).cast("long").alias("x"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def _plausible(percent: int) -> Column:
@@ -110,62 +111,70 @@ def _plausible(percent: int) -> Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most_ones(percent))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(id, set) for the keys in `ids`: the sorted shingle hashes as bytes."""
+def _texts(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the documents in `pairs`, and a few others that pass the filter of their keys.
+
+    The filter, of bounded size, goes to the tasks that scan; only what passes is exchanged.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    have = docs.sparkSession.sparkContext.broadcast(_hash.Bloom(ends, "id"))
 
     def run(batches):
-        for rb in _text.slices(batches, "text"):
-            h, offs, *_ = _text.words(rb.column("text"))
-            sets = [shingles(h[offs[i] : offs[i + 1]], size).tobytes() for i in range(rb.num_rows)]
-            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+        for rb in batches:
+            hit = have.value.has(rb.column("id").to_numpy().view(np.uint64))
+            if hit.any():
+                yield rb.filter(pa.array(hit))
 
-    found = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return found.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    found = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+    return table(found.mapInArrow(run, found.schema).dropDuplicates(["id", "text"]), "texts")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity: 100 * |both| >= percent * |either|."""
 
     def run(batches):
-        for rb in _text.slices(_text.slices(batches, "sb"), "sa", 1 << 23):
+        held, name = None, None
+        for rb in _text.slices(_text.slices(batches, "tb"), "ta"):
             keep = np.zeros(rb.num_rows, bool)
-            for i, (x, y) in enumerate(zip(rb.column("sa"), rb.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            hb, ob, *_ = _text.words(rb.column("tb"))
+            for i, (t, n) in enumerate(zip(rb.column("ta"), rb.column("a").to_pylist(), strict=True)):
+                if name != (n, t):
+                    name, held = (n, t), shingles(_text.words(pa.array([t.as_py()]))[0], size)
+                y = shingles(hb[ob[i] : ob[i + 1]], size)
+                if len(held) and len(y):
+                    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, held), len(y) - 1)] == held))
+                    keep[i] = 100 * both >= percent * (len(held) + len(y) - both)
             yield rb.select(["a", "b"]).filter(pa.array(keep))
 
-    sa, sb = sets.select(F.col("id").alias("ia"), F.col("set").alias("sa")), sets.select(F.col("id").alias("ib"), F.col("set").alias("sb"))
-    return pairs.join(sb, F.col("b") == F.col("ib")).join(sa, F.col("a") == F.col("ia")).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    ta, tb = texts.select(F.col("id").alias("ia"), F.col("text").alias("ta")), texts.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
+    both = pairs.join(tb, F.col("b") == F.col("ib")).join(ta, F.col("a") == F.col("ia"))
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    rows = table(describe(docs, size, key, text), "signatures")
+def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; a long column may be carried along as x."""
+    rows = table(describe(docs, size, key, text, carry), "signatures")
     live = rows.filter("n > 0 and doc_id is not null")
-    first = live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = table(live.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2", "n"]).select("doc_id", "rep"), "classes")
-    reps = rows.join(classes.filter("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").filter("n > 0")
-    reps = table(reps.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "bands"), "representatives")
-    small = reps.select("id", "n", "sketch")
-    member = reps.select("id", F.explode("bands").alias("bucket"))
-
-    lead = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id"), "id"))["id"].alias("lead"), F.count("*").alias("size"))
-    lead = lead.filter("size > 1").select("bucket", "lead")
-    stars = member.join(lead, "bucket").filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    likely = table(stars.join(one, "a").join(two, "b").filter(_plausible(percent)).select("a", "b"), "pairs")
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = table(_sets(docs, ends(likely), size, key, text), "sets")
-    links = table(verified(likely, sets, percent), "links")
+    classes = live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = table(classes, "classes")  # rows of equal sets have equal sketches and bands
+    small = classes.select("id", "n", "sketch")
+    member = classes.select("id", F.explode("bands").alias("bucket"))
+
+    lead = member.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last").select("bucket", "lead")
+    crowded = table(member.join(lead, "bucket"), "crowded")
+    stars = crowded.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    one = small.select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = small.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    likely = stars.join(two, F.col("b") == F.col("ib")).join(one, F.col("a") == F.col("ia"))
+    likely = table(likely.filter(_plausible(percent)).select("a", "b").distinct(), "pairs")
+    links = table(verified(likely, _texts(docs, likely, key, text), size, percent), "links")
 
     found = table(components(links), "components")
-    placed = member.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    placed = crowded.join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("many")).filter("many > 1")
-    mixed = placed.join(mixed.select("bucket", "main"), "bucket").join(small, "id")
+    mixed = sizes.groupBy("bucket").agg(F.max("k").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    main = sizes.join(mixed.select(F.col("bucket").alias("_b"), F.col("k").alias("_k")), (F.col("bucket") == F.col("_b")) & (F.col("k") == F.col("_k"))).groupBy("bucket").agg(F.min("c").alias("main"))
+    mixed = placed.join(main, "bucket").join(small.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"))
     mixed = table(mixed.select("bucket", "id", "c", "main", "n", "sketch"), "mixed")
     x = mixed.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     y = mixed.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -173,14 +182,14 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
     cross = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & _plausible(percent))
     cross = table(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
     if not cross.isEmpty():
-        more = verified(cross, table(_sets(docs, ends(cross), size, key, text), "sets"), percent)
-        links = links.unionByName(table(more, "links"))
+        links = links.unionByName(table(verified(cross, _texts(docs, cross, key, text), size, percent), "links"))
         found = table(components(links), "components")
 
-    comp = classes.distinct().join(found, F.col("rep") == F.col("id"), "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component"))
-    comp = comp.groupBy("_id").agg(F.min("_component").alias("_component"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(comp, F.col("doc_id") == F.col("_id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    comp = classes.select("d1", "d2", F.col("n").alias("_n"), "id").join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left")
+    comp = comp.select("d1", "d2", "_n", F.coalesce("component", "id").alias("_component"))
+    out = rows.select("doc_id", "x", "n", "d1", "d2").join(comp.withColumnsRenamed({"d1": "_1", "d2": "_2"}), (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")) & (F.col("n") == F.col("_n")) & F.col("doc_id").isNotNull(), "left")
+    out = out.select("doc_id", *["x"] * bool(carry), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
