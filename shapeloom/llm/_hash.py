@@ -51,20 +51,32 @@ class HashTable:
         return out
 
 
-_held: dict[str, HashTable] = {}
+_held: dict[str, object] = {}
+_owner = ""
 
 
-def load(uri: str, key: str, *values: str) -> HashTable:
-    """A hash table of a Parquet folder in the shared folder; a worker process keeps the last few."""
-    if uri not in _held:
+def resident(owner: str, key: str, make):
+    """make(), kept by this worker process until another owner needs its memory."""
+    global _owner
+    if owner != _owner:
+        _held.clear()
+        _owner = owner
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def load(owner: str, uri: str, key: str, *values: str) -> HashTable:
+    """A hash table of a Parquet folder in the shared folder, resident for its owner."""
+
+    def make() -> HashTable:
         import pyarrow.parquet as pq
 
-        while len(_held) > 3:
-            _held.pop(next(iter(_held)))
         fs, path = _store.files(uri)
         t = pq.read_table(path, columns=[key, *values], filesystem=fs)
-        _held[uri] = HashTable(t[key].to_numpy().view(np.uint64), *(t[v].to_numpy() for v in values))
-    return _held[uri]
+        return HashTable(t[key].to_numpy().view(np.uint64), *(t[v].to_numpy() for v in values))
+
+    return resident(owner, uri, make)
 
 
 class Bloom:

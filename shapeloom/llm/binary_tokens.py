@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from . import _hash, _store, _text
 
 END_ID = 2
 FRAME_IDS = 1 << 26
@@ -96,16 +96,16 @@ class WordEncoder:
             return b"".join(map(self.new.__getitem__, words))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
+    """This worker process's encoder of a tokenizer file."""
+
+    def make() -> WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        return WordEncoder(path)
+
+    return _hash.resident("encoder", path, make)
 
 
 class FrameWriter:

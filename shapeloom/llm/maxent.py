@@ -249,7 +249,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def run(batches):
         from pyspark import TaskContext
 
-        head, row = _hash.load(folder, "h", "c"), TaskContext.get().partitionId() << 33
+        head, row = _hash.load(folder, folder, "h", "c"), TaskContext.get().partitionId() << 33
         for rb in _text.slices(batches, "_t"):
             h, sym, is_rare, offs = symbols.tokens(rb.column("_t"))
             logs = model.logs(features(sym, offs), sym)
