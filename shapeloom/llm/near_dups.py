@@ -8,12 +8,13 @@
    counts cannot belong to similar sets go; the rest are verified on the full sets and linked. Only the
    texts in such pairs, told by a filter of bounded size, leave the scan.
 4. Buckets that still hold several components are searched through: every member outside the bucket's
-   largest component meets all members of other components, with the same two tests inside the join.
-   So no link between two components is left out, and members of one component never meet.
+   largest component meets all members of other components, with the same two tests inside the join, on
+   sketches of WIDE samples made for these members. So no link between two components is left out, and
+   members of one component never meet.
 5. Linked components take the smallest key.
 
-ROWS = 5 and BANDS = 32 miss a pair of similarity 0.8 with probability 3e-6; the sketches' limit lies
-four standard errors below the same similarity. Emitted rows follow the number of texts, buckets and
+ROWS = 5 and BANDS = 32 miss a pair of similarity 0.8 with probability 3e-6; the limits of both
+sketches lie over four standard errors below the same similarity. Emitted rows follow the number of texts, buckets and
 links, not the square of a group; a very common passage makes buckets of texts that are not similar,
 whose pairs step 4 compares inside the join without emitting them.
 
@@ -37,21 +38,25 @@ from ._graph import components
 from ._store import read, table
 
 ROWS, BANDS, SKETCH = 5, 32, 512
+WIDE, WIDE_SKETCH = 1024, 4096
 PERCENT = 80
-MARGIN = 0.18
+MARGIN, WIDE_MARGIN = 0.18, 0.065
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
 _C = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
+_WA = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32) | np.uint32(1)
+_WB = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)
+_WC = _RNG.integers(0, 2**63, WIDE, dtype=np.uint64)
 _D = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _E = _RNG.integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 PIECE = 2048
 
 
-def most_ones(percent: int = PERCENT, margin: float = MARGIN) -> int:
+def most_ones(percent: int, samples: int, bits: int, margin: float) -> int:
     """Ones in the XOR of two sketches beyond which a pair is taken as not similar."""
-    differ = 2 * ROWS * BANDS * (1 - (percent / 100 - margin))
-    return math.ceil(SKETCH / 2 * (1 - math.exp(-2 * differ / SKETCH)))
+    differ = 2 * samples * (1 - (percent / 100 - margin))
+    return math.ceil(bits / 2 * (1 - math.exp(-2 * differ / bits)))
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -70,14 +75,28 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_text.mix(out))
 
 
-def _samples(s: np.ndarray) -> np.ndarray:
+def _samples(s: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """MinHash samples of a set: its least value under each of the permutations a * x + b."""
     low = (s >> np.uint64(32)).astype(np.uint32)
-    best = np.full(len(_A), 2**32 - 1, np.uint32)
+    best = np.full(len(a), 2**32 - 1, np.uint32)
     for at in range(0, len(low), PIECE):
-        np.minimum(best, (_A[:, None] * low[None, at : at + PIECE] + _B[:, None]).min(1), out=best)
+        np.minimum(best, (a[:, None] * low[None, at : at + PIECE] + b[:, None]).min(1), out=best)
     return best
 
 
+def _sketches(best: np.ndarray, c: np.ndarray, bits: int) -> np.ndarray:
+    """Odd sketches of rows of samples, as 64-bit integers: a bit is set if an odd number of samples fall on it."""
+    m = len(best)
+    bit = (_text.mix(best.astype(np.uint64) + c) % np.uint64(bits)).astype(np.int64)
+    flips = np.bincount((np.arange(m)[:, None] * bits + bit).ravel(), minlength=m * bits).reshape(m, bits) & 1
+    return np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    m, w = x.shape
+    return pa.ListArray.from_arrays(np.arange(0, (m + 1) * w, w, dtype=np.int32), pa.array(x.reshape(-1)))
+
+
 def describe(docs: DataFrame, size: int, key: str, text: str, carry: str | None = None) -> DataFrame:
     """(doc_id, x, n, d1, d2, bands, sketch) of every row; d1 and d2 are the digest of the set, x what is carried."""
     schema = "doc_id long, x long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
@@ -96,27 +115,36 @@ def describe(docs: DataFrame, size: int, key: str, text: str, carry: str | None
                     digest[i] = np.add.reduce(s), np.add.reduce(_text.mix(s * np.uint64(0xA24BAED4963EE407)))
             wide = best.reshape(m, BANDS, ROWS).astype(np.uint64)
             bands = _text.mix((wide * _D).sum(2, dtype=np.uint64) + _C[:BANDS])
-            bit = (_text.mix(best.astype(np.uint64) + _C) % np.uint64(SKETCH)).astype(np.int64)
-            flips = np.bincount((np.arange(m)[:, None] * SKETCH + bit).ravel(), minlength=m * SKETCH).reshape(m, SKETCH) & 1
-            sketch = np.packbits(flips.astype(np.uint8), axis=1).view(np.int64)
-            lists = [pa.ListArray.from_arrays(np.arange(0, (m + 1) * w, w, dtype=np.int32), pa.array(x.reshape(-1))) for x, w in ((bands.view(np.int64), BANDS), (sketch, SKETCH // 64))]
+            lists = [_lists(bands.view(np.int64)), _lists(_sketches(best, _C, SKETCH))]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("x"), pa.array(n), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)), *lists], names=["doc_id", "x", "n", "d1", "d2", "bands", "sketch"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), (F.col(carry) if carry else F.lit(0)).cast("long").alias("x"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _plausible(percent: int) -> Column:
+def _plausible(percent: int, samples: int, bits: int, margin: float) -> Column:
     """Of rows with na, nb, sa, sb: sizes and sketches may belong to sets of the similarity."""
-    ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most_ones(percent))
+    ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(bits // 64)), F.lit(0))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most_ones(percent, samples, bits, margin))
+
+
+def _wide(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, wide) of texts: the set's size and an odd sketch of WIDE samples."""
+
+    def run(batches):
+        for rb in _text.slices(batches, "text", 1 << 19):
+            h, offs, *_ = _text.words(rb.column("text"))
+            sets = [shingles(h[offs[i] : offs[i + 1]], size) for i in range(rb.num_rows)]
+            best = np.stack([_samples(s, _WA, _WB) for s in sets])
+            yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array([len(s) for s in sets], pa.int64()), _lists(_sketches(best, _WC, WIDE_SKETCH))], names=["id", "n", "wide"])
+
+    return texts.mapInArrow(run, "id long, n long, wide array<long>")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of the documents in `pairs`, and a few others that pass the filter of their keys.
+def _texts(docs: DataFrame, ends: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the documents in `ends` (id), and a few others that pass the filter of their keys.
 
     The filter, of bounded size, goes to the tasks that scan; only what passes is exchanged.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     have = docs.sparkSession.sparkContext.broadcast(_hash.Bloom(ends, "id"))
 
     def run(batches):
@@ -166,23 +194,28 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
     one = small.select(F.col("id").alias("ia"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = small.select(F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     likely = stars.join(two, F.col("b") == F.col("ib")).join(one, F.col("a") == F.col("ia"))
-    likely = table(likely.filter(_plausible(percent)).select("a", "b").distinct(), "pairs")
-    links = table(verified(likely, _texts(docs, likely, key, text), size, percent), "links")
+    likely = table(likely.filter(_plausible(percent, ROWS * BANDS, SKETCH, MARGIN)).select("a", "b").distinct(), "pairs")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = table(verified(likely, _texts(docs, ends(likely), key, text), size, percent), "links")
 
     found = table(components(links), "components")
     placed = crowded.join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("bucket").agg(F.max("k").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
     main = sizes.join(mixed.select(F.col("bucket").alias("_b"), F.col("k").alias("_k")), (F.col("bucket") == F.col("_b")) & (F.col("k") == F.col("_k"))).groupBy("bucket").agg(F.min("c").alias("main"))
-    mixed = placed.join(main, "bucket").join(small.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"))
-    mixed = table(mixed.select("bucket", "id", "c", "main", "n", "sketch"), "mixed")
-    x = mixed.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = mixed.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    cross = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & _plausible(percent))
-    cross = table(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely, ["a", "b"], "left_anti"), "pairs")
-    if not cross.isEmpty():
-        links = links.unionByName(table(verified(cross, _texts(docs, cross, key, text), size, percent), "links"))
+    mixed = table(placed.join(main, "bucket"), "mixed")
+    if not mixed.isEmpty():
+        texts = _texts(docs, mixed.select("id").distinct(), key, text)
+        wide = table(_wide(texts, size), "wide")
+        mixed = mixed.join(wide.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"))
+        x = mixed.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("wide").alias("sa"))
+        y = mixed.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("wide").alias("sb"))
+        once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+        near = _plausible(percent, WIDE, WIDE_SKETCH, WIDE_MARGIN)
+        cross = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & near)
+        cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        cross = table(cross.join(likely.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
+        links = links.unionByName(table(verified(cross, texts, size, percent), "links"))
         found = table(components(links), "components")
 
     comp = classes.select("d1", "d2", F.col("n").alias("_n"), "id").join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left")
