@@ -8,7 +8,8 @@ their rank. Then
     P(word | history) = P(class | history) * P(symbol | class, history) * P(word | symbol),
 
 where the first two are softmaxes over summed weights of hashed features of the history - nothing (a
-bias), the last symbol, the last two, and skips to the second and third last - and the third is 1 for a
+bias), the last symbol, the last two, and skips to the second and third last (within a class: nothing,
+the last and the skip to the second last) - and the third is 1 for a
 symbol of one word and (c+1) / (N_s+V_s+1) for a word counted c times among the N_s of V_s different
 words of an ending; a word that was never counted is the one further event of its ending. So the
 probabilities of all events sum to 1.
@@ -97,7 +98,7 @@ def features(sym: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         p[place < k] = 0
         back.append(p)
     a, b, c = back
-    return [np.zeros(n, np.uint64), _text.mix(a * _K[0] + np.uint64(1)), _text.mix(a * _K[0] + b * _K[1] + np.uint64(2)), _text.mix(b * _K[2] + np.uint64(3)), _text.mix(c * _K[3] + np.uint64(4))]
+    return [_text.mix(a * _K[0] + np.uint64(1)), _text.mix(a * _K[0] + b * _K[1] + np.uint64(2)), _text.mix(b * _K[2] + np.uint64(3)), _text.mix(c * _K[3] + np.uint64(4))]
 
 
 class Model:
@@ -109,9 +110,10 @@ class Model:
         self.w = np.zeros((WORD_ROWS, MEMBERS), np.float32) if words is None else words.copy()
 
     def rows(self, feats: list[np.ndarray], cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        rc = [(f >> np.uint64(40)).astype(np.int64) % CLASS_ROWS for f in feats]
+        """Hashed rows of the class table, but for its bias in row 0, and of the word table, bias first."""
+        rc = [(f >> np.uint64(40)).astype(np.int64) % (CLASS_ROWS - 1) + 1 for f in feats]
         mark = cls.astype(np.uint64) * _K[0]
-        rw = [(_text.mix(f + mark) >> np.uint64(40)).astype(np.int64) % WORD_ROWS for f in feats]
+        rw = [cls.astype(np.int64), *((_text.mix(f + mark) >> np.uint64(40)).astype(np.int64) % (WORD_ROWS - CLASSES) + CLASSES for f in (feats[0], feats[2]))]
         return rc, rw
 
     @staticmethod
@@ -122,13 +124,14 @@ class Model:
         return z
 
     def probabilities(self, rc, rw, cls) -> tuple[np.ndarray, np.ndarray]:
-        zc = self.c[rc[0]]
+        zc = self.c.take(rc[0], 0)
         for r in rc[1:]:
-            zc += self.c[r]
-        zw = self.w[rw[0]]
+            zc += self.c.take(r, 0)
+        zc += self.c[0] + self.gone
+        zw = (self.w[:CLASSES] + self.absent).take(cls, 0)
         for r in rw[1:]:
-            zw += self.w[r]
-        return self._softmax(zc + self.gone), self._softmax(zw + self.absent[cls])
+            zw += self.w.take(r, 0)
+        return self._softmax(zc), self._softmax(zw)
 
     def logs(self, feats: list[np.ndarray], sym: np.ndarray) -> np.ndarray:
         """log10 P(symbol | history) of every token."""
@@ -149,13 +152,20 @@ def _step(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, rows: list[n
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    total = np.add.reduceat(grad[order % len(grad)], first, axis=0)
+    total = np.add.reduceat(grad.T.copy().take(order % len(grad), 1), first, axis=1).T  # sums along rows are the fast ones
     at = flat[first].astype(np.int64)
     sums[at] += total * total
     table[at] -= RATE * total / np.sqrt(sums[at] + 1e-6)
     touched[at] += np.diff(np.concatenate([first, [len(flat)]]))
 
 
+def _bias(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, grad: np.ndarray) -> None:
+    total = grad.sum(0)
+    sums[0] += total * total
+    table[0] -= RATE * total / np.sqrt(sums[0] + 1e-6)
+    touched[0] += len(grad)
+
+
 def train(docs: DataFrame, symbols: Symbols) -> Model:
     """`docs` has _t (text) and _round; the rows of a round are trained on in parallel."""
     model = Model(symbols.member)
@@ -180,6 +190,7 @@ def train(docs: DataFrame, symbols: Symbols) -> Model:
                     pc[i, cls] -= 1
                     pw[i, mem] -= 1
                     _step(m.c, sums[0], touched[0], rc, pc)
+                    _bias(m.c, sums[0], touched[0], pc)
                     _step(m.w, sums[1], touched[1], rw, pw)
             if any_:
                 for t, (new, old, n) in enumerate(((m.c, start.c, touched[0]), (m.w, start.w, touched[1]))):
