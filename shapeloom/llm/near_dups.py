@@ -7,9 +7,11 @@
 3. In each bucket of a band the smallest member is paired with the others. Pairs whose sizes or XOR
    counts cannot belong to similar sets go; the rest are verified on the full sets and linked. Only the
    texts in such pairs, told by a filter of bounded size, leave the scan.
-4. Buckets that still hold several components are searched through: every member outside the bucket's
-   largest component meets all members of other components, with the same two tests inside the join, on
-   sketches of WIDE samples made for these members. So no link between two components is left out, and
+4. Where a bucket still holds several components, its members outside the largest meet one of the
+   largest, drawn anew in STARS turns; that joins what belongs together whichever member came first.
+   Buckets that hold several even then are searched through: every member outside the largest component
+   meets all members of other components, with the same two tests inside the join, on sketches of WIDE
+   samples made for these members. So no link between two components is left out, and
    members of one component never meet.
 5. Linked components take the smallest key.
 
@@ -41,6 +43,7 @@ ROWS, BANDS, SKETCH = 5, 32, 512
 WIDE, WIDE_SKETCH = 1024, 4096
 PERCENT = 80
 MARGIN, WIDE_MARGIN = 0.18, 0.065
+STARS = 2
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
@@ -179,6 +182,36 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, id, c, main) of buckets that hold several components c; main is the largest of them."""
+    placed = crowded.join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    many = sizes.groupBy("bucket").agg(F.max("k").alias("_k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("bucket").alias("_b"), "_k")
+    main = sizes.join(many, (F.col("bucket") == F.col("_b")) & (F.col("k") == F.col("_k"))).groupBy("bucket").agg(F.min("c").alias("main"))
+    return placed.join(main, "bucket")
+
+
+def _stars(mixed: DataFrame, wide: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member outside its bucket's main component with one member of that, drawn by hash."""
+    h = F.xxhash64(F.lit(turn), "bucket", "id")
+    lead = mixed.filter("c = main").groupBy("bucket").agg(F.min(F.struct(h.alias("h"), "id"))["id"].alias("lead"))
+    pairs = mixed.filter("c <> main").join(lead, "bucket").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    one, two = (wide.select(F.col("id").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(two, F.col("b") == F.col("ib")).join(one, F.col("a") == F.col("ia")).filter(_plausible(percent, WIDE, WIDE_SKETCH, WIDE_MARGIN))
+    return near.select("a", "b").distinct()
+
+
+def _cross(mixed: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all members outside their bucket's main component with all members of other components."""
+    rows = mixed.join(wide.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"))
+    x = rows.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("wide").alias("sa"))
+    y = rows.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("wide").alias("sb"))
+    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
+    near = _plausible(percent, WIDE, WIDE_SKETCH, WIDE_MARGIN)
+    pairs = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; a long column may be carried along as x."""
     rows = table(describe(docs, size, key, text, carry), "signatures")
@@ -199,23 +232,19 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
     links = table(verified(likely, _texts(docs, ends(likely), key, text), size, percent), "links")
 
     found = table(components(links), "components")
-    placed = crowded.join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("bucket").agg(F.max("k").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    main = sizes.join(mixed.select(F.col("bucket").alias("_b"), F.col("k").alias("_k")), (F.col("bucket") == F.col("_b")) & (F.col("k") == F.col("_k"))).groupBy("bucket").agg(F.min("c").alias("main"))
-    mixed = table(placed.join(main, "bucket"), "mixed")
-    if not mixed.isEmpty():
-        texts = _texts(docs, mixed.select("id").distinct(), key, text)
-        wide = table(_wide(texts, size), "wide")
-        mixed = mixed.join(wide.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"))
-        x = mixed.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("wide").alias("sa"))
-        y = mixed.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("wide").alias("sb"))
-        once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-        near = _plausible(percent, WIDE, WIDE_SKETCH, WIDE_MARGIN)
-        cross = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & near)
-        cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        cross = table(cross.join(likely.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
-        links = links.unionByName(table(verified(cross, texts, size, percent), "links"))
+    wide = texts = None
+    tried = likely
+    for turn in (*range(STARS), None):
+        mixed = table(_mixed(crowded, found), "mixed")
+        if mixed.isEmpty():
+            break
+        if wide is None:
+            texts = _texts(docs, mixed.select("id").distinct(), key, text)
+            wide = table(_wide(texts, size), "wide")
+        pairs = _cross(mixed, wide, percent) if turn is None else _stars(mixed, wide, percent, turn)
+        pairs = table(pairs.join(tried.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(table(verified(pairs, texts, size, percent), "links"))
         found = table(components(links), "components")
 
     comp = classes.select("d1", "d2", F.col("n").alias("_n"), "id").join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left")
