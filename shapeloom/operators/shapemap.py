@@ -18,7 +18,7 @@ from ..plans import paths as P
 from ..sources import turtle
 from ..sources.terms import RDF, XSD, Node, constant, iri, literal, text
 
-_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[a-z]{2,}(?:-[A-Za-z0-9]+)*(?=\s*@))|(?P<dtype>\^\^)|(?P<bnode>_:[\w.-]+)|(?P<num>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[\w-]*:[\w%./-]*)|(?P<word>[A-Za-z_]+)|(?P<mark>[{}@,!?/|*+()^$-])""", re.X)
+_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<lang>@[a-z]{2,}(?:-[A-Za-z0-9]+)*(?=\s*@))|(?P<dtype>\^\^)|(?P<bnode>_:[\w.-]+)|(?P<num>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>[\w-]*:[\w%.-]*)|(?P<word>[A-Za-z_]+)|(?P<mark>[{}@,!?/|*+()^$-])""", re.X)
 
 
 @dataclass(frozen=True)
