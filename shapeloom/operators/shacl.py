@@ -262,6 +262,18 @@ class Validator:
                     rows = sparql(self.graph, query, prefixes, focus, s.path)
                     path = F.coalesce("path", F.lit(P.text(s.path) if s.path is not None else ""))
                     out.append(self._row(rows, s, k, F.when(F.col("value").isNotNull(), F.col("value")).otherwise(F.col("focus")) if s.path is None else F.col("value"), path, message))
+            elif k == "custom":
+                from .sparql import rejected
+                from .sparql import violations as sparql
+
+                name, ask, query, prefixes, message, params = x
+                if ask:
+                    rows = self._row(rejected(self.graph, query, prefixes, values, params, s.path), s, k, v, message=message)
+                else:
+                    found = sparql(self.graph, query, prefixes, focus, s.path, params)
+                    path = F.coalesce("path", F.lit(P.text(s.path) if s.path is not None else ""))
+                    rows = self._row(found, s, k, F.coalesce("value", F.col("focus")) if s.path is None else F.col("value"), path, message)
+                out.append(rows.withColumn("component", F.lit(name)))
         if s.closed is not None:
             arcs = self.graph.select(F.col("s").alias("_s"), "p", "o")
             arcs = arcs.filter(~F.col("p").isin(*s.closed)) if s.closed else arcs

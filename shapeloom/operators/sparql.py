@@ -29,7 +29,8 @@ class NotSupported(ValueError):
 
 
 class Query:
-    def __init__(self, text: str, prefixes: dict[str, str] | None = None, bound: tuple[str, ...] = ()):
+    def __init__(self, text: str, prefixes: dict[str, str] | None = None, bound: tuple[str, ...] = (), constants: dict[str, Node] | None = None):
+        self.constants = constants or {}
         self.tok, self.at, self.prefixes, self.bound = [], 0, dict(prefixes or {}), bound
         self.prefixes.setdefault("rdf", RDF)
         at = 0
@@ -156,7 +157,7 @@ class Query:
         t = self.take()
         kind, x = t
         if kind == "var":
-            return ("var", x[1:])
+            return self.constants.get(x[1:], ("var", x[1:]))
         if kind == "bnode":
             return ("var", "_b" + x[2:])
         if kind == "str":
@@ -263,7 +264,8 @@ def value(e, cols: dict[str, str]) -> Column:
     if isinstance(e, Node):
         return constant(e)
     if e[0] == "var":
-        return F.col(cols[e[1]]) if e[1] in cols else F.lit(None).cast(NODE)
+        c = cols.get(e[1])
+        return F.lit(None).cast(NODE) if c is None else F.col(c) if isinstance(c, str) else c
     if e[0] == "call":
         name, a = e[1], e[2]
         x = value(a[0], cols) if a and name != "bound" else None
@@ -432,9 +434,20 @@ def select(graph: DataFrame, text: str, prefixes: dict[str, str] | None = None)
     return rows.select(*(F.col(f"v_{v}").alias(v) for v in names))
 
 
-def violations(graph: DataFrame, text: str, prefixes: dict[str, str], focus: DataFrame, path=None) -> DataFrame:
+def rejected(graph: DataFrame, text: str, prefixes: dict[str, str], values: DataFrame, constants: dict[str, Node], path=None) -> DataFrame:
+    """Those of the rows (focus, n, value) for which a validator's ASK query with $this and $value bound is false."""
+    q = Query(text, prefixes, ("this", "value", *constants), constants)
+    if not q.ask:
+        raise NotSupported("sh:ask needs an ASK query")
+    start = values.select(F.col("focus").alias("v_this"), F.col("value").alias("v_value")).distinct()
+    good, _ = Compiler(graph, path).solve(q.body, start, {"this", "value"})
+    good = good.select(F.col("v_this").alias("_t"), F.col("v_value").alias("_v")).distinct()
+    return values.join(good, (F.col("focus") == F.col("_t")) & (F.col("value") == F.col("_v")), "left_anti")
+
+
+def violations(graph: DataFrame, text: str, prefixes: dict[str, str], focus: DataFrame, path=None, constants: dict[str, Node] | None = None) -> DataFrame:
     """(focus, n, value, path) for every solution of a constraint's SELECT with $this bound to each focus."""
-    q = Query(text, prefixes, ("this",))
+    q = Query(text, prefixes, ("this", *(constants or ())), constants)
     if q.ask:
         raise NotSupported("sh:select needs a SELECT query")
     if q.names is not None and "this" not in q.names:
@@ -457,10 +470,9 @@ def ask_column(text: str, prefixes: dict[str, str] | None = None):
         raise NotSupported("only ASK queries of filters are columns")
 
     def build(**cols: Column) -> Column:
-        frame = {k: k for k in cols}
         out = F.lit(True)
         for x in q.body:
-            out &= F.coalesce(truth(x[1], frame), F.lit(False))
+            out &= F.coalesce(truth(x[1], cols), F.lit(False))
         return out
 
     return build

@@ -150,6 +150,8 @@ def _shape(ix: Index, x: Node) -> Shape:
         s.closed = sorted({*own, *(p.lex for o in get("ignoredProperties") for p in ix.list(o))})
     for o in get("sparql"):
         c.append(("sparql", _sparql(ix, o)))
+    for k in [k for k, p, o in ix.triples if p == TYPE and o.lex == SH + "ConstraintComponent"]:
+        c += _custom(ix, k, x, s.path is not None)
     if s.path is None and any(k in ("minCount", "maxCount", "uniqueLang", "lessThan", "lessThanOrEquals", "qualified") for k, _ in c):
         raise ShapeError(f"{x.nt()} has constraints that need a path")
     return s
@@ -157,8 +159,41 @@ def _shape(ix: Index, x: Node) -> Shape:
 
 def _sparql(ix: Index, x: Node) -> tuple[str, dict[str, str], str, bool]:
     """(query, prefixes, message, deactivated) of a sh:sparql constraint."""
-    names = {d.lex: n.lex for o in ix.all(x, SH + "prefixes") for b in [o, *(i for i in ix.all(o, OWL + "imports"))] for y in ix.all(b, SH + "declare") for d, n in [(ix.one(y, SH + "prefix"), ix.one(y, SH + "namespace"))]}
+    names = _prefixes(ix, x)
     m, q = ix.one(x, SH + "message"), ix.one(x, SH + "select")
     if q is None:
         raise ShapeError("a SPARQL constraint needs sh:select")
     return q.lex, names, m.lex if m else "", any(o.lex in ("true", "1") for o in ix.all(x, SH + "deactivated"))
+
+
+def _prefixes(ix: Index, x: Node) -> dict[str, str]:
+    out, todo, seen = {}, ix.all(x, SH + "prefixes"), set()
+    while todo:
+        o = todo[0]
+        todo = todo[1:]
+        if o not in seen:
+            seen.add(o)
+            for y in ix.all(o, SH + "declare"):
+                out[ix.one(y, SH + "prefix").lex] = ix.one(y, SH + "namespace").lex
+            todo = [*todo, *ix.all(o, OWL + "imports")]
+    return out
+
+
+def _custom(ix: Index, component: Node, x: Node, on_path: bool):
+    """("custom", (component, is an ASK query, query, prefixes, message, parameters)) where the shape has its parameters."""
+    values: dict[str, Node] = {}
+    for p in ix.all(component, SH + "parameter"):
+        path_ = ix.one(p, SH + "path")
+        v = ix.one(x, path_.lex)
+        optional = any(o.lex in ("true", "1") for o in ix.all(p, SH + "optional"))
+        if v is None and not optional:
+            return
+        if v is not None:
+            values[path_.lex.rpartition("/")[2].rpartition("#")[2]] = v
+    v = ix.one(component, SH + ("propertyValidator" if on_path else "nodeValidator")) or ix.one(component, SH + "validator")
+    if v is None or not values:
+        return
+    ask, select, m = ix.one(v, SH + "ask"), ix.one(v, SH + "select"), ix.one(v, SH + "message")
+    if ask is None and select is None:
+        raise ShapeError(f"the validator of {component.nt()} has no query")
+    yield "custom", (component.lex, ask is not None, (ask or select).lex, _prefixes(ix, v), m.lex if m else "", values)
