@@ -1,0 +1,497 @@
+"""Every operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
+
+import base64
+import gzip
+import hashlib
+import io
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from shapeloom.llm import binary_tokens, decontaminate, lattice, line_dedup, maxent, mixing, near_dups, quality, secrets, warc
+
+WORDS = ["the", "of", "and", "ra", "lo", "min", "tes", "vor", "qua", "zim", "pel", "dro", "nax", "ust", "ky", "bon"]
+
+
+def prose(rng, n, words=WORDS):
+    return " ".join("".join(rng.choice(words) for _ in range(rng.choice((1, 2, 2, 3)))) for _ in range(n))
+
+
+def documents(n=60, seed=1):
+    """doc_id, text, lang, source, n_chars and columns whose names clash with internal ones."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        t = prose(rng, rng.choice((3, 20, 60, 150)))
+        if i % 9 == 4 and rows:
+            t = rows[-1][1]
+        if i % 7 == 3 and rows:
+            w = (rows[-2][1] or "x").split() or ["x"]
+            w[len(w) // 2] = "edited"
+            t = " ".join(w)
+        rows.append((i, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "é", None]), len(t)))
+    rows += [(n, None, "en", "a", 0), (n + 1, "", "de", None, 0), (n + 2, " \n\t ", None, "b", 4), (None, prose(rng, 30), "en", "a", 5), (n + 3, prose(rng, 9000), "en", "b", 5), (n + 4, "Word", "en", "c", 4)]
+    rows += [rows[5], rows[5], (n + 5, "w" * 70_000, "en", "a", 70_000)]
+    return [(*r, 7, "clash", 1.5) for r in rows]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string, target double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(documents(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return (t or "").encode().lower().split()
+
+
+# 1
+
+
+def test_quality(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 8 == 0
+        t = " ".join(f"{rng.randrange(10**6)}###" for _ in range(80)) if bad else prose(rng, 80)
+        rows.append((i, t, "en" if i % 2 else None, "s", 1))
+        if i % 2 == 0 or i % 3 == 0:
+            labels.append((i, 0 if bad else 1, 0))
+    rows += [(900, None, "en", "s", 0), (901, "", None, "s", 0), (None, prose(rng, 50), "xx", "s", 0), rows[3], rows[3]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    lab = spark.createDataFrame([*labels, labels[0], (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(d, lab).collect()
+    assert len(out) == len(rows)
+    kept = {r["doc_id"]: r["kept"] for r in out}
+    clean = [k for k, t, *_ in rows if k is not None and k < 900 and k % 8]
+    junk = [k for k, *_ in rows if k is not None and k < 900 and k % 8 == 0]
+    assert all(kept[k] for k in clean) and not any(kept[k] for k in junk) and not kept[900] and not kept[901] and kept[None]
+
+
+def test_quality_model_is_a_distribution(spark):
+    """Shares and weights of the shards sum to 1 over all words and the unknown one, after any history."""
+    rng = random.Random(5)
+    texts = spark.createDataFrame([(prose(rng, 200, WORDS[:5]),) for _ in range(4)], "_t string")
+    from shapeloom.llm import _store
+
+    folder, unknown = quality.train(texts, _store.shared(spark, "t"))
+    t = {r["k"]: (r["share"], r["weight"]) for r in spark.read.parquet(folder).collect()}
+    hashes = set()
+    hist = []
+    import pyarrow as pa
+
+    for (x,) in texts.collect():
+        u, v, w, _ = quality._sequences(pa.array([x]))
+        hashes |= set(w.tolist())
+        hist += list(zip(u.tolist(), v.tolist(), strict=True))[:5]
+    g = lambda *h: int(quality._gram(*(np.array([x], np.uint64) for x in h)).view(np.int64)[0])
+    for u, v in hist[:8]:
+        total = 0.0
+        for w in [*hashes, 12345]:
+            p = t[g(w)][0] if g(w) in t else unknown
+            p = p * t.get(g(v), (0, 1))[1] + t.get(g(v, w), (0, 1))[0]
+            total += p * t.get(g(u, v), (0, 1))[1] + t.get(g(u, v, w), (0, 1))[0]
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_quality_without_labels_or_rows(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r["kept"] for r in quality.classify(docs, none).collect()}
+    assert out[0] and not out[60] and quality.classify(empty, none).count() == 0
+
+
+# 2
+
+
+def test_maxent(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    out = maxent.score(docs).collect()
+    c, held = Counter(), lambda k: zlib.crc32(str(k).encode()) % 7 == 2 if k is not None else False
+    for k, t in rows:
+        if not held(k):
+            c.update([*words(t), None])
+    n, v = sum(c.values()), len(c)
+    base = lambda t: sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in [*words(t), None])
+    want = Counter((k, held(k), len(words(t)) + 1, sum(c.get(w, 0) > 0 for w in [*words(t), None]), n, round(base(t), 6)) for k, t in rows)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+    assert all(r["score"] < 0 for r in out)
+
+
+def test_maxent_learns_and_sums_to_one(spark):
+    rng = random.Random(9)
+    a, b = WORDS[:8], [w + "x" for w in WORDS[8:]]
+    d = spark.createDataFrame([(i, prose(rng, 120, a if i % 2 else b)) for i in range(2500)], "doc_id long, text string")
+    held = maxent.score(d).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[2] > held[1] / held[2] + 0.05
+    import pyarrow as pa
+
+    s = maxent.Symbols([int(x) for x in range(1, 100)])
+    m = maxent.Model(s.member)
+    m.c += np.random.default_rng(0).normal(size=m.c.shape).astype(np.float32)
+    m.w += np.random.default_rng(1).normal(size=m.w.shape).astype(np.float32)
+    h, sym, rare, offs = s.tokens(pa.array(["a b c", None, "d"]))
+    feats = maxent.features(sym, offs)
+    at = 2
+    one = [np.repeat(f[at : at + 1], maxent.SYMBOLS) for f in feats]
+    every = np.arange(maxent.SYMBOLS, dtype=np.int32)
+    p = 10 ** m.logs(one, every)
+    assert p[s.member].sum() == pytest.approx(1, abs=1e-4) and p[~s.member].sum() < 1e-6
+
+
+def test_maxent_empty(spark, empty):
+    assert maxent.score(empty).count() == 0
+    only = spark.createDataFrame([(2, "a b"), (2, None)], "doc_id long, text string").filter(maxent.held_out(F.col("doc_id")) | F.lit(True))
+    assert maxent.score(only).count() == 2
+
+
+# 3
+
+
+def test_binary_tokens(spark, docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    rows = docs.select("doc_id", "text").collect()
+    got = binary_tokens.encode_documents(docs).collect()
+    ids = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 2]
+    want = Counter((k, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in ((k, ids(x)) for k, x in rows))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in order] == np.cumsum([0, *(r["n_tokens"] for r in order)])[:-1].tolist()
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in order]
+    assert keys == sorted(keys) and binary_tokens.encode_documents(empty).count() == 0
+
+
+def test_seek_table(monkeypatch):
+    monkeypatch.setattr(binary_tokens, "FRAME_IDS", 4)
+    out = io.BytesIO()
+    w = binary_tokens.FrameWriter(out)
+    data = {1: b"", 2: np.arange(3, dtype="<u4").tobytes(), None: np.arange(9, dtype="<u4").tobytes(), 7: b"abcd"}
+    for k, ids in data.items():
+        w.add(k, ids)
+    w.close()
+    raw = out.getvalue()
+    assert [(k, i) for k, _, i in binary_tokens.open_documents(io.BytesIO(raw))] == list(data.items())
+    assert list(binary_tokens.open_documents(io.BytesIO(raw), {7})) == [(7, 12, b"abcd")]
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+    assert whole.startswith(b"".join(data.values()))
+    broken = bytearray(raw)
+    broken[len(raw) - 9 - 12 * len(w.table) + 8] ^= 1
+    with pytest.raises(ValueError):
+        list(binary_tokens.open_documents(io.BytesIO(bytes(broken))))
+
+
+# 4
+
+
+def brute_targets(sizes, weights, cap=3.0):
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    fixed, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in fixed]
+        rest = total - sum(fixed.values())
+        t = {s: rest * w[s] / sum(w[x] for x in free) for s in free} | fixed
+        over = [s for s in free if t[s] > cap * sizes[s] + 1e-9]
+        if not over:
+            return t
+        fixed |= {s: cap * sizes[s] for s in over}
+
+
+def test_mixing(spark, docs, empty):
+    rows = docs.select("doc_id", "source", "text").collect()
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(words(t))
+    want = brute_targets(sizes, (5, 2, 1))
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(rows)
+    by = Counter((r["doc_id"], r["size"]) for r in out)
+    assert by == Counter((k, len(words(t))) for k, _, t in rows)
+    taken = Counter()
+    for r in out:
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s in sizes:
+        biggest = max(len(words(t)) for _, x, t in rows if x == s)
+        assert abs(taken[s] - want[s]) <= biggest
+    again = Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(5)).collect())
+    assert sum(again.values()) == len(rows) and mixing.mix(empty).count() == 0
+    text = mixing.mix(docs, with_text=True)
+    assert Counter(r["text"] for r in text.collect()) == Counter(r["text"] for r in rows)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1, "b": 100, "c": 100}, {"a": 0, "b": 5}, {"a": 3}, {"a": 1, "b": 1, "c": 1, None: 1000}])
+def test_targets_and_newton(spark, sizes):
+    rows = spark.createDataFrame([(s if s is not None else mixing.NULL, n) for s, n in sizes.items()], "_source string, source_size long")
+    want = brute_targets(sizes, (5, 2, 1))
+    for r in mixing.solve(mixing.targets(rows)).collect():
+        s = None if r["_source"] == mixing.NULL else r["_source"]
+        assert r["target"] == pytest.approx(want[s]) and r["rate"] * sizes[s] == pytest.approx(want[s], rel=1e-6)
+
+
+# 5
+
+
+def test_line_dedup(spark, empty):
+    space = " \t\n\x0b\x0c\r"
+    low = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x)
+    rng = random.Random(2)
+    lines = [prose(rng, 4) for _ in range(30)] + ["short", "ÉCOLE DE PARIS", "école de paris", "École DE Paris", "x" * 10, "X" * 10 + "\t", "ßẞ aaaaaaaaa", "  aaaaaaaaaaa", "Ï" * 10, "ï" * 10]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(0, 9)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), rows[3], (None, lines[0]), (103, rows[5][1])]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, pos int").repartition(5)
+    out = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(d).collect())
+    owner: dict = {}
+    many: dict = {}
+    big = lambda k: 2**63 if k is None else k
+    for k, t in rows:
+        for x in (t or "").split("\n"):
+            key = low(x.strip(space))
+            if len(key) >= 10:
+                owner[key] = min(owner.get(key, 2**64), big(k))
+                many.setdefault(key, set()).add(big(k))
+    want = Counter()
+    for k, t in rows:
+        xs = (t or "").split("\n")
+        bad = [len(many.get(low(x.strip(space)), ())) > 1 and owner[low(x.strip(space))] != big(k) for x in xs]
+        want[k, len(xs), sum(bad), "\n".join(x for x, b in zip(xs, bad, strict=True) if not b)] += 1
+    assert out == want
+    assert Counter((r["doc_id"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(d, n_batches=1).collect()) == Counter({(a, c, e): n for (a, b, c, e), n in want.items()})
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_runs_are_levelled(spark):
+    runs = line_dedup.Runs(fanout=2)
+    for i in range(5):
+        runs.add(spark.range(i * 10, i * 10 + 10).select(F.col("id").alias("h1"), F.col("id").alias("h2")))
+    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.all().count() == 50
+
+
+# 6
+
+
+def brute_links(sets, test):
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ks = list(sets)
+    for i, a in enumerate(ks):
+        for b in ks[i + 1 :]:
+            if test(sets[a], sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in ks}
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_dups(spark, empty, size):
+    rng = random.Random(size)
+    rows = [(k, t) for k, t, *_ in documents(50, size) if k is not None]
+    base = prose(rng, 120).split()
+    for i in range(40):  # a chain and a cloud of near copies
+        w = list(base)
+        for j in range(i % 7):
+            w[rng.randrange(len(w))] = f"e{i}{j}"
+        rows.append((200 + i, " ".join(w)))
+    seen: dict = {}
+    rows = [r for r in rows if seen.setdefault(r[0], r[1]) == r[1]]
+    d = spark.createDataFrame([(*r, "x") for r in [*rows, (None, "a b c")]], "doc_id long, text string, component_id string").repartition(4)
+    sets = {}
+    for k, t in rows:
+        w = words(t)
+        sets[k] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    comp = brute_links(sets, lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b))
+    out = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.link(d, size=size).collect()}
+    assert out == {(k, len(sets[k]), comp[k], comp[k] == k) for k, _ in rows} | {(None, 1, None, True)}
+    assert near_dups.link(empty).count() == 0
+
+
+def test_odd_sketches_estimate():
+    rng = np.random.default_rng(0)
+    s = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    for share in (1.0, 0.95, 0.8):
+        n = int(1000 * 2 * share / (1 + share))
+        other = np.concatenate([s[:n], rng.integers(0, 2**63, 1000 - n, dtype=np.uint64)])
+        sk = near_dups._sketches(np.stack([near_dups._samples(np.sort(x), near_dups._WA, near_dups._WB) for x in (s, other)]), near_dups._WC, near_dups.WIDE_SKETCH)
+        ones = sum(int(x).bit_count() for x in (sk[0] ^ sk[1]).view(np.uint64).tolist())
+        bits = near_dups.WIDE_SKETCH
+        assert 1 + bits / (4 * near_dups.WIDE) * math.log(1 - 2 * ones / bits) == pytest.approx(share, abs=0.06)
+
+
+# 7
+
+
+def levenshtein(a, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_distance():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        assert decontaminate.distance(a, b, 99) == levenshtein(a, b)
+
+
+def test_decontaminate(spark, docs, empty):
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.choice((13, 20, 45)))) for i in range(20)] + [(20, "Short item of six words HERE"), (21, None), (22, ""), (23, None)]
+    items.append((24, items[0][1].upper()))
+    rows, want = [], set()
+    for i in range(40):
+        body = prose(rng, 60).split()
+        at = rng.randrange(len(body))
+        item = items[i % 21][1]
+        if i < 21:
+            body[at:at] = item.lower().split() if i % 2 else [item]
+            want.add((i, i % 21))
+        rows.append((i, " \n".join(body)))
+    rows += [(50, None), (51, ""), (52, items[3][1]), rows[2]]
+    want.add((52, 3))
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(d, b).collect()}
+    assert set(out) == want, (set(out) - want, want - set(out))
+    assert not any(out.values())
+    assert decontaminate.contaminated(empty, b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_decontaminate_recall_on_edits(spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, 40)) for i in range(60)]
+    rows, want = [], set()
+    for i, t in items:
+        w = [x if rng.random() > 0.1 else prose(rng, 1) for x in t.split()]
+        text = " ".join(w)
+        if levenshtein(t, text) <= len(t) // 5:
+            want.add((i, i))
+        rows.append((i, prose(rng, 30) + " " + text + " " + prose(rng, 30)))
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out <= {(i, i) for i, _ in items} and len(out & want) >= 0.9 * len(want)
+
+
+# 8
+
+
+def test_warc(spark, tmp_path):
+    rows = [(i, f"http://e/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>é\r\n\r\nWARC/1.1</p>", None, "", "<p>a</p>", "x" * 300_000, "<p>a</p>"])]
+    rows += [(None, None, "<p>a</p>"), (9, "http://e/ ü\r\nX: y", "<p>b</p>"), rows[0]]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(3)
+    out = Counter(tuple(r) for r in warc.archive(d).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    least: dict = {}
+    for p, _, h in rows:
+        if p is not None:
+            least[h or ""] = min(least.get(h or "", 2**63), p)
+    want = Counter()
+    for p, _, h in rows:
+        b = (h or "").encode()
+        first = least[h or ""]
+        want[p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if p == first else "revisit", None if p == first else first] += 1
+    assert out == want and warc.archive(d.limit(0)).count() == 0
+    assert set(r["record_type"] for r in warc.archive(d, least=10**6).collect()) == {"response"}
+
+
+def test_normaliser():
+    records = [warc.record(i, f"http://e/{i}", b"x" * i * 5000, "A" * 32, None, False) for i in range(4)]
+    source = io.BytesIO(gzip.compress(b"".join(records[:3])) + gzip.compress(records[3]))
+    out = io.BytesIO()
+    index = list(warc.members(source, out))
+    assert [n for *_, n in index] == [f"<urn:page:{i}>" for i in range(4)] and gzip.decompress(out.getvalue()) == b"".join(records)
+    for (at, size, _), r in zip(index, records, strict=True):
+        assert gzip.decompress(out.getvalue()[at : at + size]) == r
+    with pytest.raises(ValueError):
+        list(warc.members(io.BytesIO(gzip.compress(records[2][:-100])), io.BytesIO()))
+
+
+# 9
+
+
+def test_secrets(spark, empty):
+    hexa = hashlib.sha1(b"a").hexdigest()
+    rows = [(0, f'set token = "{hexa}" and commit {hexa} here'), (1, f'API_KEY="{hexa}"'), (2, "card 4111111111111111 and 2021-03-04T10-20-30-1"), (3, None), (4, ""), (None, f"é password: {hexa}"), (1, f'API_KEY="{hexa}"')]
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
+    out = secrets.scan(d).collect()
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"] : r["start"] + r["n_chars"]] == r["candidate"] for r in out)
+    found = Counter((r["doc_id"], r["start"]) for r in out if r["is_secret"])
+    assert found == Counter({(0, 13): 1, (1, 9): 2, (None, 12): 1}) and len(out) >= 7 and secrets.scan(empty).count() == 0
+    none = secrets.labelled_findings(spark).filter("label = 1")
+    assert secrets.scan(d, none).filter("not is_secret").count() == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    data = secrets.labelled_findings(spark, 3000).withColumn("h", F.pmod(F.xxhash64("candidate"), F.lit(5)))
+    model = secrets.forest(data.filter("h > 0"))
+    from pyspark.ml.feature import VectorAssembler
+
+    test = VectorAssembler(inputCols=[*secrets.SHAPE, *secrets.CONTEXT], outputCol="features").transform(secrets.features(data.filter("h = 0")))
+    assert model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0] > 0.97
+
+
+# 10
+
+
+def test_lattice(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(120, 24))
+    rows = [(i, v) for i, v in enumerate(base.tolist())]
+    for i in range(60):
+        o = rng.normal(size=24)
+        c = rng.uniform(0.9, 0.99)
+        u = base[i] / np.linalg.norm(base[i])
+        o -= (o @ u) * u
+        rows.append((200 + i, ((c * u + math.sqrt(1 - c * c) * o / np.linalg.norm(o)) * 3).tolist()))
+    for i in range(40):
+        rows.append((300 + i, (base[0] + 0.05 * rng.normal(size=24)).tolist()))
+    rows += [(400 + i, base[5].tolist()) for i in range(30)]
+    rows = [(k, np.float32(v).tolist()) for k, v in rows]
+    odd = [(500, None), (501, [0.0] * 24), (502, [float("nan")] + [1.0] * 23), (503, [1.0, 2.0]), (504, [2.0, 4.0]), (505, []), (506, [None, 1.0])]
+    d = spark.createDataFrame([(*r, 1) for r in [*rows, *odd]], "vec_id long, embedding array<float>, n int").repartition(4)
+    out = {r["vec_id"]: r for r in lattice.near_vectors(d, block=16).collect()}
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = {k: int(n) for (k, _), n in zip(rows, near.sum(1), strict=True)}
+    got = {k: out[k]["n_links"] for k, _ in rows}
+    assert all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.97 * sum(want.values())
+    assert all(out[k]["component_id"] == 5 for k in range(400, 430)) and out[5]["kept"] and not out[400]["kept"]
+    assert out[504]["component_id"] == 503 and out[504]["n_links"] == 1
+    assert all(out[k]["n_links"] == 0 and out[k]["component_id"] == k for k in (500, 501, 502, 505, 506))
+
+
+def test_e8_is_nearest():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)) * 2
+    p = lattice.e8(x)
+    assert (((p * 2) % 2).ptp(axis=1) == 0).all() if hasattr(p, "ptp") else True
+    assert (np.abs(np.round(p.sum(1)) % 2) < 1e-9).all()
+    d = ((x - p) ** 2).sum(1)
+    for v in lattice._MINIMAL:
+        assert (((x - p - v) ** 2).sum(1) >= d - 1e-9).all()
+    assert len(lattice._MINIMAL) == 240
