@@ -201,14 +201,18 @@ def _stars(mixed: DataFrame, wide: DataFrame, percent: int, turn: int) -> DataFr
     return near.select("a", "b").distinct()
 
 
-def _cross(mixed: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of all members outside their bucket's main component with all members of other components."""
-    rows = mixed.join(wide.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"))
-    x = rows.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("wide").alias("sa"))
-    y = rows.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("wide").alias("sb"))
+def _cross(mixed: DataFrame, wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of all members outside their bucket's main component with all members of other components.
+
+    A pair that meets in several buckets is made in the first of them alone.
+    """
+    rows = mixed.join(wide.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")).join(classes.select(F.col("id").alias("_j"), "bands"), F.col("id") == F.col("_j"))
+    x = rows.filter("c <> main").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("wide").alias("sa"), F.col("bands").alias("ba"))
+    y = rows.select(F.col("bucket").alias("other"), F.col("id").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("wide").alias("sb"), F.col("bands").alias("bb"))
+    first = F.col("bucket") == F.element_at(F.array_intersect("ba", "bb"), 1)
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
     near = _plausible(percent, WIDE, WIDE_SKETCH, WIDE_MARGIN)
-    pairs = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & near)
+    pairs = x.join(y, (F.col("bucket") == F.col("other")) & (F.col("ca") != F.col("cb")) & once & near & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -241,7 +245,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
         if wide is None:
             texts = _texts(docs, mixed.select("id").distinct(), key, text)
             wide = table(_wide(texts, size), "wide")
-        pairs = _cross(mixed, wide, percent) if turn is None else _stars(mixed, wide, percent, turn)
+        pairs = _cross(mixed, wide, classes, percent) if turn is None else _stars(mixed, wide, percent, turn)
         pairs = table(pairs.join(tried.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         links = links.unionByName(table(verified(pairs, texts, size, percent), "links"))
