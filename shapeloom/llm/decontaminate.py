@@ -3,9 +3,9 @@
 The published CGK random walk turns a window of words into a longer sequence: at step j it writes the
 word it stands on and moves on if a random bit of (j, word) says so, so that windows at a small edit
 distance become sequences at a small Hamming distance. A key samples some of the steps; WALKS walks
-with SAMPLES keys each are repeated draws. Windows have the items' size, WINDOW words at most: longer
+with SAMPLES keys each are repeated draws. Windows have about the items' size, WINDOW words at most:
 items are covered by a window at every word, and documents by one at every STRIDE-th word; items of
-fewer words have windows of just their size, and documents such windows at every word.
+fewer than SHORT words have windows of just their size, and documents such windows at every word.
 
 The items' keys fill a Bloom filter of bounded size. A task walks the windows of its documents; where
 a key is in the filter it returns the surrounding passage once, and the keys. Keys then meet the items'
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import _hash, _store, _text
 
-WINDOW, STRIDE, WALKS, SAMPLES, STEPS, TAKEN = 12, 4, 3, 4, 2, 8
+WINDOW, STRIDE, WALKS, SAMPLES, STEPS, TAKEN = 10, 4, 3, 4, 2, 8
+SHORT = 11
 PERCENT = 20
 _RNG = np.random.Generator(np.random.PCG64(4111))
 _TURN = _RNG.integers(0, 2**63, (WALKS, STEPS * WINDOW), dtype=np.uint64) | np.uint64(1)
@@ -38,6 +39,15 @@ _SEED = _RNG.integers(0, 2**63, (WALKS, SAMPLES, STEPS * WINDOW), dtype=np.uint6
 CHUNK = 1 << 15
 
 
+def window(n: int) -> tuple[int, int]:
+    """Words in a window of an item of n words, and the stride of such windows in documents.
+
+    An item has at least as many windows as the stride is long, so that a document's windows meet one
+    of a copy's wherever it starts.
+    """
+    return (min(WINDOW, n - STRIDE + 1), STRIDE) if n >= SHORT else (n, 1)
+
+
 def _picks(size: int) -> np.ndarray:
     """Steps sampled by each key, for windows of `size` words."""
     rng = np.random.Generator(np.random.PCG64(size))
@@ -87,7 +97,7 @@ def item_keys(found: DataFrame) -> DataFrame:
             h, offs, *_ = _text.words(rb.column("words"))
             for i, item in enumerate(rb.column("item").to_pylist()):
                 x = h[offs[i] : offs[i + 1]]
-                size = min(WINDOW, len(x))
+                size, _ = window(len(x))
                 at = np.arange(len(x) - size + 1)
                 k = keys(x, at, size)
                 yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array([item] * k.size, pa.int64()), pa.array(np.repeat(at, k.shape[1]))], names=["k", "item", "at"])
@@ -95,7 +105,7 @@ def item_keys(found: DataFrame) -> DataFrame:
     return _store.table(found.select("item", "words").mapInArrow(run, "k long, item long, at long").distinct(), "item-keys")
 
 
-def passages(docs: DataFrame, sizes: list[int], longest: int, have, key: str, text: str) -> DataFrame:
+def passages(docs: DataFrame, sizes: list[tuple[int, int]], longest: int, have, key: str, text: str) -> DataFrame:
     """(region, doc_id, words, hits): passages around windows whose keys are in the filter.
 
     hits are (k, at), `at` the window's first word counted from the passage's.
@@ -113,8 +123,8 @@ def passages(docs: DataFrame, sizes: list[int], longest: int, have, key: str, te
             doc = _text.rows_of(offs)
             place = np.arange(len(h)) - offs[doc]
             pos, ks = [], []
-            for size in sizes:
-                at = np.flatnonzero(place % STRIDE == 0) if size == WINDOW else np.arange(len(h))
+            for size, stride in sizes:
+                at = np.flatnonzero(place % stride == 0)
                 k = keys(h, at, size)
                 row, col = np.nonzero(known.has(k))
                 pos.append(at[row])
@@ -193,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(doc_id, item_id, distance) for every document and benchmark item that it holds."""
     spark = docs.sparkSession
     found = _store.table(items(benchmark, item_key, item_text), "items")
-    sizes = sorted(r[0] for r in found.select(F.least(F.col("n"), F.lit(WINDOW))).distinct().collect())
+    sizes = sorted({window(r[0]) for r in found.select("n").distinct().collect()})
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long")
     known = item_keys(found)
