@@ -14,7 +14,7 @@ symbol of one word and (c+1) / (N_s+V_s+1) for a word counted c times among the
 words of an ending; a word that was never counted is the one further event of its ending. So the
 probabilities of all events sum to 1.
 
-Training: documents are dealt into ROUNDS by hash. In a round every task starts from the current
+Training starts from the symbols' shares. Documents are dealt into ROUNDS by hash. In a round every task starts from the current
 weights, goes through its part of all training text in minibatches with AdaGrad steps, and returns for
 each hashed row its change times the number of updates; rows are summed by the exchange, and their
 mean change is the update. Only the weights, of fixed size, reach the driver.
@@ -166,9 +166,17 @@ def _bias(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, grad: np.nda
     touched[0] += len(grad)
 
 
-def train(docs: DataFrame, symbols: Symbols) -> Model:
+def unigrams(symbols: Symbols, counts: np.ndarray) -> Model:
+    """The model whose biases alone give each symbol its share of `counts`; training starts from it."""
+    m = Model(symbols.member)
+    table = np.where(symbols.member, counts + 0.5, 0).reshape(MEMBERS, CLASSES).T
+    m.c[0] = np.log(np.maximum(table.sum(1), 1e-9))
+    m.w[:CLASSES] = np.log(np.maximum(table, 1e-9))
+    return m
+
+
+def train(docs: DataFrame, symbols: Symbols, model: Model) -> Model:
     """`docs` has _t (text) and _round; the rows of a round are trained on in parallel."""
-    model = Model(symbols.member)
     for r in range(ROUNDS):
         start = model
 
@@ -235,7 +243,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     n_docs = training.count()
     words, types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = words + n_docs, types + (n_docs > 0)
-    top = [r[0] for r in vocab.orderBy(F.desc("c"), "h").limit(TOP).select("h").collect()]
+    best = vocab.orderBy(F.desc("c"), "h").limit(TOP).select("h", "c").collect()
+    top = [r["h"] for r in best]
     symbols = Symbols(top)
     rare = vocab.join(F.broadcast(spark.createDataFrame([(h,) for h in top], "h long")), "h", "left_anti")  # TOP rows at most
     totals = np.zeros((ENDINGS, 2))
@@ -253,7 +262,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     chosen = vocab.filter(F.floor(F.log2("c") * 8) >= (cut if cut is not None else 2**31))
     folder = _store.shared(spark, "head")
     chosen.select("h", "c").write.parquet(folder)
-    model = train(training, symbols) if n_docs else Model(symbols.member)
+    counts = np.zeros(SYMBOLS)
+    counts[: len(top)], counts[TOP], counts[TOP + 1 :] = [r["c"] for r in best], n_docs, totals[:, 0]
+    model = unigrams(symbols, counts)
+    if n_docs:
+        model = train(training, symbols, model)
     unit = np.log10(n + v + 1)
     end_count = n_docs
 
