@@ -31,6 +31,8 @@ def components(edges: DataFrame, most: int = 64) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {most} rounds")
     comp = pairs.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("component"))
     roots = pairs.select(F.col("lo").alias("id")).distinct().withColumn("component", F.col("id"))
     return comp.unionByName(roots.join(comp.select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_anti"))

@@ -27,6 +27,7 @@ from ._store import read, table
 CAP = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_DOCS = 4096
+MOST_BROADCAST = 100_000  # sources whose rates go to all tasks; more are joined by an exchange
 NULL = "\U0010ffff\U0010ffff"  # sorts after every source name by code point
 
 
@@ -82,6 +83,8 @@ def solve(sources: DataFrame, cap: float = CAP, tolerance: float = 1e-10, most:
         worst = duals.agg(F.max(F.when(live, F.abs(mass - F.col("target")) / F.col("target")))).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"Newton's method did not settle in {most} iterations")
     return duals.select("_source", "source_size", "target", F.when(live, F.least(F.lit(cap), F.exp("_m"))).otherwise(0.0).alias("rate"))
 
 
@@ -119,7 +122,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     )
     stats = table(sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")), "sources")
     solved = solve(targets(stats.select("_source", "source_size"), weights, cap), cap)
-    per = solved.join(stats.select("_source", "_docs"), "_source")
+    per = table(solved.join(stats.select("_source", "_docs"), "_source"), "rates")
+    if per.count() <= MOST_BROADCAST:
+        per = F.broadcast(per)
     rated = sized.join(per, "_source").withColumn("_block", F.pmod("_tie", F.ceil(F.col("_docs") / BLOCK_DOCS)))
     part = rated.select("_source", "_block", "_row", "_tie", "size", "rate")
     schema = part.select("_source", "_block", "_row").withColumn("copies", F.lit(0).cast("long")).schema
