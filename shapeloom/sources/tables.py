@@ -1,7 +1,9 @@
 """Direct mapping of tables to triples, predicate by predicate, so that a plan scans only what it uses.
 
 A row of table t with key k is <urn:t/t/k>, of class <urn:c/t>; a column is <urn:p/column>, with a typed
-literal as its object or, for a foreign key, the parent row. Keyless tables are not mapped.
+literal as its object or, for a foreign key, the parent row. Keyless tables are not mapped. Keys are taken
+to be unique, as declared, so that triples need no exchange to be a set; `unique=False` makes them one
+where that is not sure.
 """
 
 from __future__ import annotations
@@ -42,8 +44,11 @@ def typed(c: Column, dtype: str) -> Column:
 class Tables:
     """The graph of a folder of Parquet tables."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: dict | None = None, parents: dict | None = None):
-        self.spark, self.folder, self.keys, self.parents = spark, folder, keys or KEYS, parents or PARENTS
+    def __init__(self, spark: SparkSession, folder: str, keys: dict | None = None, parents: dict | None = None, unique: bool = True):
+        self.spark, self.folder, self.keys, self.parents, self.unique = spark, folder, keys or KEYS, parents or PARENTS, unique
+
+    def _set(self, triples: DataFrame) -> DataFrame:
+        return triples if self.unique else triples.distinct()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -53,7 +58,7 @@ class Tables:
         from .terms import constant
 
         t = self.table(name)
-        return t.select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(TYPE).alias("p"), constant(cls(name)).alias("o")).distinct()
+        return self._set(t.select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(TYPE).alias("p"), constant(cls(name)).alias("o")))
 
     def column(self, name: str, column: str) -> DataFrame:
         """Triples of one column; nulls have none."""
@@ -61,7 +66,7 @@ class Tables:
         c = F.col(column)
         parent = self.parents.get((name, column))
         o = row(parent, c) if parent else typed(c, dict(t.dtypes)[column])
-        return t.filter(c.isNotNull()).select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(prop(column)).alias("p"), o.alias("o")).distinct()
+        return self._set(t.filter(c.isNotNull()).select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(prop(column)).alias("p"), o.alias("o")))
 
     def links(self, name: str, a: str, b: str, predicate: str) -> DataFrame:
         """Arcs between the parents that two foreign keys of a (keyless) table name."""
