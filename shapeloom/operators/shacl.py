@@ -174,7 +174,7 @@ class Validator:
 
     def failing(self, s: S.Shape, focus: DataFrame) -> DataFrame:
         """The distinct foci that violate the shape."""
-        return self.violations(s, focus.select("focus").distinct().withColumn("n", F.lit(1).cast("long"))).select("focus").distinct()
+        return self.violations(s, focus.select("focus").distinct()).select("focus").distinct()
 
     def flagged(self, values: DataFrame, shapes: list[Node]) -> tuple[DataFrame, list[Column]]:
         """`values` (distinct, column value) with a flag for each shape: whether the value conforms."""
@@ -197,15 +197,15 @@ class Validator:
         return df.select("focus", (own if path is None else path).alias("path"), (null if value is None else value).alias("value"), F.lit(s.severity).alias("severity"), F.lit(name).alias("component"), F.lit(s.id.nt()).alias("shape"), F.lit(message or s.message).alias("message"), F.col("n").cast("long").alias("n"))
 
     def violations(self, s: S.Shape, focus: DataFrame) -> DataFrame:
-        """Violations of distinct foci (focus, n), each with its multiplicity n."""
+        """Violations of distinct foci, each with its multiplicity n; without a column n that is 1."""
         spark = self.graph.sparkSession
         out: list[DataFrame] = []
         if s.deactivated:
             return spark.createDataFrame([], VIOLATIONS)
-        if s.path is None:
-            values = focus.withColumn("value", F.col("focus"))
-        else:
-            values = P.pairs(self.graph, s.path, focus.select("focus")).join(focus.withColumnRenamed("focus", "_focus"), F.col("focus") == F.col("_focus")).drop("_focus")
+        plain, once = focus, F.lit(1).cast("long")
+        if "n" not in focus.columns:
+            focus = focus.withColumn("n", once)
+        values = focus.withColumn("value", F.col("focus")) if s.path is None else self._values(s.path, plain)
         v = F.col("value")
         tests = [(k, self.leaf(k, x, v)) for k, x in s.constraints]
         tests = [(k, c) for k, c in tests if c is not None]
@@ -253,7 +253,7 @@ class Validator:
                 tags = values.filter(v["lang"] != "").groupBy("focus", "n", v["lang"].alias("_l")).agg(F.count("*").alias("_n"))
                 out.append(self._row(tags.filter("_n > 1"), s, k))
             elif k in ("equals", "disjoint", "lessThan", "lessThanOrEquals"):
-                out += self._pair(s, k, x, focus, values)
+                out += self._pair(s, k, x, plain, values)
             elif k == "sparql":
                 from .sparql import violations as sparql
 
@@ -281,15 +281,22 @@ class Validator:
             rows = nodes.join(arcs, F.col("_v") == F.col("_s")).withColumn("focus", F.col("_v"))
             out.append(self._row(rows, s, "closed", F.col("o"), F.concat(F.lit("<"), F.col("p"), F.lit(">"))))
         if s.properties:
-            inner = values.groupBy("value").agg(F.sum("n").alias("n")).withColumnRenamed("value", "focus") if s.path is not None else focus
+            inner = values.groupBy("value").agg(F.sum("n").alias("n")).withColumnRenamed("value", "focus") if s.path is not None else plain
             out += [self.violations(self.shape(p), inner) for p in s.properties]
         if not out:
             return spark.createDataFrame([], VIOLATIONS)
         names = ["focus", "path", "value", "severity", "component", "shape", "message", "n"]
         return reduce(lambda a, b: a.unionByName(b), (d.select(*names) for d in out))
 
+    def _values(self, path, focus: DataFrame) -> DataFrame:
+        """(focus, value, n) of a path from distinct foci, that may have a multiplicity n."""
+        pairs = P.pairs(self.graph, path, focus.select("focus"))
+        if "n" not in focus.columns:
+            return pairs.withColumn("n", F.lit(1).cast("long"))
+        return pairs.join(focus.withColumnRenamed("focus", "_focus"), F.col("focus") == F.col("_focus")).drop("_focus")
+
     def _pair(self, s: S.Shape, k: str, x: Node, focus: DataFrame, values: DataFrame) -> list[DataFrame]:
-        others = P.pairs(self.graph, P.Pred(x.lex), focus.select("focus")).join(focus.withColumnRenamed("focus", "_focus"), F.col("focus") == F.col("_focus")).drop("_focus")
+        others = self._values(P.Pred(x.lex), focus)
         right = others.select(F.col("focus").alias("_f"), F.col("value").alias("_o"))
         both = (F.col("focus") == F.col("_f")) & (F.col("value") == F.col("_o"))
         if k == "equals":
@@ -307,7 +314,7 @@ class Validator:
             if only is None or x in only:
                 focus = self.targets(s)
                 if focus is not None and not s.deactivated:
-                    parts.append(self.violations(s, focus.withColumn("n", F.lit(1).cast("long"))))
+                    parts.append(self.violations(s, focus))
         spark = self.graph.sparkSession
         rows = reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], VIOLATIONS)
         return Result(rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("_i", "n"))
