@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.getOrCreate()
     began = time.time()
     graph = rdf.infer(rdf.from_path(spark, o.data, o.dataFormat), o.inference)
-    is_shex = api.lookup(o.engine) in ("ShEx", "JenaShEx")
+    is_shex = api.lookup(o.engine) == "ShEx"
     if o.dot:
         viz.dot(graph).orderBy("part", "value").select("value").write.text(o.dot)
     mapped = text(spark, o.shapeMap) if o.shapeMap else ""

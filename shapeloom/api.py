@@ -14,7 +14,7 @@ from .plans import shexc, slang
 from .sources import rdf
 from .sources.terms import SH, Node, iri, text
 
-ENGINES = ("ShEx", "SHACLex", "JenaSHACL", "SHACL_TQ", "JenaShEx")
+ENGINES = ("ShEx", "SHACL")
 TRIGGERS = ("TargetDecls", "ShapeMap", "NodeShape", "NodeStart")
 
 
@@ -109,7 +109,7 @@ class ShExSchema(Schema):
         raise ValueError(f"ShEx schemas aren't written as {format}")
 
     def convert(self, engine: str, format: str = "Turtle", shape_map: str = "") -> str:
-        if engine.lower() in ("shex", "jenashex"):
+        if lookup(engine) == "ShEx":
             return self.serialize(format)
         found = shapemap.parse(shape_map, self.prefixes) if shape_map else []
         return convert.shacl_text(convert.shex_to_shacl(self.inner, found))
@@ -121,7 +121,7 @@ class ShExSchema(Schema):
 class ShaclSchema(Schema):
     formats = (*rdf.FORMATS, "TREE")
 
-    def __init__(self, triples, name: str = "SHACLex"):
+    def __init__(self, triples, name: str = "SHACL"):
         super().__init__(name)
         self.triples = list(triples)
         self.inner = S.read(self.triples)
@@ -149,7 +149,7 @@ class ShaclSchema(Schema):
         return convert.shacl_text(self.triples)
 
     def convert(self, engine: str, format: str = "ShExC") -> str:
-        if engine.lower() not in ("shex", "jenashex"):
+        if lookup(engine) != "ShEx":
             return self.serialize(format)
         body, _ = convert.shacl_to_shex(self.inner)
         return ShExSchema(shex.Schema(body)).serialize(format)
@@ -159,27 +159,27 @@ class ShaclSchema(Schema):
 
 
 def lookup(engine: str = "ShEx") -> str:
-    """An engine's proper name, in any case; raises ValueError for unknown ones."""
-    names = {e.lower(): e for e in ENGINES}
-    if engine.lower() not in names:
-        raise ValueError(f"unknown engine {engine}; known are {', '.join(ENGINES)}")
-    return names[engine.lower()]
+    """The engine that a name stands for, in any case: both languages have one, whatever else a name adds."""
+    for e in ENGINES:
+        if e.lower() in engine.lower():
+            return e
+    raise ValueError(f"unknown engine {engine}; known are {', '.join(ENGINES)}")
 
 
 def schema(data: str, format: str = "ShExC", engine: str = "ShEx", base: str = "", fetch=None) -> ShExSchema | ShaclSchema:
     """A schema from a text."""
     name = lookup(engine)
-    if name in ("ShEx", "JenaShEx"):
+    if name == "ShEx":
         return ShExSchema(shex.load(data, "turtle" if format.lower() in rdf.FORMATS else format, base, fetch), name)
     return ShaclSchema(rdf.parse(data, format, base), name)
 
 
-def schema_from_graph(graph: DataFrame, engine: str = "SHACLex") -> ShExSchema | ShaclSchema:
+def schema_from_graph(graph: DataFrame, engine: str = "SHACL") -> ShExSchema | ShaclSchema:
     """The schema that a data graph itself holds; only triples of the shapes' vocabularies and lists are collected."""
     name = lookup(engine)
     words = graph.filter(F.col("p").startswith(SH) | F.col("p").startswith("http://www.w3.org/ns/shex#") | F.col("p").startswith("http://www.w3.org/1999/02/22-rdf-syntax-ns#") & (~F.col("p").endswith("#type") | F.col("o")["lex"].startswith(SH) | F.col("o")["lex"].startswith("http://www.w3.org/ns/shex#") | F.col("o")["lex"].endswith("#Class")))
     triples = [(Node(*r["s"]), r["p"], Node(*r["o"])) for r in words.collect()]
-    if name in ("ShEx", "JenaShEx"):
+    if name == "ShEx":
         return ShExSchema(shex.Schema(shexr.read(convert.shacl_text(triples))), name)
     return ShaclSchema(triples, name)
 

@@ -22,9 +22,9 @@ def test_facade(spark):
     assert r.valid and r.message == "Valid"
     r = api.validate(spark, DATA, PRE + ":S { :p xsd:integer }", shape_map="<http://e/b>@<http://e/S>, <http://e/a>@!<http://e/S>")
     assert not r.valid and r.result_map.count() == 2 and '"valid": false' in r.show("json")
-    r = api.validate(spark, DATA, TTL + ":S sh:targetSubjectsOf :p ; sh:property [ sh:path :p ; sh:datatype xsd:integer ] .", schema_format="turtle", engine="shaclex", trigger="TargetDecls")
+    r = api.validate(spark, DATA, TTL + ":S sh:targetSubjectsOf :p ; sh:property [ sh:path :p ; sh:datatype xsd:integer ] .", schema_format="turtle", engine="shacl", trigger="TargetDecls")
     assert not r.valid and r.violations.count() == 1 and "violations: 1" in r.message
-    assert api.validate(spark, DATA, TTL + ":S a sh:NodeShape .", schema_format="turtle", engine="SHACL_TQ", trigger="ShapeMap").errors
+    assert api.validate(spark, DATA, TTL + ":S a sh:NodeShape .", schema_format="turtle", engine="shacl-tq", trigger="ShapeMap").errors
     assert api.validate(spark, DATA + " :S sh:targetNode :b .", PRE + ":S { :p xsd:integer }", trigger="TargetDecls").valid is False
     assert api.validate(spark, DATA, PRE + "start = { :p . }", trigger="NodeStart", node="<http://e/a>").valid
     with pytest.raises(ValueError):
@@ -37,9 +37,9 @@ def test_formats_and_info(spark):
         assert api.schema(s.serialize(f), f).shapes == s.shapes
     assert api.schema(s.serialize("Turtle"), "turtle").shapes == s.shapes
     assert s.info()["wellFormed"] and s.shapes == ["http://e/S", "http://e/T"]
-    k = api.schema(s.convert("SHACLex"), "turtle", "SHACLex")
+    k = api.schema(s.convert("SHACL"), "turtle", "SHACL")
     assert set(k.shapes) >= {"<http://e/S>", "<http://e/T>"} and "http://e/S" in k.convert("ShEx")
-    own = api.schema_from_graph(rdf.from_string(spark, DATA + " :S a sh:NodeShape ; sh:targetNode :a ; sh:nodeKind sh:Literal ."), "SHACLex")
+    own = api.schema_from_graph(rdf.from_string(spark, DATA + " :S a sh:NodeShape ; sh:targetNode :a ; sh:nodeKind sh:Literal ."), "SHACL")
     assert own.shapes == ["<http://e/S>"]
 
 
