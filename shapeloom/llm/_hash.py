@@ -7,7 +7,6 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import _store, _text
 
@@ -80,26 +79,36 @@ def load(owner: str, uri: str, key: str, *values: str) -> HashTable:
 
 
 class Bloom:
-    """A filter of 64-bit keys: 32 bits a key, but 2**25 bits at least and 2**30 at most, three probes.
+    """A filter of 64-bit keys: 32 bits a key, but 2**25 bits at least and 2**28 at most, three probes.
 
     Its size is bounded whatever the number of keys, so that tasks may hold it; with very many keys more
-    false ones pass, which cost work and change no result.
+    false ones pass, which cost work and change no result. It is put together on executors in blocks of
+    PAGE bytes, and 2**28 / 8 / PAGE blocks at most reach the driver.
     """
 
+    PAGE = 1 << 15
+
     def __init__(self, keys: DataFrame, column: str):
         n = keys.select(column).distinct().count()
-        self.bits = bits = min(30, max(25, math.ceil(math.log2(max(1, n) * 32))))
+        self.bits = bits = min(28, max(25, math.ceil(math.log2(max(1, n) * 32))))
         self.field = np.zeros(2**bits // 8, np.uint8)
+        page = self.PAGE
 
         def run(batches):
             for rb in batches:
                 k = rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 at = np.unique(np.concatenate(list(probes(k, bits))))
-                yield pa.RecordBatch.from_arrays([pa.array(at >> 3), pa.array((1 << (at & 7)).astype(np.int32))], names=["byte", "bit"])
+                yield pa.RecordBatch.from_arrays([pa.array(at // (8 * page)), pa.array(at % (8 * page))], names=["page", "bit"])
+
+        def block(table: pa.Table) -> pa.Table:
+            flags = np.zeros(8 * page, np.uint8)
+            flags[table["bit"].to_numpy()] = 1
+            return pa.table({"page": table["page"].slice(0, 1), "bytes": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-        filled = keys.select(column).mapInArrow(run, "byte long, bit int").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-        for b in filled.toArrow().to_batches():  # at most a row a byte of the filter
-            self.field[b.column("byte").to_numpy()] = b.column("bits").to_numpy()
+        marked = keys.select(column).mapInArrow(run, "page long, bit long").distinct()
+        for r in marked.groupBy("page").applyInArrow(block, "page long, bytes binary").collect():
+            at = r["page"] * page
+            self.field[at : at + page] = np.frombuffer(r["bytes"], np.uint8)
 
     def has(self, k: np.ndarray) -> np.ndarray:
         hit = np.ones(k.shape, bool)

@@ -61,3 +61,10 @@ def test_encoder(encoder, text):
 def test_encoder_special_strings(encoder):
     for text in ("<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>.", "<|startoftext|> x"):
         assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_bloom(spark):
+    b = _hash.Bloom(spark.range(0, 3000, 3), "id")
+    every = np.arange(3000, dtype=np.uint64)
+    hit = b.has(every)
+    assert hit[::3].all() and hit[1::3].sum() + hit[2::3].sum() < 5 and not _hash.Bloom(spark.range(0), "id").has(every).any()
