@@ -118,9 +118,9 @@ class Model:
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
+        np.clip(z, -60, 60, out=z)  # in range for float32; biases are logarithms of counts
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
         return z
 
     def probabilities(self, rc, rw, cls) -> tuple[np.ndarray, np.ndarray]:
