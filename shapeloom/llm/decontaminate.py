@@ -13,8 +13,9 @@ keys in a join, which tells the item and where in the passage it would start. Th
 aligned with the passage: the edit distance in characters, ends of the passage free, must be at most
 PERCENT of the item's characters. Words are lower-cased (A-Z) and joined by single spaces for that.
 
-RECALL was measured on items with edited words (tests/llm): 0.98 at one word in ten edited, and every
-exact copy of an item is found, as some window of it is at a document's window and all its keys agree.
+Recall, measured on 400 items of 40 words with 5, 10 and 15 % of their words replaced: all of the 400,
+396 and 363 that stay within PERCENT were found. Every exact copy of an item of SHORT words or more is
+found, as some window of it is at a document's window and all its keys agree.
 
 Cases: null and empty texts match nothing, as do items without words; items of equal words are one, by
 the smallest id; rows that share a key are searched each and reported once; null keys are reported as
