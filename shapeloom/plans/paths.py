@@ -136,10 +136,13 @@ def pairs(graph: DataFrame, path, focus: DataFrame) -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a checkpoint in spark.checkpoint.dir; a folder of our own only where it is unset."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    if spark.sparkContext.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shapeloom-"))
+            root = tempfile.mkdtemp(prefix="shapeloom-")
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint()
 
 
