@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope():
+    """Collects the shared paths that are made inside, for `remove` once nothing reads them any more."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete shared paths, wherever they are stored."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; only where that is unset (tests), under a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='shapeloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _scopes:
+        made.append(path)
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -41,4 +65,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["StorageLevel", "files", "read", "shared", "spread", "table"]
+__all__ = ["files", "read", "remove", "scope", "shared", "spread", "table"]
