@@ -2,7 +2,7 @@
 
 run() applies STAGES to the documents of a folder; every stage's result is written as Parquet in the
 shared folder and read again as the next one's documents. All stages but the last return the columns
-of documents. SQL cannot express the pipeline; tests/llm hold the stages against brute force.
+of documents. A stage's own intermediate tables are removed when the next one starts on the same folder. SQL cannot express the pipeline; tests/llm hold the stages against brute force.
 """
 
 from __future__ import annotations
@@ -15,6 +15,23 @@ from shapeloom.llm import _store, binary_tokens, decontaminate, mixing, near_dup
 _LAST = 2**63 - 1
 
 
+_made: dict[str, list[str]] = {}  # by folder: intermediate tables of the stage before
+
+
+def _stage(f):
+    """Runs a stage and, first, removes what the stage before it left: its result has been written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _store.remove(spark, _made.pop(sf_dir, []))
+        with _store.scope() as made:
+            out = f(spark, docs, sf_dir)
+        _made[sf_dir] = made
+        return out
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
 def _without(docs: DataFrame, bad: DataFrame, by_text: bool) -> DataFrame:
     """The rows of `docs` whose key (and text hash `x`, if told) is not in `bad` (doc_id, x)."""
     key = [F.coalesce("doc_id", F.lit(_LAST)).alias("_k"), *[F.col("x").alias("_x")] * by_text]
@@ -23,12 +40,14 @@ def _without(docs: DataFrame, bad: DataFrame, by_text: bool) -> DataFrame:
     return row.join(bad.select(*key), same & (F.col("_rx") == F.col("_x")) if by_text else same, "left_anti").select(*docs.columns)
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     out = quality.classify(docs.withColumn("x", F.xxhash64("text")), _store.read(spark, sf_dir, "labels"), carry="x")
     return _without(docs, out.filter(~F.col("kept")), True)
 
 
+@_stage
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; a row that repeats as a whole stays once."""
     out = near_dups.link(docs.withColumn("x", F.xxhash64("text")), carry="x")
@@ -37,18 +56,21 @@ def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return named.select(*docs.columns).unionByName(kept.filter("doc_id is null"))
 
 
+@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; rows that share a key are judged together."""
     out = decontaminate.contaminated(docs, _store.read(spark, sf_dir, "benchmark"))
     return _without(docs, out, False)
 
 
+@_stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
     out = mixing.mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_all")))
     return out.filter("copies > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_n"), "_all").select("_all.*")
 
 
+@_stage
 def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' rows, as read back."""
     return binary_tokens.encode_documents(docs)
