@@ -7,11 +7,9 @@
 3. In each bucket of a band the smallest member is paired with the others. Pairs whose sizes or XOR
    counts cannot belong to similar sets go; the rest are verified on the full sets and linked. Only the
    texts in such pairs, told by a filter of bounded size, leave the scan.
-4. Where a bucket still holds several components, its members outside the largest meet one of the
-   largest, drawn anew in STARS turns; that joins what belongs together whichever member came first.
-   Buckets that hold several even then are searched through: every member outside the largest component
-   meets all members of other components, with the same two tests inside the join, on sketches of WIDE
-   samples made for these members. So no link between two components is left out, and
+4. Buckets that still hold several components are searched through: every member outside the largest
+   component meets all members of other components, with the same two tests inside the join, on sketches
+   of WIDE samples made for these members. So no link between two components is left out, and
    members of one component never meet.
 5. Linked components take the smallest key.
 
@@ -43,7 +41,6 @@ ROWS, BANDS, SKETCH = 5, 32, 512
 WIDE, WIDE_SKETCH = 1024, 4096
 PERCENT = 80
 MARGIN, WIDE_MARGIN = 0.18, 0.065
-STARS = 2
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
@@ -191,16 +188,6 @@ def _mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(main, "bucket")
 
 
-def _stars(mixed: DataFrame, wide: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of each member outside its bucket's main component with one member of that, drawn by hash."""
-    h = F.xxhash64(F.lit(turn), "bucket", "id")
-    lead = mixed.filter("c = main").groupBy("bucket").agg(F.min(F.struct(h.alias("h"), "id"))["id"].alias("lead"))
-    pairs = mixed.filter("c <> main").join(lead, "bucket").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    one, two = (wide.select(F.col("id").alias(f"i{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(two, F.col("b") == F.col("ib")).join(one, F.col("a") == F.col("ia")).filter(_plausible(percent, WIDE, WIDE_SKETCH, WIDE_MARGIN))
-    return near.select("a", "b").distinct()
-
-
 def _cross(mixed: DataFrame, wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of all members outside their bucket's main component with all members of other components.
 
@@ -236,18 +223,12 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
     links = table(verified(likely, _texts(docs, ends(likely), key, text), size, percent), "links")
 
     found = table(components(links), "components")
-    wide = texts = None
-    tried = likely
-    for turn in (*range(STARS), None):
-        mixed = table(_mixed(crowded, found), "mixed")
-        if mixed.isEmpty():
-            break
-        if wide is None:
-            texts = _texts(docs, mixed.select("id").distinct(), key, text)
-            wide = table(_wide(texts, size), "wide")
-        pairs = _cross(mixed, wide, classes, percent) if turn is None else _stars(mixed, wide, percent, turn)
-        pairs = table(pairs.join(tried.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
-        tried = tried.unionByName(pairs)
+    mixed = table(_mixed(crowded, found), "mixed")
+    if not mixed.isEmpty():
+        texts = _texts(docs, mixed.select("id").distinct(), key, text)
+        wide = table(_wide(texts, size), "wide")
+        pairs = _cross(mixed, wide, classes, percent)
+        pairs = table(pairs.join(likely.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
         links = links.unionByName(table(verified(pairs, texts, size, percent), "links"))
         found = table(components(links), "components")
 
