@@ -8,8 +8,7 @@ their rank. Then
     P(word | history) = P(class | history) * P(symbol | class, history) * P(word | symbol),
 
 where the first two are softmaxes over summed weights of hashed features of the history - nothing (a
-bias), the last symbol, the last two, and skips to the second and third last (within a class: nothing,
-the last and the skip to the second last) - and the third is 1 for a
+bias), the last symbol, the last two, and skips to the second and third last - and the third is 1 for a
 symbol of one word and (c+1) / (N_s+V_s+1) for a word counted c times among the N_s of V_s different
 words of an ending; a word that was never counted is the one further event of its ending. So the
 probabilities of all events sum to 1.
@@ -113,7 +112,7 @@ class Model:
         """Hashed rows of the class table, but for its bias in row 0, and of the word table, bias first."""
         rc = [(f >> np.uint64(40)).astype(np.int64) % (CLASS_ROWS - 1) + 1 for f in feats]
         mark = cls.astype(np.uint64) * _K[0]
-        rw = [cls.astype(np.int64), *((_text.mix(f + mark) >> np.uint64(40)).astype(np.int64) % (WORD_ROWS - CLASSES) + CLASSES for f in (feats[0], feats[2]))]
+        rw = [cls.astype(np.int64), *((_text.mix(f + mark) >> np.uint64(40)).astype(np.int64) % (WORD_ROWS - CLASSES) + CLASSES for f in feats)]
         return rc, rw
 
     @staticmethod

@@ -151,6 +151,18 @@ def test_maxent_learns_and_sums_to_one(spark):
     assert p[s.member].sum() == pytest.approx(1, abs=1e-4) and p[~s.member].sum() < 1e-6
 
 
+def test_maxent_members_see_every_feature():
+    sym, offs = np.array([[5, 6, 7, 9], [4, 6, 7, 9], [5, 4, 7, 9]], np.int32), np.arange(0, 13, 4)
+    feats = maxent.features(sym.reshape(-1), offs)
+    m = maxent.Model(np.ones(maxent.SYMBOLS, bool))
+    _, rw = m.rows([f[3::4] for f in feats], np.full(3, 9))
+    kept = [(r[0] == r[1], r[0] == r[2]) for r in rw]  # third last symbol changed, second last changed
+    assert kept == [(True, True), (True, True), (True, False), (True, False), (False, True)]
+    m.w[rw[4][0], 3] = 5
+    p = m.logs([f[3::4] for f in feats], np.full(3, 9 + 3 * maxent.CLASSES, np.int32))
+    assert p[0] > p[1] + 0.5
+
+
 def test_maxent_empty(spark, empty):
     assert maxent.score(empty).count() == 0
     only = spark.createDataFrame([(2, "a b"), (2, None)], "doc_id long, text string").filter(maxent.held_out(F.col("doc_id")) | F.lit(True))
