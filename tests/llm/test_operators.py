@@ -81,6 +81,25 @@ def test_quality(spark):
     assert all(kept[k] for k in clean) and not any(kept[k] for k in junk) and not kept[900] and not kept[901] and kept[None]
 
 
+def test_quality_judges_each_language_by_its_own_documents(spark):
+    """Clean documents of a language with few trusted documents, or none, are kept; junk of the large one is not."""
+    rng = random.Random(6)
+    other = lambda k: " ".join(f"{k}{rng.randrange(60)}{rng.choice('abcdefgh')}" for _ in range(80))
+    rows, labels = [], []
+    for i in range(1800):
+        junk = i % 10 == 0
+        rows.append((i, " ".join(f"{rng.randrange(10**6)}###" for _ in range(40)) if junk else prose(rng, 40), "en"))
+        labels.append((i, 0 if junk else 1, 0))
+    for i in range(1800, 1860):
+        rows.append((i, other("fi" if i < 1840 else "xx"), "fi" if i < 1840 else "xx"))
+        if i < 1809:
+            labels.append((i, 1, 0))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = {r["doc_id"]: r for r in quality.classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(out[i]["kept"] for i in range(1800, 1860)) and not any(out[i]["kept"] for i in range(0, 1800, 10))
+    assert out[1820]["threshold"] > out[1]["threshold"] and out[1850]["threshold"] is None
+
+
 def test_quality_model_is_a_distribution(spark):
     """Shares and weights of the shards sum to 1 over all words and the unknown one, after any history."""
     rng = random.Random(5)
