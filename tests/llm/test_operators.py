@@ -100,6 +100,16 @@ def test_quality_judges_each_language_by_its_own_documents(spark):
     assert out[1820]["threshold"] > out[1]["threshold"] and out[1850]["threshold"] is None
 
 
+def test_quality_sample_with_a_long_text(spark, monkeypatch):
+    """A text longer than the bound takes no other's place, not even as the first by hash."""
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 10_000)
+    trusted = spark.range(30).toDF("doc_id")
+    ids = [r["doc_id"] for r in quality._split(trusted, "doc_id").filter("pmod(_h, 3) <> 0").orderBy("_h", "doc_id").collect()]
+    d = spark.createDataFrame([(i, "ab cd " * (5000 if i == ids[0] else 10)) for i in range(30)], "doc_id long, text string")
+    got = [r["_t"] for r in quality.sample(d, trusted, "doc_id", "text").collect()]
+    assert len(got) == len(ids) and max(map(len, got)) == 100
+
+
 def test_quality_model_is_a_distribution(spark):
     """Shares and weights of the shards sum to 1 over all words and the unknown one, after any history."""
     rng = random.Random(5)
