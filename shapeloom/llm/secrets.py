@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest, DataFrame operations only.
 
-Candidates are runs of at least SHORTEST characters of [A-Za-z0-9+/_=-] that hold a digit. One split of
-a text by the pattern gives what stands before and after each of them. Features of a candidate: length,
+Candidates are runs of at least SHORTEST characters of [A-Za-z0-9+/_=-] and, where a secret's name and
+an assignment stand before them, all values: what stands between quotes, or up to white space or a
+separator, of SHORT characters or more. One split of a text by the pattern gives what stands before and
+after each candidate; the forest removes the false ones. Features of a candidate: length,
 shares of digits, capitals, small letters and other signs, changes of character class between
 neighbours, number of different characters, coverage by dictionary words, signs of a path or address
 in it and just before it, and words that name a secret, or a digest, number or placeholder, around it.
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from ._store import read, table
 
 SHORTEST = 16
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{%d,}" % SHORTEST
+SHORT = 4
 AROUND = 48
-TREES, DEPTH, FINDINGS = 40, 8, 6000
+TREES, DEPTH, FINDINGS = 40, 8, 12000
 # fixed values: common words and name parts found in identifiers
 DICTIONARY = (
     "about access account after again agent also and any app base before build cache call case check class client code config "
@@ -40,17 +42,23 @@ DICTIONARY = (
     "step store string style system table task test text that the this time title token true type update upload user value "
     "version video view was week window with word work write year"
 ).split()
+SYLLABLES = "tion ment ness able ing ung lich keit heit schaft elle ique ado mente cion ver be ge ent er re in ant al ou est zu ei sch ter ly ful".split()
 NAMES = r"(?i)(secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
+# a value that a secret's name and an assignment stand before, quoted or bare; Java's look-behind has to be bounded
+ASSIGNED = r"(?<=%s[A-Za-z0-9_-]{0,16}[\"']?\s{0,4}(?::=|=>|[=:])\s{0,4}" % NAMES
+_LAST = r"(?<=[=:>]\s{0,4}[\"']?)"  # the cheap part of ASSIGNED, tried first
+VALUE = r"%s(?:%s\")[^\"\s]{%d,}(?=\")|%s')[^'\s]{%d,}(?=')|%s)[^\s\"'<>(){}\[\],;=:][^\s\"'<>(){}\[\],;]{%d,})" % (_LAST, ASSIGNED, SHORT, ASSIGNED, SHORT, ASSIGNED, SHORT - 1)
+CANDIDATE = r"%s|(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % (VALUE, SHORTEST)
 LOOKALIKE = r"(?i)(commit|sha-?\d*|md5|digest|checksum|hash|uuid|guid|version|build|isbn|phone|tel|card|account|invoice|order|example|sample|dummy|placeholder|revision|blob|etag)"
 CONTEXT = ("name_before", "assigned", "quoted", "alike_before", "path_before", "alike_after")
-SHAPE = ("length", "digits", "capitals", "small", "signs", "changes", "different", "covered", "slashes", "hex", "dashes", "ending")
+SHAPE = ("length", "digits", "capitals", "small", "signs", "changes", "different", "covered", "slashes", "hex", "dashes", "ending", "issuer")
 
 
 def features(df: DataFrame) -> DataFrame:
     """`df` (candidate, before, after) with the columns of SHAPE and CONTEXT."""
     c, n = F.col("candidate"), F.char_length("candidate").cast("double")
     share = lambda drop: 1 - F.char_length(F.regexp_replace(c, drop, "")) / n
-    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "\u0001"), "[A-Z]+", "\u0002"), "[a-z]+", "\u0003"), "[+/_=-]+", "\u0004")
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]+", "\u0001"), "[A-Z]+", "\u0002"), "[a-z]+", "\u0003"), "[^A-Za-z0-9\u0001-\u0003]+", "\u0004")
     flag = lambda x: x.cast("double")
     return df.withColumns(
         {
@@ -58,7 +66,7 @@ def features(df: DataFrame) -> DataFrame:
             "digits": share("[0-9]"),
             "capitals": share("[A-Z]"),
             "small": share("[a-z]"),
-            "signs": share("[+/_=-]"),
+            "signs": share("[^A-Za-z0-9]"),
             "changes": (F.char_length(kinds) - 1) / n,
             "different": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(64.0)),
             "covered": 1 - F.char_length(F.regexp_replace(F.lower(c), "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")) / n,
@@ -66,6 +74,7 @@ def features(df: DataFrame) -> DataFrame:
             "hex": flag(c.rlike("^[0-9a-f]+$")),
             "dashes": F.char_length(F.regexp_replace(c, "[^-]", "")).cast("double"),
             "ending": flag(c.rlike("=$")),
+            "issuer": flag(c.rlike("^(AKIA|ASIA|gh[opsu]_|sk_live_|sk-|xox[abp]-|glpat-|AIza)")),
             "name_before": flag(F.col("before").rlike(NAMES + r"[^A-Za-z0-9]{0,6}$")),
             "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
             "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
@@ -104,6 +113,29 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(words, F.lit("item")), F.concat(lead, pick("o", ["", "/", "https://example.com/", "see ", "class "]))),
         (F.concat(F.lit("2021-03-"), F.substring(digits, 1, 2), F.lit("T10-20-30-"), F.substring(digits, 3, 4)), F.concat(lead, pick("q", ["date ", "at ", "log-"]))),
     ]
+    # values after a name and an assignment: passwords, keys without digits or with other signs; and words, variables and placeholders
+    at = F.concat(lead, pick("n", ["token", "secret", "api_key", "API_KEY", "password", "passwd", "pwd", "auth_token", "client_secret", "credential"]), pick("v", [' = "', '="', "=", ": ", ': "', " = '", " = "]))
+    letters = F.regexp_replace(b64, "[^A-Za-z]", "")
+    mixed = F.concat(F.initcap(pick("w1", DICTIONARY)), pick("g", ["!", "&", "$", "@", "#", "%", "?", "", "_"]), F.substring(digits, 1, 3), pick("g2", ["!", "&", "xY", "", "zq", "$"]), F.initcap(pick("w2", DICTIONARY)), F.substring(digits, 5, 2))
+    secret += [
+        (F.substring(letters, 1, 24), at),
+        (mixed, at),
+        (F.concat(F.substring(b64, 3, 5), pick("g", ["!", "&", "$", "@", "#", "%", "?", "^", "*"]), F.substring(b64, 9, 6), pick("g2", ["!", "&", "~", "", ".", "$"])), at),
+        (F.concat(pick("w1", DICTIONARY), F.substring(digits, 1, 2), F.initcap(pick("w2", DICTIONARY)), F.substring(digits, 4, 1)), at),
+        (F.concat(F.lit("AKIA"), F.translate(F.upper(F.substring(h("x"), 1, 16)), "0123456789", "GHKMQRTVXZ")), F.concat(lead, pick("m", ["", "key ", "use ", "= ", '"']))),
+    ]
+    dotted = pick("j2", [".", "_", "->", "."])
+    other += [
+        (pick("w1", DICTIONARY), at),
+        (F.concat(pick("w1", DICTIONARY), dotted, pick("w2", DICTIONARY)), at),
+        (F.concat(pick("y1", ["your_", "my-", "the_", "<your-", "${", "$", "example_", "process.env.", "os.environ."]), pick("w1", DICTIONARY), join, pick("w2", DICTIONARY)), at),
+        (pick("y2", ["None", "null", "true", "false", "********", "xxxxxxxx", "changeme", "undefined", "required", "string", "String", "self.token", "optional", "<password>"]), at),
+        (F.concat(pick("w1", DICTIONARY), join, pick("w2", DICTIONARY), join, pick("w3", DICTIONARY), pick("y3", ["", "s", "ing", "er"])), F.concat(lead, pick("o", ["", "/", "https://example.com/", "see ", "class "]))),
+        (F.concat(F.repeat(pick("y4", ["-", "=", "_", "*"]), 20), F.lit("=")), lead),
+        (F.concat(pick("w1", DICTIONARY), F.initcap(pick("w2", DICTIONARY)), F.initcap(pick("w3", DICTIONARY)), F.initcap(pick("w4", DICTIONARY))), F.concat(lead, pick("o", ["", "the ", "def ", "see ", "class "]))),
+        (F.concat(pick("w1", DICTIONARY), pick("w2", DICTIONARY), pick("w3", DICTIONARY), pick("w4", DICTIONARY)), F.concat(lead, pick("o", ["", "the ", "a ", "see ", "of "]))),
+        *((put(F.concat(*(pick(f"z{i}", SYLLABLES) for i in range(7)))), F.concat(lead, pick("o2", ["", "the ", "a ", "und ", "of ", "\n", ". "]))) for put in (F.lower, F.initcap, F.upper)),
+    ]
     each = len(secret) + len(other)
     kind = F.pmod("id", F.lit(each))
     both = [*((c, b, 1.0) for c, b in secret), *((c, b, 0.0) for c, b in other)]
