@@ -5,7 +5,9 @@ word it stands on and moves on if a random bit of (j, word) says so, so that win
 distance become sequences at a small Hamming distance. A key samples some of the steps; WALKS walks
 with SAMPLES keys each are repeated draws. Windows have about the items' size, WINDOW words at most:
 items are covered by a window at every word, and documents by one at every STRIDE-th word; items of
-fewer than SHORT words have windows of just their size, and documents such windows at every word.
+fewer than SHORT words have windows of just their size, and documents such windows at every word. Where
+most words have a small change no window survives; so every PIECE words in a row of items and documents
+make one more key, of the words as they are.
 
 The items' keys fill a Bloom filter of bounded size. A task walks the windows of its documents; where
 a key is in the filter it returns the surrounding passage once, and the keys. Keys then meet the items'
@@ -33,6 +35,7 @@ from . import _hash, _store, _text
 
 WINDOW, STRIDE, WALKS, SAMPLES, STEPS, TAKEN = 10, 4, 3, 4, 2, 8
 SHORT = 11
+PIECE = 3
 PERCENT = 20
 _RNG = np.random.Generator(np.random.PCG64(4111))
 _TURN = _RNG.integers(0, 2**63, (WALKS, STEPS * WINDOW), dtype=np.uint64) | np.uint64(1)
@@ -59,6 +62,8 @@ def _picks(size: int) -> np.ndarray:
 def keys(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """(positions, WALKS * SAMPLES) keys of the windows of `size` words that start at `at`."""
     x = np.concatenate([h, np.zeros(size + 1, np.uint64)])
+    if size == PIECE:  # one key, of all the words
+        return _text.mix(sum(x[at + j] * _SEED[0, 0, j] for j in range(size)) + np.uint64(size))[:, None]
     picks = _picks(size)
     out = np.zeros((len(at), WALKS * SAMPLES), np.uint64)
     for lo in range(0, len(at), CHUNK):
@@ -98,10 +103,10 @@ def item_keys(found: DataFrame) -> DataFrame:
             h, offs, *_ = _text.words(rb.column("words"))
             for i, item in enumerate(rb.column("item").to_pylist()):
                 x = h[offs[i] : offs[i + 1]]
-                size, _ = window(len(x))
-                at = np.arange(len(x) - size + 1)
-                k = keys(x, at, size)
-                yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array([item] * k.size, pa.int64()), pa.array(np.repeat(at, k.shape[1]))], names=["k", "item", "at"])
+                for size in {window(len(x))[0], min(PIECE, len(x))}:
+                    at = np.arange(len(x) - size + 1)
+                    k = keys(x, at, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array([item] * k.size, pa.int64()), pa.array(np.repeat(at, k.shape[1]))], names=["k", "item", "at"])
 
     return _store.table(found.select("item", "words").mapInArrow(run, "k long, item long, at long").distinct(), "item-keys")
 
@@ -204,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(doc_id, item_id, distance) for every document and benchmark item that it holds."""
     spark = docs.sparkSession
     found = _store.table(items(benchmark, item_key, item_text), "items")
-    sizes = sorted({window(r[0]) for r in found.select("n").distinct().collect()})
+    sizes = sorted({w for r in found.select("n").distinct().collect() for w in (window(r[0]), (min(PIECE, r[0]), 1))})
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, distance long")
     known = item_keys(found)

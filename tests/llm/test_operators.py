@@ -436,6 +436,24 @@ def test_decontaminate_recall_on_edits(spark):
     assert out <= {(i, i) for i, _ in items} and len(out & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("size,share", [((15, 25), 0.3), ((15, 25), 0.4), ((26, 40), 0.5), ((8, 10), 0.15)])
+def test_decontaminate_recall_on_typos(spark, size, share):
+    """Copies with one letter changed in a share of the words, within 20 % of the characters."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(*size))) for i in range(60)]
+    rows, want = [], set()
+    for i, t in items:
+        w = t.split()
+        for j in rng.sample(range(len(w)), round(share * len(w))):
+            p = rng.randrange(len(w[j]))
+            w[j] = w[j][:p] + "j" + w[j][p + 1 :]
+        if levenshtein(t, " ".join(w)) <= len(t) // 5:
+            want.add((i, i))
+        rows.append((i, f"{prose(rng, 31)} {' '.join(w)} {prose(rng, 30)}"))
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out <= {(i, i) for i, _ in items} and len(out & want) >= 0.9 * len(want) > 40, (len(out & want), len(want))
+
+
 # 8
 
 
