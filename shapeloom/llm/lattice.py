@@ -15,8 +15,9 @@ the square.
 tables as a chance of at least 0.995 to meet at the limit's cosine asks for. Every vector is indexed.
 
 Cases: null, empty, zero and non-finite vectors, and those with null components, link with nothing;
-vectors of different lengths never link; rows that share an id are one node, counted apart; a null id
-links with nothing and is kept; an empty table gives an empty result; other columns are ignored.
+vectors of different lengths never link; rows that share an id are one node, whose different vectors
+are each compared and counted apart; a null id links with nothing and is kept; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def _by_length(rb: pa.RecordBatch):
 
 
 def _keyed(vectors: DataFrame, blocks: int, tables: int) -> DataFrame:
-    """(id, cell, home): the cells of each vector."""
+    """(id, k, cell, home): the cells of each vector."""
 
     def run(batches):
         for rb in (b for x in batches for b in (x.slice(at, 1024) for at in range(0, x.num_rows, 1024))):
@@ -105,10 +106,10 @@ def _keyed(vectors: DataFrame, blocks: int, tables: int) -> DataFrame:
                 n, width = len(keys), keys.shape[1] * keys.shape[2]
                 home = np.zeros(keys.shape[1:], bool)
                 home[:, 0] = True
-                ids = np.repeat(part.column("id").to_numpy(), width)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(home.reshape(-1), n))], names=["id", "cell", "home"])
+                ids, ks = (pa.array(np.repeat(part.column(c).to_numpy(), width)) for c in ("id", "k"))
+                yield pa.RecordBatch.from_arrays([ids, ks, pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(home.reshape(-1), n))], names=["id", "k", "cell", "home"])
 
-    return vectors.select("id", "v").mapInArrow(run, "id long, cell long, home boolean")
+    return vectors.select("id", "k", "v").mapInArrow(run, "id long, k long, cell long, home boolean")
 
 
 def _first(ka: np.ndarray, kb: np.ndarray, table_: int, cell: np.uint64) -> np.ndarray:
@@ -124,15 +125,14 @@ def _first(ka: np.ndarray, kb: np.ndarray, table_: int, cell: np.uint64) -> np.n
 
 
 def _links(rows: DataFrame, limit: float, blocks: int, tables: int) -> DataFrame:
-    """(id, links, root): links found in one group of rows of a cell, and an edge to the smallest id reached."""
+    """(id, k, links, root): links found in one group of rows of a cell, and an edge to the smallest id reached."""
 
     def group(pdf: dict):
-        out_id, out_n, out_root = [], [], []
+        none = [], [], [], []
         if len(pdf["id"]) < 2 or not pdf["home"].any():
-            return out_id, out_n, out_root
-        x, ids, home, size, side = pdf["x"], pdf["id"], pdf["home"], pdf["size"], pdf["side"]
-        order = np.argsort(ids, kind="stable")
-        x, ids, home, size, side = x[order], ids[order], home[order], size[order], side[order]
+            return none
+        order = np.lexsort((pdf["k"], pdf["id"]))
+        x, ids, ks, home, size, side = (pdf[c][order] for c in ("x", "id", "k", "home", "size", "side"))
         ai, bi = [], []
         for at in range(0, len(ids), BLOCK):
             near = x[at : at + BLOCK] @ x.T >= limit
@@ -145,7 +145,7 @@ def _links(rows: DataFrame, limit: float, blocks: int, tables: int) -> DataFrame
             bi.append(q)
         a, b = np.concatenate(ai), np.concatenate(bi)
         if not len(a):
-            return out_id, out_n, out_root
+            return none
         used = np.unique(np.concatenate([a, b]))
         keys = np.zeros((len(ids), tables, 1 + PROBES), np.uint64)
         keys[used] = cells(x[used], blocks, tables)
@@ -162,22 +162,21 @@ def _links(rows: DataFrame, limit: float, blocks: int, tables: int) -> DataFrame
             if (low == root).all():
                 break
             root = low
-        return ids[used].tolist(), links[used].astype(np.int64).tolist(), ids[root[used]].tolist()
+        return ids[used].tolist(), ks[used].tolist(), links[used].astype(np.int64).tolist(), ids[root[used]].tolist()
 
     def run(batches):
         held: list = []
         key = None
 
         def flush():
-            cols = {c: np.concatenate([h[c] for h in held]) for c in ("id", "home", "size", "side")}
-            cols["x"] = np.concatenate([h["x"] for h in held])
+            cols = {c: np.concatenate([h[c] for h in held]) for c in ("id", "k", "home", "size", "side", "x")}
             return group(cols | {"cell": key[0], "cross": key[2] != key[3]})
 
         for rb in (b for y in batches for b in (y.slice(at, 4096) for at in range(0, y.num_rows, 4096))):
             names = ["cell", "d", "i", "j"]
             keys = np.stack([rb.column(c).to_numpy() for c in names], 1)
             cut = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            done = [[], [], []]
+            done = [[], [], [], []]
             for s, e in itertools.pairwise(cut.tolist()):
                 now = tuple(keys[s].tolist())
                 if now != key:
@@ -186,14 +185,14 @@ def _links(rows: DataFrame, limit: float, blocks: int, tables: int) -> DataFrame
                             x += y
                     held, key = [], now
                 part = rb.slice(s, e - s)
-                held.append({c: part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "home", "size", "side")} | {"x": _matrix(part.column("v"), now[1])})
+                held.append({c: part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "k", "home", "size", "side")} | {"x": _matrix(part.column("v"), now[1])})
             if done[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=["id", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=["id", "k", "links", "root"])
         if held and (last := flush())[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in last], names=["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in last], names=["id", "k", "links", "root"])
 
     keys = ["cell", "d", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, links long, root long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, k long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: float = LIMIT, block: int = 2048) -> DataFrame:
@@ -205,19 +204,22 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     rows = rows.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(2), "v")))
     live = rows.filter("v is not null")
     same = table(live.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")), "classes")
-    reps = live.join(same, (F.col("vec_id") == F.col("id")) & (live.h1 == same.h1) & (live.h2 == same.h2)).select("id", "v", "size").dropDuplicates(["id"])
+    # an id that stands for several classes, which takes repeated ids, tells them apart by k
+    several = same.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("id").alias("_i"))
+    same = table(same.join(several, F.col("id") == F.col("_i"), "left").withColumn("k", F.when(F.col("_i").isNull(), F.lit(0)).otherwise(F.col("h1")).cast("long")).drop("_i"), "named")
+    reps = live.join(same, (F.col("vec_id") == F.col("id")) & (live.h1 == same.h1) & (live.h2 == same.h2)).select("id", "k", "v", "size").dropDuplicates(["id", "k"])
     reps = table(reps.withColumn("d", F.size("v").cast("long")), "vectors")
     blocks, tables = plan(reps.count())
     keyed = table(_keyed(reps, blocks, tables), "cells")
     crowd = keyed.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 and any")
     crowd = crowd.select("cell", F.ceil(F.col("n") / block).alias("nb"))
-    met = keyed.join(crowd, "cell").withColumn("side", F.pmod(F.xxhash64("id", F.lit("side")), F.col("nb")))
+    met = keyed.join(crowd, "cell").withColumn("side", F.pmod(F.xxhash64("id", "k", F.lit("side")), F.col("nb")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    met = met.select("id", "cell", "home", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    found = table(_links(met.join(reps, "id"), limit, blocks, tables), "found")
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    met = met.select("id", "k", "cell", "home", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    found = table(_links(met.join(reps, ["id", "k"]), limit, blocks, tables), "found")
+    links = found.groupBy("id", "k").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "_c")
-    known = same.join(links, "id", "left").join(comp, F.col("id") == F.col("_c"), "left")
+    known = same.join(links, ["id", "k"], "left").join(comp, F.col("id") == F.col("_c"), "left")
     known = known.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
     out = rows.select("vec_id", "h1", "h2").join(known, ["h1", "h2"], "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))

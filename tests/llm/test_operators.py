@@ -555,6 +555,31 @@ def test_lattice(spark):
     assert all(out[k]["n_links"] == 0 and out[k]["component_id"] == k for k in (500, 501, 502, 505, 506))
 
 
+def test_lattice_keeps_the_links_of_repeated_ids(spark):
+    """Every vector of an id that repeats is compared, and its rows are one node."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(1, a), (1, b), (1, b), (2, a + 0.01 * rng.normal(size=16)), (3, b + 0.01 * rng.normal(size=16)), (4, rng.normal(size=16))]
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>")
+    out = Counter(tuple(r) for r in lattice.near_vectors(d).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert out == Counter([(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 0, 4, True)])
+
+
+@pytest.mark.parametrize("blocks", [2, 3])
+def test_lattice_with_the_cells_of_large_tables(spark, monkeypatch, blocks):
+    monkeypatch.setattr(lattice, "MOST", {b: 0 if b < blocks else 2**62 for b in (1, 2, 3)})
+    rng = np.random.default_rng(blocks)
+    rows = []
+    for i in range(150):
+        u, o = rng.normal(size=(2, 32))
+        u /= np.linalg.norm(u)
+        o -= (o @ u) * u
+        c = rng.uniform(0.9005, 0.95)
+        rows += [(2 * i, u.tolist()), (2 * i + 1, (c * u + math.sqrt(1 - c * c) * o / np.linalg.norm(o)).tolist())]
+    out = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("n_links > 0").count()
+    assert out >= 0.97 * len(rows)
+
+
 def test_e8_is_nearest():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8)) * 2
