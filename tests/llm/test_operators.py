@@ -272,18 +272,66 @@ def test_mixing(spark, docs, empty):
         biggest = max(len(words(t)) for _, x, t in rows if x == s)
         assert abs(taken[s] - want[s]) <= biggest
     again = Counter((r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(5)).collect())
-    assert sum(again.values()) == len(rows) and mixing.mix(empty).count() == 0
+    assert again == Counter((r["doc_id"], r["taken"]) for r in out) and mixing.mix(empty).count() == 0
     text = mixing.mix(docs, with_text=True)
     assert Counter(r["text"] for r in text.collect()) == Counter(r["text"] for r in rows)
 
 
-@pytest.mark.parametrize("sizes", [{"a": 1, "b": 100, "c": 100}, {"a": 0, "b": 5}, {"a": 3}, {"a": 1, "b": 1, "c": 1, None: 1000}])
-def test_targets_and_newton(spark, sizes):
-    rows = spark.createDataFrame([(s if s is not None else mixing.NULL, n) for s, n in sizes.items()], "_source string, source_size long")
+@pytest.mark.parametrize("sizes", [{"a": 1, "b": 100, "c": 100}, {"a": 0, "b": 5}, {"a": 3}, {"a": 1, "b": 1, "c": 1, None: 1000}, {f"s{i:02d}": i * i for i in range(40)}])
+def test_targets(spark, sizes):
+    rows = spark.createDataFrame([(s if s is not None else mixing.NULL, n) for s, n in sizes.items()], "_mix_source string, source_size long")
     want = brute_targets(sizes, (5, 2, 1))
-    for r in mixing.solve(mixing.targets(rows)).collect():
-        s = None if r["_source"] == mixing.NULL else r["_source"]
-        assert r["target"] == pytest.approx(want[s]) and r["rate"] * sizes[s] == pytest.approx(want[s], rel=1e-6)
+    got = {r["_mix_source"]: r["target"] for r in mixing.targets(rows).collect()}
+    assert got == {mixing.NULL if s is None else s: pytest.approx(t) for s, t in want.items()}
+
+
+def test_mixing_solves_the_dual(spark):
+    """Rates meet every target within the cap, and no feasible change of two documents' rates lowers the objective."""
+    rng = np.random.default_rng(4)
+    rows = [(s, int(n), float((np.log(n) - 4) / 1.2)) for s, k, mu in (("a", 40, 3), ("b", 60, 4), ("c", 80, 5), ("d", 5, 4)) for n in np.exp(rng.normal(mu, 1, k)) + 1]
+    sized = spark.createDataFrame(rows, "_mix_source string, size long, _mix_f double")
+    total = {s: sum(n for x, n, _ in rows if x == s) for s in "abcd"}
+    share = {"a": 2.6, "b": 0.7, "c": 0.4, "d": 3.0}
+    goals = spark.createDataFrame([(s, total[s], share[s] * total[s]) for s in "abcd"], "_mix_source string, source_size long, target double")
+    duals, m = mixing.solve(sized, goals)
+    l = {r["_mix_source"]: r["l"] for r in duals.collect()}
+    n, f, src = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+    rate = np.minimum(3, np.exp(np.minimum([l[s] for s in src] + m * f, 2)))
+    for s in "abcd":
+        assert (n * rate)[src == s].sum() == pytest.approx(share[s] * total[s], rel=1e-6)
+    assert 0 < (rate[src == "a"] == 3).sum() < 40 and len(set(rate[src == "b"].round(6))) > 30  # tilted by document, capped inside
+    w = sum(share[s] * total[s] for s in "abcd")
+    value = lambda r: (n * (r * np.log(r) - r + 1)).sum() + ((n * r * f).sum() / w) ** 2 * w / (2 * mixing.RIDGE)
+    for s in "abc":
+        free = np.flatnonzero((src == s) & (rate < 2.99))
+        for i, j in rng.choice(free, (20, 2)):
+            if i != j:
+                for eps in (1e-3, -1e-3):
+                    other = rate.copy()
+                    other[i] += eps / n[i]
+                    other[j] -= eps / n[j]
+                    assert value(other) >= value(rate) - 1e-7
+
+
+def test_mixing_splits_rows_without_keys_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 50)
+    seen = []
+    monkeypatch.setattr(mixing, "table", lambda df, name, real=mixing.table: seen.append((name, real(df, name))) or seen[-1][1])
+    rng = random.Random(2)
+    rows = [(None, "hot", prose(rng, 5)) for _ in range(400)] + [(7, "hot", "same words here")] * 300 + [(i, "cold", prose(rng, 8)) for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix(d)
+    sizes = Counter()
+    for _, s, t in rows:
+        sizes[s] += len(words(t))
+    want, taken = brute_targets(sizes, (5, 2, 1)), Counter()
+    for r in out.collect():
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 8 * 14 for s in sizes)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_mix_block" in plan
+    blocks = Counter(r["b"] for r in dict(seen)["sized"].filter("source = 'hot'").select(F.pmod(F.when(F.col("doc_id").isNull(), F.col("_mix_tie")).otherwise(F.xxhash64("_mix_tie", "_mix_row")), F.lit(14)).alias("b")).collect())
+    assert max(blocks.values()) < 120
 
 
 # 5
