@@ -1,9 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes, with DataFrame operations only.
 
-Documents come in batches of ascending key. A batch's distinct line hashes are merge-anti-joined with
-the runs of the batches before it; those that are new become a sorted run of level 0. When a level
-holds `fanout` runs they are merged into one sorted run of the next level, so that a batch meets only a
-logarithmic number of runs. What a batch finds repeated is kept as a table (hash, batch, owner): the
+All lines' hashes are written once, dealt into batches of ascending document key. A batch's distinct
+hashes are merge-anti-joined with the runs of the batches before it; those that are new become a sorted
+run of level 0. When a level holds `fanout` runs they are merged into one sorted run of the next level,
+so that a batch meets only a logarithmic number of runs. A run is a table of one sorted file for each of
+a fixed number of buckets of hashes. A batch is exchanged once, into these buckets, and sorted there;
+joins with runs, merges of runs and the join at the end move no run's rows. What a batch finds repeated is kept as a table (hash, batch, owner): the
 owner is the smallest key in the batch, or none where an earlier batch holds the line. At the end
 every line of a repeated hash goes, but for its owner's.
 
@@ -18,10 +20,12 @@ other columns are ignored. Rows with equal key and text are equal in the result.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import read, table
+from ._store import read, shared
 
 LEAST = 10
 BATCHES = 4
@@ -41,16 +45,23 @@ def line_key(line: Column) -> Column:
 
 
 class Runs:
-    """Levels of sorted runs of (h1, h2); every run is a table in the shared folder."""
+    """Levels of sorted runs of (h1, h2); every run is a table of sorted buckets in the shared folder."""
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, [[]]
+    def all(self) -> list[DataFrame]:
+        return [self.spark.table(r) for level in self.levels for r in level]
 
-    def all(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
+    def table(self, rows: DataFrame, name: str) -> str:
+        """A table of rows, whose tasks hold a bucket each, as sorted buckets; returns its name."""
+        path = shared(self.spark, name)
+        name = f"shapeloom_{path.rsplit('/', 1)[1].replace('-', '_')}"
+        rows.write.format("parquet").option("path", path).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.paths[name] = path
+        return name
 
     def add(self, new: DataFrame) -> None:
         self._put(0, new)
@@ -58,13 +69,31 @@ class Runs:
     def _put(self, level: int, rows: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(table(rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), f"run-{level}"))
+        self.levels[level].append(self.table(rows, f"run-{level}"))
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            merged = runs[0]
-            for r in runs[1:]:
-                merged = merged.unionByName(r)
+            merged = self.spark.table(runs[0])
+            for r in runs[1:]:  # no hash is in two runs
+                merged = merged.join(self.spark.table(r).hint("merge"), ["h1", "h2"], "full")
             self._put(level + 1, merged)
+            self.drop(runs)
+
+    def drop(self, names: list[str]) -> None:
+        """Take tables out of the catalogue; their files stay as long as the shared folder's others."""
+        for n in names:
+            self.spark.sql(f"DROP TABLE {n}")
+            del self.paths[n]
+
+    @contextlib.contextmanager
+    def ordered(self):
+        """Lets Spark know the order of buckets that are one file each, so that merges don't sort them again."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name, "false")
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -75,20 +104,22 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return keyed.select("_doc", "_text_hash", "_batch", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
-def repeated(docs: DataFrame, n_batches: int, least: int, runs: Runs) -> DataFrame:
+def repeated(lines: DataFrame, n_batches: int, runs: Runs) -> DataFrame:
     """(h1, h2, _batch, owner) of the hashes that a batch must drop; owner null: from all its documents."""
     found = None
     for b in range(n_batches):
-        lines = _lines(docs.filter(F.col("_batch") == b), least)
-        mine = lines.groupBy("h1", "h2").agg(F.min("_doc").alias("owner"), F.max("_doc").alias("other"))
-        old = runs.all()
-        if old is not None:
-            mine = mine.join(old.withColumn("old", F.lit(True)), ["h1", "h2"], "left")
-        else:
-            mine = mine.withColumn("old", F.lit(None).cast("boolean"))
-        mine = table(mine, "batch")
-        runs.add(mine.filter("old is null").select("h1", "h2"))
-        bad = mine.filter("old or owner <> other").select("h1", "h2", F.lit(b).alias("_batch"), F.when(F.col("old").isNull(), F.col("owner")).alias("owner"))
+        mine = lines.filter(F.col("_batch") == b).groupBy("h1", "h2").agg(F.min("_doc").alias("owner"), F.max("_doc").alias("other"))
+        old = F.lit(False)
+        for i, run in enumerate(runs.all()):
+            mine = mine.join(run.withColumn(f"_r{i}", F.lit(True)).hint("merge"), ["h1", "h2"], "left")
+            old |= F.coalesce(f"_r{i}", F.lit(False))
+        mine = mine.select("h1", "h2", "owner", "other", old.alias("old"))
+        with runs.ordered():
+            name = runs.table(mine, "batch")
+            runs.add(runs.spark.table(name).filter("not old").select("h1", "h2"))
+        mine = runs.spark.read.schema(mine.schema).parquet(runs.paths[name])
+        runs.drop([name])
+        bad = mine.filter("old or owner <> other").select("h1", "h2", F.lit(b).alias("_batch"), F.when(~F.col("old"), F.col("owner")).alias("owner"))
         found = bad if found is None else found.unionByName(bad)
     return found
 
@@ -101,8 +132,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     for c in cuts or []:
         batch = batch + F.when(F.col("_doc") > c, 1).otherwise(0)
     base = base.withColumn("_batch", batch).withColumn("_text_hash", F.xxhash64("text"))
-    bad = repeated(base, n_batches, least, Runs(fanout))
-    lines = _lines(base, least)
+    path = shared(docs.sparkSession, "lines")
+    _lines(base, least).write.partitionBy("_batch").parquet(path)
+    lines = docs.sparkSession.read.schema("_doc long, _text_hash long, pos int, h1 long, h2 long, _batch int").parquet(path)
+    runs = Runs(docs.sparkSession, fanout)
+    bad = repeated(lines, n_batches, runs)
+    runs.drop(list(runs.paths))
     hit = lines.join(bad, ["h1", "h2", "_batch"]).filter("owner is null or owner <> _doc")
     drops = hit.groupBy("_doc", "_text_hash").agg(F.collect_set("pos").alias("_drop"))
     out = base.join(drops, ["_doc", "_text_hash"], "left")

@@ -366,10 +366,18 @@ def test_line_dedup(spark, empty):
 
 
 def test_runs_are_levelled(spark):
-    runs = line_dedup.Runs(fanout=2)
-    for i in range(5):
-        runs.add(spark.range(i * 10, i * 10 + 10).select(F.col("id").alias("h1"), F.col("id").alias("h2")))
-    assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.all().count() == 50
+    runs = line_dedup.Runs(spark, fanout=2)
+    with runs.ordered():
+        for i in range(5):
+            runs.add(spark.range(i * 10, i * 10 + 10).select(F.col("id").alias("h1"), F.col("id").alias("h2")).repartition(runs.buckets, "h1", "h2"))
+        assert [len(x) for x in runs.levels] == [1, 0, 1] and sum(r.count() for r in runs.all()) == 50
+        met = spark.range(20, 60).select(F.col("id").alias("h1"), F.col("id").alias("h2")).groupBy("h1", "h2").count()
+        for r in runs.all():
+            met = met.join(r.hint("merge"), ["h1", "h2"], "left_anti")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and met.count() == 10  # runs are neither moved nor sorted
+    runs.drop(list(runs.paths))
+    assert not spark.catalog.listTables()
 
 
 # 6
