@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -30,10 +31,26 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def query(f):
+    """A query whose result is written to the shared folder, after which all its other tables there are removed."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scope() as made:
+            out = f(spark, sf_dir)
+        out = table(out, f.__name__)
+        remove(spark, made)
+        return out
+
+    return run
+
+
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset (tests), under a folder of our own."""
+    """A new path under spark.checkpoint.dir; in local mode (tests) a folder of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = f"file://{tempfile.mkdtemp(prefix='shapeloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -65,4 +82,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["files", "read", "remove", "scope", "shared", "spread", "table"]
+__all__ = ["files", "query", "read", "remove", "scope", "shared", "spread", "table"]

@@ -237,5 +237,6 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     return read_back(write(docs, folder, tokenizer), folder)
 
 
+@_store.query
 def op3_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_store.read(spark, sf_dir, "documents"))

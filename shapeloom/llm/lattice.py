@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._graph import components
-from ._store import read, table
+from ._store import query, read, table
 
 LIMIT = 0.9
 PROBES = 3
@@ -226,6 +226,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+@query
 def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings"))
 

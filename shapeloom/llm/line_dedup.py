@@ -25,7 +25,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import read, shared
+from ._store import query, read, shared
 
 LEAST = 10
 BATCHES = 4
@@ -148,6 +148,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     return out.select("doc_id", "n_lines", F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text"))
 
 
+@query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -306,5 +306,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
+@_store.query
 def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_store.read(spark, sf_dir, "documents"))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import read, table
+from ._store import query, read, table
 
 CAP = 3.0
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -205,5 +205,6 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return out.select(*extra, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")

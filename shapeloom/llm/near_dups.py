@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _hash, _text
 from ._graph import components
-from ._store import read, table
+from ._store import query, read, table
 
 ROWS, BANDS, SKETCH = 5, 32, 512
 WIDE, WIDE_SKETCH = 1024, 4096
@@ -239,6 +239,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@query
 def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "documents"), size=4)
 

@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import read, table
+from ._store import query, read, table
 
 SHORTEST = 16
 SHORT = 4
@@ -180,5 +180,6 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id"
     return found.select("doc_id", "start", F.char_length("candidate").cast("long").alias("n_chars"), "candidate", F.round(p, 6).alias("probability"), (p >= 0.5).alias("is_secret"))
 
 
+@query
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))

@@ -208,6 +208,7 @@ def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return read_back(normalise(write(pages, folder, least), folder), folder)
 
 
+@_store.query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_store.read(spark, sf_dir, "pages"))
 
