@@ -1,7 +1,14 @@
-"""Answer-set programs of a validation: facts of the reachable graph and the schema, and the rules they need.
+"""Answer-set programs of a validation: facts of the reachable graph, and rules that a schema compiles to.
 
-Facts: arc/3, iri/1, bNode/1, literal/2, label/1, schema/2, shape/1, shapeMap/2; results are result/2.
-Data facts are rows of a table, as many as the graph has; schema facts and rules are text on the driver.
+A program derives failures. Every different subexpression of the schema has a number, and fails(I, X) holds
+if node X does not conform to subexpression I. Failures grow from the graph's facts by least fixpoints,
+so what nothing refutes conforms, which is how recursive references are meant. A rule is written out
+for each subexpression, with the numbers of its parts; programs whose negation is stratified, which are those that the
+plan-based validator takes, have one answer set. Counts are of values that fail, wherever a minimum is asked
+for: its failure is monotone. "All values conform" has a rule of its own, so that it can recurse.
+
+Data facts are arc/3, iri/1, bNode/1 and literal/2: rows of a table, as many as the graph has. The schema's rules, the
+facts root/2 (label, number) and asked/2 (node, label), and the results yes/2 and no/2 are text on the driver.
 """
 
 from __future__ import annotations
@@ -15,29 +22,8 @@ from ..plans import paths as P
 from ..plans import slang as L
 from ..sources.terms import BNODE, IRI, Node
 
-RULES = {
-    L.STrue: "hasShape(X, true) :- node(X).",
-    L.IRIKind: "hasShape(X, iri) :- iri(X).\n:- hasShape(X, iri), not iri(X).",
-    L.BNodeKind: "hasShape(X, bNode) :- bNode(X).\n:- hasShape(X, bNode), not bNode(X).",
-    L.Datatype: "hasShape(X, datatype(D)) :- literal(X, D), shape(datatype(D)).\n:- hasShape(X, datatype(D)), not literal(X, D).",
-    L.And: "hasShape(X, and(A, B)) :- shape(and(A, B)), hasShape(X, A), hasShape(X, B).\n:- hasShape(X, and(A, B)), not hasShape(X, A).\n:- hasShape(X, and(A, B)), not hasShape(X, B).",
-    L.Not: "hasShape(X, neg(A)) :- node(X), shape(neg(A)), not hasShape(X, A).\n:- hasShape(X, neg(A)), hasShape(X, A).",
-    L.Ref: "hasShape(X, ref(N)) :- schema(N, A), shape(ref(N)), hasShape(X, A).\n:- hasShape(X, ref(N)), schema(N, A), not hasShape(X, A).",
-    L.QualifiedArc: "arcs(X, P, A, K) :- node(X), shape(qa(P, A, _, _)), K = #count { V : step(X, P, V), hasShape(V, A) }.\n"
-    "hasShape(X, qa(P, A, Lo, Hi)) :- shape(qa(P, A, Lo, Hi)), arcs(X, P, A, K), Lo <= K, K <= Hi.\n"
-    "hasShape(X, qa(P, A, Lo, star)) :- shape(qa(P, A, Lo, star)), arcs(X, P, A, K), Lo <= K.\n"
-    ":- hasShape(X, qa(P, A, Lo, Hi)), arcs(X, P, A, K), K < Lo.\n:- hasShape(X, qa(P, A, Lo, Hi)), Hi != star, arcs(X, P, A, K), K > Hi.",
-}
-FRAME = """node(X) :- arc(X, _, _).
-node(X) :- arc(_, _, X).
-node(X) :- shapeMap(X, _).
-step(X, P, V) :- arc(X, P, V).
-step(X, inv(P), V) :- arc(V, P, X), shape(qa(inv(P), _, _, _)).
-step(X, other(N), V) :- arc(X, P, V), shape(qa(other(N), _, _, _)), not named(N, P).
-{ hasShape(X, A) } :- node(X), shape(A).
-result(X, N) :- shapeMap(X, N), schema(N, A), hasShape(X, A).
-result(X, no(N)) :- shapeMap(X, N), schema(N, A), not hasShape(X, A).
-#show result/2."""
+NODES = ["node(X) :- arc(X, _, _).", "node(X) :- arc(_, _, X).", "node(X) :- asked(X, _)."]
+ANSWERS = ["yes(X, L) :- asked(X, L), root(L, I), not fails(I, X).", "no(X, L) :- asked(X, L), root(L, I), fails(I, X).", "#show yes/2.", "#show no/2."]
 
 
 def quoted(x: str) -> str:
@@ -76,57 +62,69 @@ class Program:
     """The schema's part of a program."""
 
     def __init__(self, shapes: dict[str, L.SLang]):
-        self.shapes, self.others = shapes, {}
-
-    def path(self, p) -> str:
-        match p:
+        self.shapes, self.numbers, self.steps, self.rules = shapes, {}, {}, []
+        self.roots = {x: self.number(s) for x, s in shapes.items()}
+
+    def step(self, path) -> int:
+        """The number of a path, whose pairs are step(number, X, V); its rules are written when it is met first."""
+        if path in self.steps:
+            return self.steps[path]
+        i = self.steps[path] = len(self.steps)
+        match path:
             case P.Pred(x):
-                return quoted(x)
+                self.rules.append(f"step({i}, X, V) :- arc(X, {quoted(x)}, V).")
             case P.Inv(P.Pred(x)):
-                return f"inv({quoted(x)})"
+                self.rules.append(f"step({i}, X, V) :- arc(V, {quoted(x)}, X).")
             case P.NoPreds(xs):
-                return f"other({self.others.setdefault(tuple(xs), len(self.others))})"
-        raise L.NotSupported(f"no term for path {P.text(p)}")
-
-    def shape(self, s: L.SLang) -> str:
+                self.rules.append(f"step({i}, X, V) :- arc(X, P, V)" + "".join(f", P != {quoted(x)}" for x in xs) + ".")
+            case _:
+                raise L.NotSupported(f"no rule for path {P.text(path)}")
+        return i
+
+    def number(self, s: L.SLang) -> int:
+        """The number of a subexpression; the rules of its failures are written when it is met first."""
+        if s in self.numbers:
+            return self.numbers[s]
+        i = self.numbers[s] = len(self.numbers)
+        fails = f"fails({i}, X) :- "
         match s:
             case L.STrue():
-                return "true"
+                bodies = []
             case L.IRIKind():
-                return "iri"
+                bodies = ["node(X), not iri(X)"]
             case L.BNodeKind():
-                return "bNode"
+                bodies = ["node(X), not bNode(X)"]
             case L.Datatype(x):
-                return f"datatype({quoted(x)})"
+                bodies = [f"node(X), not literal(X, {quoted(x)})"]
             case L.Ref(x):
-                return f"ref({quoted(x)})"
-            case L.Not(x):
-                return f"neg({self.shape(x)})"
+                if x not in self.shapes:
+                    raise KeyError(f"no shape {x}")
+                bodies = [f"root({quoted(x)}, I), fails(I, X)"]
             case L.And(a, b):
-                return f"and({self.shape(a)}, {self.shape(b)})"
-            case L.QualifiedArc(p, x, lo, hi):
-                return f"qa({self.path(p)}, {self.shape(x)}, {lo}, {'star' if hi == -1 else hi})"
-        raise TypeError(f"not a shape: {s!r}")
-
-    def parts(self, s: L.SLang):
-        yield s
-        match s:
-            case L.Not(x) | L.QualifiedArc(_, x, _, _):
-                yield from self.parts(x)
-            case L.And(a, b):
-                yield from self.parts(a)
-                yield from self.parts(b)
+                bodies = [f"fails({self.number(part)}, X)" for part in (a, b)]
+            case L.Not(L.QualifiedArc(path, L.Not(x), 1, -1)):  # all values conform to x
+                bodies = [f"step({self.step(path)}, X, V), fails({self.number(x)}, V)"]
+            case L.Not(x):
+                bodies = [f"node(X), not fails({self.number(x)}, X)"]
+            case L.QualifiedArc(path, x, low, high):
+                step, of = self.step(path), self.number(x)
+                bodies = []
+                if low > 0:
+                    bodies.append(f"node(X), N = #count {{ V : step({step}, X, V) }}, #count {{ V : step({step}, X, V), fails({of}, V) }} > N - {low}")
+                if high >= 0:
+                    bodies.append(f"node(X), #count {{ V : step({step}, X, V), not fails({of}, V) }} > {high}")
+            case _:
+                raise TypeError(f"not a shape: {s!r}")
+        self.rules += [f"{fails}{b}." for b in bodies]
+        return i
 
     def text(self, asked: list[tuple[Node, str]] = ()) -> str:
-        """Schema facts, shape-map facts of (node, label) pairs, and just the rules that they need."""
-        every = list(dict.fromkeys(x for s in self.shapes.values() for x in self.parts(s)))
-        lines = [f"label({quoted(x)})." for x in self.shapes] + [f"schema({quoted(x)}, {self.shape(s)})." for x, s in self.shapes.items()]
-        lines += list(dict.fromkeys(f"shape({self.shape(s)})." for s in every))
-        lines += [f"named({i}, {quoted(p)})." for xs, i in self.others.items() for p in xs]
+        """Facts of the schema's labels and of the (node, label) pairs asked for, and all rules."""
+        lines = [f"root({quoted(x)}, {i})." for x, i in self.roots.items()]
         for n, x in asked:
             t = quoted(n.lex) if n.kind == IRI else f"b({quoted(n.lex)})" if n.kind == BNODE else f"l({quoted(n.lex)}, {quoted('@' + n.lang if n.lang else n.dt)})"
-            lines.append(f"shapeMap({t}, {quoted(x)}).")
-        return "\n".join([*lines, *(RULES[k] for k in RULES if any(isinstance(s, k) for s in every)), FRAME]) + "\n"
+            lines.append(f"asked({t}, {quoted(x)}).")
+        return "\n".join([*lines, *NODES, *self.rules, *ANSWERS]) + "\n"
 
 
 def program(graph: DataFrame, shapes: dict[str, L.SLang], asked: list[tuple[Node, str]]) -> tuple[DataFrame, str]:

@@ -1,7 +1,9 @@
 """The minimal shape language: true, references, conjunction, datatype, node kinds, negation, qualified arcs.
 
-Everything in ShEx's flat shapes lowers to it. Its validator is a plan over sets of nodes; truth has four
-values, two bits of evidence, so that typings merge by a bitwise or.
+Everything in ShEx's flat shapes lowers to it. Its validator is a plan over sets of nodes. A status is a
+pair of bits, evidence that a node conforms and evidence that it does not: Belnap's four truth values.
+Evidence adds up where typings merge; a conjunction has evidence for it where both its parts do, and
+against it where one of them does.
 """
 
 from __future__ import annotations
@@ -16,20 +18,25 @@ from ..functions import nodes as N
 from ..sources.terms import BNODE, IRI, text
 from . import paths as P
 
-UNKNOWN, CONFORMS, NOT_CONFORMS, INCONSISTENT = 0, 1, 2, 3
+FOR, AGAINST = 1, 2
+UNKNOWN, CONFORMS, NOT_CONFORMS, INCONSISTENT = 0, FOR, AGAINST, FOR | AGAINST
+# fixed values: how statuses are printed
 SIGNS = {UNKNOWN: "?", CONFORMS: "+", NOT_CONFORMS: "-", INCONSISTENT: "!!"}
 
 
 def merge(a: int, b: int) -> int:
+    """All evidence of both."""
     return a | b
 
 
 def both(a: int, b: int) -> int:
-    """Conjunction: false if either is, else inconsistent, unknown or true in that order."""
-    for v in (NOT_CONFORMS, INCONSISTENT, UNKNOWN):
-        if v in (a, b):
-            return INCONSISTENT if (a, b) == (INCONSISTENT, NOT_CONFORMS) else v
-    return CONFORMS
+    """Conjunction."""
+    return (a & b & FOR) | ((a | b) & AGAINST)
+
+
+def contrary(a: int) -> int:
+    """Negation: evidence for and against change places."""
+    return (a & FOR) * AGAINST | (a & AGAINST) // AGAINST
 
 
 def merge_typings(*typings: DataFrame) -> DataFrame:
