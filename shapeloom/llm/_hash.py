@@ -97,7 +97,7 @@ class Bloom:
         def run(batches):
             for rb in batches:
                 k = rb.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                at = np.unique(np.concatenate(list(probes(k, bits))))
+                at = np.unique(np.concatenate([probe(k, shift, bits) for shift in SHIFTS]))
                 yield pa.RecordBatch.from_arrays([pa.array(at // (8 * page)), pa.array(at % (8 * page))], names=["page", "bit"])
 
         def block(table: pa.Table) -> pa.Table:
@@ -111,13 +111,23 @@ class Bloom:
             self.field[at : at + page] = np.frombuffer(r["bytes"], np.uint8)
 
     def has(self, k: np.ndarray) -> np.ndarray:
-        hit = np.ones(k.shape, bool)
-        for p in probes(k, self.bits):
-            hit &= (self.field[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-        return hit
+        out = np.zeros(len(k), bool)
+        out[self.find(k)] = True
+        return out
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """Places of the keys that are in the filter; a probe looks only at those that passed the ones before."""
+        at = None
+        for shift in SHIFTS:
+            p = probe(k if at is None else k[at], shift, self.bits)
+            hit = np.flatnonzero(self.field.take(p >> 3) >> (p & 7).astype(np.uint8) & np.uint8(1))
+            at = hit if at is None else at[hit]
+        return at
+
+
+SHIFTS = (7, 19, 31)
 
 
-def probes(k: np.ndarray, bits: int):
-    k = _text.mix(k)
-    for shift in (0, 17, 34):
-        yield ((k >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.int64)
+def probe(k: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    """The bit of each key that a probe looks at."""
+    return ((k * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)) & np.uint64(2**bits - 1)).astype(np.int64)
