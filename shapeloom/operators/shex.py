@@ -324,8 +324,7 @@ class Validator:
         if not self.acts(e):
             return nodes.limit(0)
         tcs = self.schema.constraints(e["expression"]) if "expression" in e else []
-        if len(tcs) > 62:
-            raise SchemaError("a shape has 62 triple constraints at most")
+        narrow = len(tcs) <= 62  # the constraints that an arc fits are bits of a long, else an array
         extra = set(e.get("extra", []))
         parts = []
         for back in (False, True):
@@ -348,7 +347,10 @@ class Validator:
                     arcs = arcs.join(good, F.col("_v") == F.col(f"_g{i}"), "left").drop(f"_g{i}")
                     ok = F.coalesce(F.col(f"_f{i}"), F.lit(False))
                 fits.append((i, on & ok))
-            mask = reduce(lambda a, b: a + b, (F.when(f, F.lit(1 << i)).otherwise(0).cast("long") for i, f in fits), F.lit(0).cast("long"))
+            if narrow:
+                mask = reduce(lambda a, b: a + b, (F.when(f, F.lit(1 << i)).otherwise(0).cast("long") for i, f in fits), F.lit(0).cast("long"))
+            else:
+                mask = F.array_compact(F.array(F.lit(None).cast("int"), *(F.when(f, F.lit(i)) for i, f in fits)))
             spare = F.col("p").isin(*extra) if extra and not back else F.lit(False)
             parts.append(arcs.select("node", mask.alias("mask"), spare.alias("spare")))
         if not parts:
@@ -357,11 +359,13 @@ class Validator:
         sep = {}
         for c in tcs:
             sep.setdefault((c["predicate"], bool(c.get("inverse"))), []).append(c)
-        lost = F.coalesce(F.count_if((F.col("mask") == 0) & ~F.col("spare")), F.lit(0)).alias("lost")
+        none = F.col("mask") == 0 if narrow else F.size("mask") == 0
+        fit = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0 if narrow else F.array_contains("mask", i)
+        lost = F.coalesce(F.count_if(none & ~F.col("spare")), F.lit(0)).alias("lost")
         flat = self._flat(e.get("expression"), tcs) if all(len(x) == 1 for x in sep.values()) else None
         bare = nodes.select(F.col("node").alias("_n"))
         if flat is not None:
-            hits = [F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias(f"c{i}") for i in range(len(tcs))]
+            hits = [F.count_if(fit(i)).alias(f"c{i}") for i in range(len(tcs))]
             per = bare.join(arcs.groupBy("node").agg(lost, *hits), F.col("_n") == F.col("node"), "left")
             ok = F.coalesce("lost", F.lit(0)) == 0
             for i, (lo, hi) in enumerate(flat):
@@ -379,7 +383,7 @@ class Validator:
         def run(batches):
             solve = lru_cache(65536)(lambda bag: _match(form, bag))
             for rb in batches:
-                ok = [solve(tuple((b["mask"], b["spare"], b["k"]) for b in (bag or ()))) for bag in rb.column("bag").to_pylist()]
+                ok = [solve(tuple((b["mask"] if narrow else sum(1 << i for i in b["mask"]), b["spare"], b["k"]) for b in (bag or ()))) for bag in rb.column("bag").to_pylist()]
                 yield rb.select(["node"]).filter(pa.array(ok, pa.bool_()))
 
         return per.mapInArrow(run, nodes.select("node").schema)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..sources.terms import LITERAL
 
 
@@ -134,15 +135,10 @@ def pairs(graph: DataFrame, path, focus: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            root = tempfile.mkdtemp(prefix="shapeloom-")
-        spark.sparkContext.setCheckpointDir(root)
+    """Cut lineage by a checkpoint in spark.checkpoint.dir."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared.root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -227,7 +227,9 @@ class Validator:
             return nodes.filter(c)
         match s:
             case And(a, b):
-                return self.conforming(b, self.conforming(a, nodes))
+                left = self.conforming(a, nodes)
+                # what follows reads its nodes more than once; without a cut a plan would double with every part
+                return self.conforming(b, left if self.column(a, F.col("node")) is not None else P._cut(left))
             case Not(x):
                 ok = self.conforming(x, nodes).select(F.col("node").alias("_n"))
                 return nodes.join(ok, F.col("node") == F.col("_n"), "left_anti")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
 from .operators import asp, convert, infer, shacl, shapemap, shex, viz
 from .operators import sparql as sq
 from .plans import paths as P
@@ -385,14 +386,7 @@ def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT '<urn:t/orders/' || o_orderkey || '> <urn:p/o_orderpriority> \"' || o_orderpriority || '\" .' AS line FROM orders UNION ALL SELECT '<urn:t/part/' || p_partkey || '> <urn:p/p_size> \"' || p_size || '\"^^<{XSD}integer> .' FROM part")
 def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph written as N-Triples in the shared folder, and read back."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='shapeloom-')}"
-    path = f"{root.rstrip('/')}/ntriples-{uuid.uuid4().hex[:12]}"
+    path = shared.path(spark, "ntriples")
     rdf.write(Tables(spark, sf_dir).graph("orders.o_orderpriority", "part.p_size"), path)
     return rdf.lines(rdf.read(spark, path)).select(F.col("value").alias("line"))
 
@@ -415,10 +409,14 @@ def rdfs_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return dict(SQL)
 
 

@@ -1,9 +1,9 @@
 """Direct mapping of tables to triples, predicate by predicate, so that a plan scans only what it uses.
 
 A row of table t with key k is <urn:t/t/k>, of class <urn:c/t>; a column is <urn:p/column>, with a typed
-literal as its object or, for a foreign key, the parent row. Keyless tables are not mapped. Keys are taken
-to be unique, as declared, so that triples need no exchange to be a set; `unique=False` makes them one
-where that is not sure.
+literal as its object or, for a foreign key, the parent row. Keyless tables are not mapped. Where all keys
+are unique the triples are a set without an exchange; whether they are is looked up once for each table (`unique=None`), and
+duplicates are removed where they are not. `unique` tells it instead: True for declared keys, False for none.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from .terms import IRI, LITERAL, STRING, TRIPLE, TYPE, XSD, Node, iri, node
 
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
 PARENTS = {("nation", "n_regionkey"): "region", ("customer", "c_nationkey"): "nation", ("supplier", "s_nationkey"): "nation", ("orders", "o_custkey"): "customer", ("lineitem", "l_partkey"): "part", ("lineitem", "l_suppkey"): "supplier", ("lineitem", "l_orderkey"): "orders", ("labels", "doc_id"): "documents"}
+_unique: dict[str, dict[tuple, bool]] = {}
 _TYPES = {"int": "integer", "bigint": "integer", "smallint": "integer", "tinyint": "integer", "double": "double", "float": "double", "boolean": "boolean", "timestamp": "dateTime", "timestamp_ntz": "dateTime", "date": "date", "string": "string"}
 
 
@@ -33,22 +34,37 @@ def prop(column: str) -> str:
 
 
 def typed(c: Column, dtype: str) -> Column:
-    """A column's values as literals; timestamps in UTC without a zone."""
+    """A column's values as literals; timestamps in the session's zone, with as many digits of a second as they have."""
     t = _TYPES.get(dtype, "decimal" if dtype.startswith("decimal") else None)
     if t is None:
         raise ValueError(f"columns of type {dtype} have no literal form")
-    lex = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if t == "dateTime" else c.cast("string")
+    lex = instant(c) if t == "dateTime" else c.cast("string")
     return node(LITERAL, lex, STRING if t == "string" else XSD + t)
 
 
+def instant(c: Column) -> Column:
+    """A timestamp as an xsd:dateTime: no fraction of a second where it is 0, else without zeros at its end."""
+    return F.rtrim(F.rtrim(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0")), F.lit("."))
+
+
 class Tables:
     """The graph of a folder of Parquet tables."""
 
-    def __init__(self, spark: SparkSession, folder: str, keys: dict | None = None, parents: dict | None = None, unique: bool = True):
+    def __init__(self, spark: SparkSession, folder: str, keys: dict | None = None, parents: dict | None = None, unique: bool | None = None):
         self.spark, self.folder, self.keys, self.parents, self.unique = spark, folder, keys or KEYS, parents or PARENTS, unique
 
-    def _set(self, triples: DataFrame) -> DataFrame:
-        return triples if self.unique else triples.distinct()
+    def _unique(self, name: str) -> bool:
+        """Whether no two rows of a table share their key; one pass over its key columns, once a session and path."""
+        if self.unique is not None:
+            return self.unique
+        known = _unique.setdefault(self.spark.sparkContext.applicationId, {})
+        at = (self.folder, name, *self.keys[name])
+        if at not in known:
+            known[at] = self.table(name).groupBy(*self.keys[name]).count().filter("count > 1").isEmpty()
+        return known[at]
+
+    def _set(self, triples: DataFrame, name: str) -> DataFrame:
+        return triples if self._unique(name) else triples.distinct()
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -58,7 +74,7 @@ class Tables:
         from .terms import constant
 
         t = self.table(name)
-        return self._set(t.select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(TYPE).alias("p"), constant(cls(name)).alias("o")))
+        return self._set(t.select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(TYPE).alias("p"), constant(cls(name)).alias("o")), name)
 
     def column(self, name: str, column: str) -> DataFrame:
         """Triples of one column; nulls have none."""
@@ -66,7 +82,7 @@ class Tables:
         c = F.col(column)
         parent = self.parents.get((name, column))
         o = row(parent, c) if parent else typed(c, dict(t.dtypes)[column])
-        return self._set(t.filter(c.isNotNull()).select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(prop(column)).alias("p"), o.alias("o")))
+        return self._set(t.filter(c.isNotNull()).select(row(name, *(F.col(k) for k in self.keys[name])).alias("s"), F.lit(prop(column)).alias("p"), o.alias("o")), name)
 
     def links(self, name: str, a: str, b: str, predicate: str) -> DataFrame:
         """Arcs between the parents that two foreign keys of a (keyless) table name."""

@@ -1,6 +1,8 @@
 """ShEx: syntax, validation, recursion, shape maps, ShExR, the bag matcher and the minimal language."""
 
 import itertools
+import random
+import time
 import json
 
 import pytest
@@ -109,7 +111,14 @@ def brute(form, bag):
 
 def test_bags_against_brute_force():
     t = [("t", i, 1, 1) for i in range(3)]
-    forms = [("each", (t[0], ("one", (t[1], t[2]), 0, 2)), 1, 1), ("one", (("each", (t[0], t[1]), 1, -1), ("t", 2, 2, 3)), 1, 2), ("each", (("t", 0, 0, 1), ("each", (t[1], t[2]), 0, -1)), 1, 1)]
+    rng = random.Random(5)
+
+    def some(parts, depth):
+        form = ("one" if rng.random() < 0.4 else "each", tuple(parts), *(rng.choice([(1, 1), (0, 1), (0, -1), (1, 2), (2, 3)])))
+        return form if depth == 0 else some([form, ("t", 2, *rng.choice([(1, 1), (0, -1), (0, 2)]))], 0)
+
+    forms = [some([("t", i, *rng.choice([(1, 1), (0, 1), (0, -1), (1, 2), (2, 2)])) for i in range(2)], rng.randrange(2)) for _ in range(12)]
+    forms += [("each", (t[0], ("one", (t[1], t[2]), 0, 2)), 1, 1), ("one", (("each", (t[0], t[1]), 1, -1), ("t", 2, 2, 3)), 1, 2), ("each", (("t", 0, 0, 1), ("each", (t[1], t[2]), 0, -1)), 1, 1)]
     for form in forms:
         for size in range(5):
             for bag in itertools.combinations_with_replacement(range(1, 8), size):
@@ -117,6 +126,34 @@ def test_bags_against_brute_force():
                 assert bags.matches(form, counted) == brute(form, bag), (form, bag)
 
 
+def test_bags_of_any_size():
+    """Nodes of very many arcs cost what others do."""
+    a, b = ("t", 0, 0, -1), ("t", 1, 0, -1)
+    both = ((1, False, 10**6), (2, False, 10**6), (3, False, 7))
+    began = time.time()
+    assert bags.matches(("each", (a, b), 1, 1), both)
+    assert bags.matches(("each", (("t", 0, 2, 3), ("t", 1, 1, 4)), 1, -1), both) and not bags.matches(("each", (("t", 0, 2, 3), ("t", 1, 5, 9)), 1, -1), both)
+    assert bags.matches(("each", (("t", 0, 2, 2), ("t", 1, 2, 2)), 0, -1), ((1, False, 10**6), (2, False, 10**6)))
+    assert not bags.matches(("each", (("t", 0, 2, 2), ("t", 1, 2, 2)), 0, -1), ((1, False, 10**6 + 1), (2, False, 10**6 + 1)))
+    assert not bags.matches(("one", (("each", (("t", 0, 1, 1), ("t", 1, 1, 1)), 1, 1), ("t", 2, 1, 1)), 0, -1), ((1, False, 10**6), (2, False, 10**6 - 1), (4, False, 5)))
+    assert bags.matches(("each", (("t", 0, 1, 1),), 1, 1), ((1, True, 10**6),)) and time.time() - began < 1
+
+
+def test_bags_with_many_constraints():
+    parts = tuple(("t", i, 0, 2) for i in range(70))
+    assert bags.matches(("each", parts, 1, 1), (((1 << 70) - 1, False, 140),)) and not bags.matches(("each", parts, 1, 1), (((1 << 70) - 1, False, 141),))
+
+
+def test_shapes_of_many_constraints(spark):
+    data = TTL + " ".join(f":a :p{i} {i} ; :q 1 . :b :p{i} {i} ." for i in range(70)) + " :b :q 'x' . :c :q 1, 2 ."
+    g = rdf.from_string(spark, data)
+    flat = PRE + ":S { " + " ; ".join(f":p{i} [{i}]" for i in range(70)) + " ; :q xsd:integer }"
+    bags_ = PRE + ":S { " + " ; ".join(f":p{i} .?" for i in range(70)) + " ; :q [1] ; :q [1 2] }"
+    for schema, want in ((flat, {"a": True, "b": False, "c": False}), (bags_, {"a": False, "b": False, "c": True})):
+        fixed = shapemap.fix(g, shapemap.parse("{FOCUS :q _}@:S", {"": "http://e/"})).select("node", "shape")
+        assert {r["node"]["lex"][-1]: r["conforms"] for r in shex.Validator(g, shex.load(schema)).validate(fixed).collect()} == want
+
+
 def test_lint():
     s = shexc.parse(PRE + ":S { :p @_:a ; :q @_:b } _:a { :x . } _:b { :y @_:b* } _:c { }")
     assert lint.usages(s)["_:a"] == 1 and lint.usages(s)["_:b"] == 2 and lint.unused(s) == ["_:c"]
