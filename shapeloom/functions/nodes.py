@@ -84,32 +84,45 @@ def number(v: Column) -> tuple[Column, Column]:
 _OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
 
+_ORDERED = (("dateTime", ("dateTime", "dateTimeStamp")), ("date", ("date",)))
+
+
+def ordered(v: Column) -> Column:
+    """What a literal's order depends on, parsed once: its value space (0: none) and its value there.
+
+    Spaces are numbers (1), instants and days with and without a time zone (2 to 5), strings (6), booleans (7).
+    """
+    exact, approximate = number(v)
+    space = F.when(approximate.isNotNull() & ~F.isnan(approximate), 1)
+    instant = F.lit(None).cast("timestamp")
+    for i, (t, kinds) in enumerate(_ORDERED):
+        is_one = v["dt"].isin(*(XSD + k for k in kinds)) & v["lex"].rlike(f"^{LEXICAL[t]}$")
+        zoned = v["lex"].rlike(f"{_ZONE}$")
+        stamp = F.concat(F.regexp_replace(v["lex"], f"{_ZONE}$", ""), F.lit("T00:00:00"), F.regexp_extract(v["lex"], f"{_ZONE}$", 1)) if t == "date" else v["lex"]
+        utc = F.when(zoned, stamp).otherwise(F.concat(stamp, F.lit("Z"))).try_cast("timestamp")
+        space = space.when(is_one & utc.isNotNull(), F.lit(2 + 2 * i) + zoned.cast("int"))
+        instant = F.when(is_one, utc).otherwise(instant)
+    space = space.when(v["dt"] == XSD + "string", 6).when((v["dt"] == XSD + "boolean") & v["lex"].isin("true", "1", "false", "0"), 7)
+    space = F.when(v["kind"] == LITERAL, F.coalesce(space, F.lit(0))).otherwise(0)
+    return F.struct(space.alias("space"), exact.alias("exact"), approximate.alias("approximate"), instant.alias("instant"), F.when(space == 6, v["lex"]).alias("text"), v["lex"].isin("true", "1").cast("int").alias("truth"))
+
+
+def in_order(a: Column, b: Column, op: str) -> Column:
+    """a op b for what `ordered` makes of two terms; false where they can't be compared."""
+    f = _OPS[op]
+    numbers = F.when(a["exact"].isNotNull() & b["exact"].isNotNull(), f(a["exact"], b["exact"])).otherwise(f(a["approximate"], b["approximate"]))
+    space = a["space"]
+    held = F.when(space == 1, numbers).when(space.between(2, 5), f(a["instant"], b["instant"])).when(space == 6, f(a["text"], b["text"])).when(space == 7, f(a["truth"], b["truth"]))
+    return _true(F.when(space == b["space"], held))
+
+
 def compare(a: Column, b: Column, op: str) -> Column:
     """a op b for literals of one value space; false if they can't be compared.
 
     Numbers compare across numeric types, exactly where both are exact; dateTime and date only if both
     or neither have a time zone; strings by code point; booleans false before true.
     """
-    f = _OPS[op]
-    (ea, na), (eb, nb) = number(a), number(b)
-    is_num = na.isNotNull() & nb.isNotNull()
-    nums = F.when(F.isnan(na) | F.isnan(nb), False).when(ea.isNotNull() & eb.isNotNull(), f(ea, eb)).otherwise(f(na, nb))
-    out = F.when(is_num, nums)
-    zoned = lambda c: c["lex"].rlike(f"{_ZONE}$")
-    for t, kinds in (("dateTime", ("dateTime", "dateTimeStamp")), ("date", ("date",))):
-        names = [XSD + k for k in kinds]
-        both = a["dt"].isin(*names) & b["dt"].isin(*names) & a["lex"].rlike(f"^{LEXICAL[t]}$") & b["lex"].rlike(f"^{LEXICAL[t]}$") & (zoned(a) == zoned(b))
-        if t == "date":
-            stamp = lambda c: F.concat(F.regexp_replace(c["lex"], f"{_ZONE}$", ""), F.lit("T00:00:00"), F.regexp_extract(c["lex"], f"{_ZONE}$", 1))
-        else:
-            stamp = lambda c: c["lex"]
-        utc = lambda c: F.when(zoned(c), stamp(c)).otherwise(F.concat(stamp(c), F.lit("Z"))).try_cast("timestamp")  # noqa: E731, B023
-        out = out.when(both, f(utc(a), utc(b)))
-    out = out.when((a["dt"] == XSD + "string") & (b["dt"] == XSD + "string"), f(a["lex"], b["lex"]))
-    truth = lambda c: c["lex"].isin("true", "1")
-    bools = (a["dt"] == XSD + "boolean") & (b["dt"] == XSD + "boolean") & a["lex"].isin("true", "1", "false", "0") & b["lex"].isin("true", "1", "false", "0")
-    out = out.when(bools, f(truth(a).cast("int"), truth(b).cast("int")))
-    return _true(F.when((a["kind"] == LITERAL) & (b["kind"] == LITERAL), out))
+    return in_order(ordered(a), ordered(b), op)
 
 
 def length(v: Column, op: str, n: int, bnodes: bool = False) -> Column:

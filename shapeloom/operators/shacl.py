@@ -220,8 +220,11 @@ class Validator:
         elif counts:  # one aggregate for all counts
             aggs = [F.count("value").alias("_n"), *(F.coalesce(F.max(same(v, x)), F.lit(False)).alias(f"_h{i}") for i, (k, x) in enumerate(counts) if k == "hasValue")]
             need = any(k == "hasValue" or k == "minCount" and x > 0 for k, x in counts)
-            pairs = values.select(F.col("focus").alias("_f"), "value")
-            per = focus.join(pairs, F.col("focus") == F.col("_f"), "left").groupBy("focus", "n").agg(*aggs) if need else values.groupBy("focus", "n").agg(*aggs)
+            if need:  # foci without a value count as well
+                per = focus.join(values.groupBy(F.col("focus").alias("_f")).agg(*aggs), F.col("focus") == F.col("_f"), "left")
+                per = per.withColumns({c: F.coalesce(c, F.lit(0) if c == "_n" else F.lit(False)) for c in per.columns if c == "_n" or c.startswith("_h")})
+            else:
+                per = values.groupBy("focus", "n").agg(*aggs)
             tests = [F.when((F.col("_n") < x) if k == "minCount" else (F.col("_n") > x) if k == "maxCount" else ~F.col(f"_h{i}"), F.lit(component(k))) for i, (k, x) in enumerate(counts)]
             rows = per.withColumn("_c", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))
             out.append(rows.select("focus", F.lit(P.text(s.path)).alias("path"), F.lit(None).cast(NODE).alias("value"), F.lit(s.severity).alias("severity"), F.col("_c").alias("component"), F.lit(s.id.nt()).alias("shape"), F.lit(s.message).alias("message"), "n"))
@@ -304,7 +307,9 @@ class Validator:
             return [self._row(values.join(right, both, "left_anti"), s, k, F.col("value")), self._row(others.join(left, both, "left_anti"), s, k, F.col("value"))]
         if k == "disjoint":
             return [self._row(values.join(right, both, "left_semi"), s, k, F.col("value"))]
-        rows = values.join(right, F.col("focus") == F.col("_f")).filter(~N.compare(F.col("value"), F.col("_o"), "<" if k == "lessThan" else "<="))
+        # terms are parsed before the join, once each
+        left, right = values.withColumn("_a", N.ordered(F.col("value"))), right.select("_f", N.ordered(F.col("_o")).alias("_b"))
+        rows = left.join(right, (F.col("focus") == F.col("_f")) & ~N.in_order(F.col("_a"), F.col("_b"), "<" if k == "lessThan" else "<="))
         return [self._row(rows, s, k, F.col("value"))]
 
     def validate(self, only: list[Node] | None = None) -> Result:
@@ -314,7 +319,7 @@ class Validator:
             if only is None or x in only:
                 focus = self.targets(s)
                 if focus is not None and not s.deactivated:
-                    parts.append(self.violations(s, focus))
+                    parts.append(self.violations(s, P._cut(focus) if len(s.constraints) + len(s.properties) > 1 else focus))
         spark = self.graph.sparkSession
         rows = reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], VIOLATIONS)
         return Result(rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("_i", "n"))

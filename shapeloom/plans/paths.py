@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +147,8 @@ def reach(step: DataFrame, focus: DataFrame, zero: bool, most: int = 10_000) ->
     """(focus, value) reached over edges (a, b) by any number of steps, by none too if `zero`.
 
     Semi-naive: only the pairs found last are extended, and only new ones kept; cycles end by themselves.
+    A round writes what it found, not all again: pairs are kept in runs, and a run is merged with the one
+    before it only where that is not twice as long.
     """
     step = _cut(step.select(F.col("a").alias("ea"), F.col("b").alias("eb")))
     first = focus.select("focus").distinct()
@@ -153,15 +156,21 @@ def reach(step: DataFrame, focus: DataFrame, zero: bool, most: int = 10_000) ->
         new = first.select("focus", F.col("focus").alias("value"))
     else:
         new = first.join(step, F.col("focus") == F.col("ea")).select("focus", F.col("eb").alias("value")).distinct()
-    new = _cut(new)
-    done = new
+    runs = [_cut(new)]  # what was found, in runs of which none is shorter than the next two together
+    sizes = [runs[0].count()]
+    new = runs[0]
     for _ in range(most):
         found = new.select(F.col("focus").alias("f"), F.col("value").alias("v")).join(step, F.col("v") == F.col("ea")).select("f", F.col("eb").alias("v")).distinct()
-        old = done.select(F.col("focus").alias("of"), F.col("value").alias("ov"))
-        new = _cut(found.join(old, (F.col("f") == F.col("of")) & (F.col("v") == F.col("ov")), "left_anti").select(F.col("f").alias("focus"), F.col("v").alias("value")))
-        if new.isEmpty():
-            return done
-        done = _cut(done.unionByName(new))
+        for run in runs:
+            old = run.select(F.col("focus").alias("of"), F.col("value").alias("ov"))
+            found = found.join(old, (F.col("f") == F.col("of")) & (F.col("v") == F.col("ov")), "left_anti")
+        new = _cut(found.select(F.col("f").alias("focus"), F.col("v").alias("value")))
+        size = new.count()
+        if not size:
+            return reduce(lambda a, b: a.unionByName(b), runs)
+        runs, sizes = [*runs, new], [*sizes, size]
+        while len(runs) > 4 and sizes[-2] < 2 * sizes[-1]:
+            runs, sizes = [*runs[:-2], _cut(runs[-2].unionByName(runs[-1]))], [*sizes[:-2], sum(sizes[-2:])]
     raise RuntimeError(f"a path is longer than {most} steps")
 
 
