@@ -136,6 +136,59 @@ def test_quality_model_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=1e-3)
 
 
+def plain_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney trigrams in dictionaries: log10 perplexity of a text's words and end."""
+    begin, end = 0, 1
+
+    def grams(t):
+        seq = [begin, begin, *words(t), end]
+        return list(zip(seq, seq[1:], seq[2:], strict=False))
+
+    c3 = Counter(g for t in texts for g in grams(t))
+    c2 = Counter((v, w) for _, v, w in c3)
+    c2.update({(begin, w): n - 1 for (_, v, w), n in c3.items() if v == begin})
+    c1 = Counter(w for _, w in c2)
+
+    def cuts(counts):
+        n1, n2, n3, n4 = (sum(n == i for n in counts.values()) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        return lambda n: d[min(n, 3) - 1]
+
+    tables = []
+    for counts in (c3, c2):
+        cut, total, free = cuts(counts), Counter(), Counter()
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            free[g[:-1]] += cut(n)
+        tables.append((counts, cut, total, free))
+    cut, total = cuts(c1), sum(c1.values())
+    unknown = sum(map(cut, c1.values())) / total / (len(c1) + 1)
+
+    def p(g):
+        out = unknown + ((c1[g[2]] - cut(c1[g[2]])) / total if c1[g[2]] else 0)
+        for counts, less, all_, free in reversed(tables):
+            h = g if counts is c3 else g[1:]
+            if all_[h[:-1]]:
+                out = out * free[h[:-1]] / all_[h[:-1]] + ((counts[h] - less(counts[h])) / all_[h[:-1]] if counts[h] else 0)
+        return out
+
+    return lambda t: -sum(math.log10(p(g)) for g in grams(t)) / len(grams(t))
+
+
+def test_quality_against_plain_kneser_ney(spark):
+    from shapeloom.llm import _store
+
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice((1, 30, 60)), WORDS[:7]) for _ in range(40)] + [""]
+    other = [prose(rng, 40), texts[3], "Ra RA unseen ra", "", None, "x" * 9000]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "_t string").repartition(3), _store.shared(spark, "t"))
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*texts, *other])], "doc_id long, text string, lang string")
+    want = plain_kneser_ney(texts)
+    for r in quality.perplexities(d, model, "doc_id", "lang", "text").collect():
+        assert r["log_ppl"] == pytest.approx(want([*texts, *other][r["doc_id"]]), abs=1e-4)
+
+
 def test_quality_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r["kept"] for r in quality.classify(docs, none).collect()}
