@@ -9,7 +9,7 @@ failing nodes, found once for the distinct values and joined as flags.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from ..functions import nodes as N
 from ..plans import paths as P
 from ..plans import shapes as S
 from ..sources import rdf
-from ..sources.terms import LITERAL, NODE, SH, TYPE, Node, constant, iri, node, same, text
+from ..sources.terms import LITERAL, NODE, RDF, SH, TYPE, Node, constant, iri, node, same, text
 
 VIOLATIONS = "focus struct<kind:tinyint,lex:string,dt:string,lang:string>, path string, value struct<kind:tinyint,lex:string,dt:string,lang:string>, severity string, component string, shape string, message string, n long"
 COMPARED = {"minExclusive": ">", "minInclusive": ">=", "maxExclusive": "<", "maxInclusive": "<="}
@@ -35,6 +35,7 @@ class Result:
     """A validation's lazy violations (focus, path, value, severity, component, shape, message)."""
 
     violations: DataFrame
+    paths: dict[str, object] = field(default_factory=dict)  # by their text: the shapes' paths that are no plain predicates
 
     def conforms(self) -> bool:
         return self.violations.isEmpty()
@@ -68,6 +69,10 @@ class Result:
             cell(r, SH + "resultPath", as_iri(F.regexp_extract("path", "^<([^<>]*)>$", 1)), F.col("path").rlike("^<[^<>]*>$")),
             cell(r, SH + "resultMessage", node(2, F.col("message"), "http://www.w3.org/2001/XMLSchema#string"), F.col("message") != ""),
         ]
+        for name, path in self.paths.items():  # each result has blank nodes of its own for its path
+            head, parts = described(path)
+            at = lambda x: node(1, F.concat(r["lex"], F.lit(f"p{x}"))) if isinstance(x, int) else constant(x)
+            cells += [cell(r, SH + "resultPath", at(head), F.col("path") == name), *(cell(at(a), p, at(b), F.col("path") == name) for a, p, b in parts)]
         rows = keyed.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("t")).select("t.*")
         spark = self.violations.sparkSession
         ok = "true" if self.conforms() else "false"
@@ -75,6 +80,44 @@ class Result:
         return head.unionByName(rows)
 
 
+def described(path) -> tuple[int | Node, list[tuple[int, str, int | Node]]]:
+    """A path as RDF: its node, and triples whose blank nodes are numbers."""
+    triples: list = []
+    fresh = iter(range(1_000_000))
+
+    def listed(parts) -> int | Node:
+        head: int | Node = iri(RDF + "nil")
+        for x in reversed(parts):
+            here = next(fresh)
+            triples.extend([(here, RDF + "first", walk(x)), (here, RDF + "rest", head)])
+            head = here
+        return head
+
+    def walk(x) -> int | Node:
+        match x:
+            case P.Pred(p):
+                return iri(p)
+            case P.Seq(parts):
+                return listed(parts)
+            case P.Alt(parts):
+                name, of = "alternativePath", listed(parts)
+            case P.Inv(y):
+                name, of = "inversePath", walk(y)
+            case P.Star(y):
+                name, of = "zeroOrMorePath", walk(y)
+            case P.Plus(y):
+                name, of = "oneOrMorePath", walk(y)
+            case P.Opt(y):
+                name, of = "zeroOrOnePath", walk(y)
+            case _:
+                raise TypeError(f"not a path of shapes: {x!r}")
+        here = next(fresh)
+        triples.append((here, SH + name, of))
+        return here
+
+    return walk(path), triples
+
+
 class Validator:
     """Compiles shapes over a graph of triples (s, p, o)."""
 
@@ -322,7 +365,8 @@ class Validator:
                     parts.append(self.violations(s, P._cut(focus) if len(s.constraints) + len(s.properties) > 1 else focus))
         spark = self.graph.sparkSession
         rows = reduce(lambda a, b: a.unionByName(b), parts) if parts else spark.createDataFrame([], VIOLATIONS)
-        return Result(rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("_i", "n"))
+        paths = {P.text(s.path): s.path for s in self.shapes.values() if s.path is not None and not isinstance(s.path, P.Pred)}
+        return Result(rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("_i", "n"), paths)
 
 
 def shapes_of(data: str, format: str = "turtle", base: str = "", fetch=None) -> dict[Node, S.Shape]:
