@@ -11,7 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import api
+from . import api, shared
 from .operators import asp, convert, infer, lint, shacl, shapemap, shex, viz
 from .operators import sparql as sq
 from .plans import shexc, slang
@@ -92,6 +92,32 @@ def rdf_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("SELECT '<urn:t/nation/' || n_nationkey || '> <urn:p/n_regionkey> <urn:t/region/' || n_regionkey || '> .' AS line FROM nation")
+def nquads_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written as N-Quads in the shared folder, and read back by its lines."""
+    path = shared.path(spark, "nquads")
+    rdf.write(Tables(spark, sf_dir).graph("nation.n_regionkey"), path, "N-Quads", "urn:g")
+    return rdf.lines(rdf.from_path(spark, path, "N-Quads")).select(F.col("value").alias("line"))
+
+
+@query("SELECT '<urn:t/orders/' || o_orderkey || '> <urn:p/o_custkey> <urn:t/customer/' || o_custkey || '> .' AS line FROM orders")
+def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turtle files parsed on the executors, a task for each."""
+    path = shared.path(spark, "turtle")
+    rdf.write(Tables(spark, sf_dir).graph("orders.o_custkey").repartition(6), path, "Turtle")
+    return rdf.lines(rdf.from_path(spark, path, "Turtle")).select(F.col("value").alias("line"))
+
+
+@query("SELECT unnest(['url', 'endpoint']) AS source, '<urn:e/a> <urn:e/p> <urn:e/b> .' AS line")
+def fetched_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A URL's and an endpoint's graph, by a fetch function of the caller."""
+    line = "<urn:e/a> <urn:e/p> <urn:e/b> ."
+    texts = {"urn:g": line, "urn:q?query=CONSTRUCT%20%7B%20%3Fs%20%3Fp%20%3Fo%20%7D%20WHERE%20%7B%20%3Fs%20%3Fp%20%3Fo%20%7D": line}
+    a, b = rdf.from_url(spark, "urn:g", texts.__getitem__), rdf.from_endpoint(spark, "urn:q", texts.__getitem__)
+    both = rdf.lines(a).withColumn("source", F.lit("url")).unionByName(rdf.lines(b).withColumn("source", F.lit("endpoint")))
+    return both.select("source", F.col("value").alias("line"))
+
+
 @query(f"SELECT {_iri('part', 'p_partkey')} AS focus, 'MaxInclusive' AS component FROM part WHERE p_size > 40 UNION ALL SELECT {_iri('part', 'p_partkey')}, 'MinInclusive' FROM part WHERE p_size < 5")
 def shapes_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes that owl:imports brings in, each text once."""

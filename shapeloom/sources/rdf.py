@@ -1,15 +1,16 @@
 """Reading and writing graphs as tables of triples.
 
-A graph is a set: `distinct` is applied once, where data come in. N-Triples are parsed on the executors
-from lines of text. Turtle, TriG, N-Quads, RDF/JSON, RDF/XML and a JSON-LD subset are parsed on the
-driver, for schemas and small data. Any path that Spark can read is accepted.
+A graph is a set: `distinct` is applied once, where data come in. N-Triples and N-Quads are parsed on the
+executors from lines of text; files of Turtle, TriG, RDF/JSON, RDF/XML and a JSON-LD subset are parsed on the
+executors too, each in one task, which holds it whole. Texts are parsed on the driver, for schemas and
+small data. Any path that Spark can read is accepted. Named graphs are merged into one set of triples.
 """
 
 from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
-from urllib.parse import urljoin
+from urllib.parse import quote, urljoin
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from .terms import BNODE, IRI, LANGSTRING, LITERAL, RDF, RDFS, STRING, SUBCLASS,
 
 FORMATS = ("turtle", "n-triples", "trig", "n-quads", "rdf/json", "rdf/xml", "json-ld")
 _IRI, _BN = r"<([^<>\"{}|^`\x00-\x20]*)>", r"_:([^\s<>\"]+)"
-_LINE = rf"^\s*(?:{_IRI}|{_BN})\s*{_IRI}\s*(?:{_IRI}|{_BN}|\"((?:[^\"\\]|\\.)*)\"(?:@([A-Za-z0-9-]+)|\^\^{_IRI})?)\s*\.\s*(?:#.*)?$"
+_TERMS = rf"^\s*(?:{_IRI}|{_BN})\s*{_IRI}\s*(?:{_IRI}|{_BN}|\"((?:[^\"\\]|\\.)*)\"(?:@([A-Za-z0-9-]+)|\^\^{_IRI})?)"
+_LINE, _QUAD = (rf"{_TERMS}{graph}\s*\.\s*(?:#.*)?$" for graph in ("", rf"(?:\s*(?:{_IRI}|{_BN}))?"))
 
 
 def _unescape(c: Column) -> Column:
@@ -29,14 +31,15 @@ def _unescape(c: Column) -> Column:
     return F.when(plain, c).otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"x":"'), wide, F.lit('"}')), "$.x"), c))
 
 
-def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """N-Triples files as triples; lines that are neither triples, comments nor blank raise an error.
+def read(spark: SparkSession, path: str, strict: bool = True, quads: bool = False) -> DataFrame:
+    """N-Triples (or N-Quads) files as triples; lines that are neither these, comments nor blank raise an error.
 
-    strict=False drops such lines instead.
+    strict=False drops such lines instead. A blank node's label means the same node in all files of the path.
     """
+    form = _QUAD if quads else _LINE
     lines = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#.*)?$"))
-    g = lambda i: F.regexp_extract("value", _LINE, i)
-    ok = F.col("value").rlike(_LINE)
+    g = lambda i: F.regexp_extract("value", form, i)
+    ok = F.col("value").rlike(form)
     lines = lines.filter(ok) if not strict else lines.withColumn("value", F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a triple: "), F.col("value")))))
     subject_iri = F.col("value").rlike(r"^\s*<")
     s = F.struct(F.when(subject_iri, IRI).otherwise(BNODE).cast("byte").alias("kind"), F.when(subject_iri, g(1)).otherwise(g(2)).alias("lex"), F.lit("").alias("dt"), F.lit("").alias("lang"))
@@ -74,11 +77,40 @@ def from_string(spark: SparkSession, data: str, format: str = "turtle", base: st
 
 
 def from_path(spark: SparkSession, path: str, format: str = "turtle", base: str = "", scope: str = "") -> DataFrame:
-    """A file or folder: N-Triples on the executors, other formats on the driver."""
-    if format.lower() in ("n-triples", "nt"):
-        return read(spark, path)
-    found = spark.read.text(path, wholetext=True).collect()
-    return frame(spark, (t for i, r in enumerate(found) for t in parse(r[0], format, base, f"{scope}f{i}_")))
+    """A file or folder: lines of N-Triples or N-Quads, or a task for each file of another format.
+
+    Blank nodes of different files stay apart, but in N-Triples and N-Quads.
+    """
+    kind = format.lower()
+    if kind in ("n-triples", "nt", "n-quads"):
+        return read(spark, path, quads=kind == "n-quads")
+    if kind not in (*FORMATS, "ttl"):
+        raise ValueError(f"unknown format {format}; known are {', '.join(FORMATS)}")
+    texts = spark.read.text(path, wholetext=True).select("value", F.hex(F.xxhash64(F.input_file_name())).alias("file"))
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = to_arrow_schema(TRIPLE)
+        for rb in batches:
+            for data, file in zip(rb.column("value").to_pylist(), rb.column("file").to_pylist(), strict=True):
+                cell = lambda n: {"kind": int(n.kind), "lex": n.lex, "dt": n.dt, "lang": n.lang}
+                rows = [{"s": cell(s), "p": p, "o": cell(o)} for s, p, o in parse(data, kind, base, f"{scope}f{file}_")]
+                for at in range(0, len(rows), 8192):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 8192], schema=shape)
+
+    return texts.mapInArrow(run, TRIPLE).distinct()
+
+
+def from_url(spark: SparkSession, url: str, fetch, format: str = "turtle") -> DataFrame:
+    """The graph that a URL names; `fetch` (URL to text) is the caller's, as for imports."""
+    return from_string(spark, fetch(url), format, url)
+
+
+def from_endpoint(spark: SparkSession, url: str, fetch, query: str = "CONSTRUCT { ?s ?p ?o } WHERE { ?s ?p ?o }", format: str = "n-triples") -> DataFrame:
+    """What a SPARQL endpoint answers to a query that constructs a graph, by the protocol's GET request."""
+    return from_string(spark, fetch(f"{url}{'&' if '?' in url else '?'}query={quote(query, safe='')}"), format)
 
 
 def merge(*graphs: DataFrame) -> DataFrame:
@@ -96,8 +128,14 @@ def lines(graph: DataFrame) -> DataFrame:
     return graph.select(F.concat(text(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), text(F.col("o")), F.lit(" .")).alias("value"))
 
 
-def write(graph: DataFrame, path: str) -> None:
-    lines(graph).write.text(path)
+def write(graph: DataFrame, path: str, format: str = "n-triples", name: str = "") -> None:
+    """Files of N-Triples, which are Turtle and TriG as well, or of N-Quads in the graph `name`."""
+    if format.lower() not in ("n-triples", "nt", "turtle", "ttl", "trig", "n-quads"):
+        raise ValueError(f"graphs aren't written as {format}")
+    rows = lines(graph)
+    if name and format.lower() == "n-quads":
+        rows = rows.select(F.concat(F.substring("value", F.lit(1), F.length("value") - 1), F.lit(f"<{name}> .")).alias("value"))
+    rows.write.text(path)
 
 
 def infer(graph: DataFrame, name: str = "NONE", most: int = 64) -> DataFrame:
@@ -309,4 +347,4 @@ def _json_ld(data: str, base: str, scope: str) -> list:
     return out
 
 
-__all__ = ["FORMATS", "Loader", "frame", "from_path", "from_string", "infer", "lines", "merge", "node", "parse", "read", "write"]
+__all__ = ["FORMATS", "Loader", "frame", "from_endpoint", "from_path", "from_string", "from_url", "infer", "lines", "merge", "node", "parse", "read", "write"]

@@ -70,3 +70,21 @@ def test_loader_visits_once():
     texts = {"a": ["b", "a"], "b": ["a"]}
     rdf.Loader(lambda x: seen.append(x) or texts[x]).load("a", lambda got: got)
     assert seen == ["a", "b"]
+
+
+def test_files_are_parsed_by_tasks(spark, tmp_path):
+    """Every format from files as from text; blank nodes of different files stay apart."""
+    from shapeloom.more_queries import _FORMATS
+
+    for f, data in _FORMATS.items():
+        folder = tmp_path / f.replace("/", "-")
+        folder.mkdir()
+        (folder / "a").write_text(data)
+        got = {(Node(*r["s"]), r["p"], Node(*r["o"])) for r in rdf.from_path(spark, str(folder), f).collect()}
+        assert got == set(rdf.parse(data, f)), f
+    (tmp_path / "two").mkdir()
+    for x in "ab":
+        (tmp_path / "two" / x).write_text("@prefix : <http://e/> . _:n :p 1 .")
+    assert rdf.from_path(spark, str(tmp_path / "two")).count() == 2
+    with pytest.raises(ValueError):
+        rdf.from_path(spark, str(tmp_path / "two"), "nothing")
