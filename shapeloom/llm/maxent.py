@@ -8,15 +8,21 @@ their rank. Then
     P(word | history) = P(class | history) * P(symbol | class, history) * P(word | symbol),
 
 where the first two are softmaxes over summed weights of hashed features of the history - nothing (a
-bias), the last symbol, the last two, and skips to the second and third last - and the third is 1 for a
+bias), the last word, the last two, and skips to the second and third last - and the third is 1 for a
 symbol of one word and (c+1) / (N_s+V_s+1) for a word counted c times among the N_s of V_s different
 words of an ending; a word that was never counted is the one further event of its ending. So the
 probabilities of all events sum to 1.
 
+What the model holds follows the vocabulary of V words: the tables of hashed rows have in the order of
+sqrt(V) rows (`rows_for`), and in histories as many of the most frequent words stand for themselves (all others
+for their ending), so that more text brings more histories and more weights. The symbols, on whose
+number the time for a token depends, are of fixed number.
+
 Training starts from the symbols' shares. Documents are dealt into ROUNDS by hash. In a round every task starts from the current
 weights, goes through its part of all training text in minibatches with AdaGrad steps, and returns for
 each hashed row its change times the number of updates; rows are summed by the exchange, and their
-mean change is the update. Only the weights, of fixed size, reach the driver.
+mean change is the update. Only the weights, some hundred bytes a row, reach the driver. A task's pass
+depends on what text it holds, so scores are repeatable for one layout of the table and differ slightly for another.
 
 Scoring: tasks score sparse batches in numpy. Counts of words with at least the cut-off count (the most
 frequent HEAD at most) are looked up in a table of bounded size; all rarer words leave the task as rows
@@ -29,6 +35,8 @@ that repeat are scored alike; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +45,7 @@ from pyspark.sql import functions as F
 from . import _hash, _store, _text
 
 CLASSES, MEMBERS, ENDINGS = 32, 32, 255
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 14
+LEAST_ROWS, ROWS = 1024, 13
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
 HEAD = 1 << 19
 SYMBOLS = CLASSES * MEMBERS
@@ -45,6 +53,11 @@ TOP = SYMBOLS - ENDINGS - 1
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
+def rows_for(types: int) -> int:
+    """Rows of the class table for a vocabulary; the members' table has twice as many, histories as many words."""
+    return LEAST_ROWS + ROWS * math.isqrt(types)
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -62,34 +75,39 @@ def _endings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 class Symbols:
-    """From words to symbols; rank TOP is the end of a text, ranks above it are endings."""
+    """From words, the most frequent ones first, to symbols; rank TOP is the end of a text, ranks above it are endings.
+
+    Words beyond the TOP first have an ending's symbol, but stand for themselves in histories.
+    """
 
-    def __init__(self, top: list[int]):
-        self.table = _hash.HashTable(np.asarray(top, np.int64).view(np.uint64), np.arange(len(top), dtype=np.int32))
+    def __init__(self, best: list[int]):
+        self.table = _hash.HashTable(np.asarray(best, np.int64).view(np.uint64), np.arange(len(best), dtype=np.int32))
         self.member = np.zeros(SYMBOLS, bool)
-        self.member[: len(top)] = True
+        self.member[: len(best)] = True
         self.member[TOP:] = True
 
     def tokens(self, col: pa.Array):
-        """h, symbol, whether an ending stands for it, row offsets; the end of each text included (h = 0)."""
+        """h, symbol, whether an ending stands for it, what it is in histories, row offsets; the end of each text included (h = 0)."""
         h, offs, starts, ends, data = _text.words(col)
         slot = self.table.find(h)
-        rare = slot < 0
-        sym = np.where(rare, TOP + 1 + _endings(data, starts, ends), self.table.values[0][slot])
+        rank, ending = self.table.values[0][slot], TOP + 1 + _endings(data, starts, ends)
+        rare = (slot < 0) | (rank >= TOP)
+        sym = np.where(rare, ending, rank)
+        past = np.where((slot >= 0) & (rank >= TOP), rank + (SYMBOLS - TOP), sym)
         m = len(offs) - 1
         stops = offs[1:] + np.arange(1, m + 1)
         word = np.ones(len(h) + m, bool)
         word[stops - 1] = False
-        out = [np.full(len(word), fill, kind) for fill, kind in ((0, np.uint64), (TOP, np.int32), (False, bool))]
-        for o, x in zip(out, (h, sym, rare), strict=True):
+        out = [np.full(len(word), fill, kind) for fill, kind in ((0, np.uint64), (TOP, np.int32), (False, bool), (TOP, np.int32))]
+        for o, x in zip(out, (h, sym, rare, past), strict=True):
             o[word] = x
         return *out, np.concatenate([[0], stops])
 
 
-def features(sym: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Hashed histories of every token, from the symbols before it in its text (0: before its start)."""
-    n = len(sym)
-    back, h = [], (sym + 1).astype(np.uint64)
+def features(past: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """Hashed histories of every token, from what stands before it in its text (0: before its start)."""
+    n = len(past)
+    back, h = [], (past + 1).astype(np.uint64)
     place = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
     for k in (1, 2, 3):
         p = np.zeros(n, np.uint64)
@@ -101,18 +119,19 @@ def features(sym: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 class Model:
-    def __init__(self, member: np.ndarray, classes: np.ndarray | None = None, words: np.ndarray | None = None):
+    def __init__(self, member: np.ndarray, rows: int, classes: np.ndarray | None = None, words: np.ndarray | None = None):
+        self.size = rows
         # symbol s is member s // CLASSES of class s % CLASSES
         self.absent = np.where(member.reshape(MEMBERS, CLASSES).T, 0, -1e9).astype(np.float32)
         self.gone = np.where((self.absent < 0).all(1), -1e9, 0).astype(np.float32)
-        self.c = np.zeros((CLASS_ROWS, CLASSES), np.float32) if classes is None else classes.copy()
-        self.w = np.zeros((WORD_ROWS, MEMBERS), np.float32) if words is None else words.copy()
+        self.c = np.zeros((rows, CLASSES), np.float32) if classes is None else classes.copy()
+        self.w = np.zeros((2 * rows, MEMBERS), np.float32) if words is None else words.copy()
 
     def rows(self, feats: list[np.ndarray], cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Hashed rows of the class table, but for its bias in row 0, and of the word table, bias first."""
-        rc = [(f >> np.uint64(40)).astype(np.int64) % (CLASS_ROWS - 1) + 1 for f in feats]
+        rc = [(f >> np.uint64(40)).astype(np.int64) % (self.size - 1) + 1 for f in feats]
         mark = cls.astype(np.uint64) * _K[0]
-        rw = [cls.astype(np.int64), *((_text.mix(f + mark) >> np.uint64(40)).astype(np.int64) % (WORD_ROWS - CLASSES) + CLASSES for f in feats)]
+        rw = [cls.astype(np.int64), *((_text.mix(f + mark) >> np.uint64(40)).astype(np.int64) % (2 * self.size - CLASSES) + CLASSES for f in feats)]
         return rc, rw
 
     @staticmethod
@@ -147,12 +166,14 @@ class Model:
 
 def _step(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, rows: list[np.ndarray], grad: np.ndarray) -> None:
     """An AdaGrad step on the rows of one minibatch, whose tokens share a gradient over their features."""
-    flat = np.concatenate(rows).astype(np.uint16)
-    order = np.argsort(flat, kind="stable")
+    flat = np.concatenate(rows)
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # by radix, sixteen bits at a time
+    if len(table) > 1 << 16:
+        order = order[np.argsort((flat[order] >> 16).astype(np.uint16), kind="stable")]
     flat = flat[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     total = np.add.reduceat(grad.T.copy().take(order % len(grad), 1), first, axis=1).T  # sums along rows are the fast ones
-    at = flat[first].astype(np.int64)
+    at = flat[first]
     sums[at] += total * total
     table[at] -= RATE * total / np.sqrt(sums[at] + 1e-6)
     touched[at] += np.diff(np.concatenate([first, [len(flat)]]))
@@ -165,9 +186,9 @@ def _bias(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, grad: np.nda
     touched[0] += len(grad)
 
 
-def unigrams(symbols: Symbols, counts: np.ndarray) -> Model:
+def unigrams(symbols: Symbols, counts: np.ndarray, rows: int) -> Model:
     """The model whose biases alone give each symbol its share of `counts`; training starts from it."""
-    m = Model(symbols.member)
+    m = Model(symbols.member, rows)
     table = np.where(symbols.member, counts + 0.5, 0).reshape(MEMBERS, CLASSES).T
     m.c[0] = np.log(np.maximum(table.sum(1), 1e-9))
     m.w[:CLASSES] = np.log(np.maximum(table, 1e-9))
@@ -180,13 +201,13 @@ def train(docs: DataFrame, symbols: Symbols, model: Model) -> Model:
         start = model
 
         def run(batches, start=start):
-            m = Model(symbols.member, start.c, start.w)
+            m = Model(symbols.member, start.size, start.c, start.w)
             sums = [np.full_like(x, 1e-3) for x in (m.c, m.w)]
             touched = [np.zeros(len(x), np.int64) for x in (m.c, m.w)]
             any_ = False
             for rb in _text.slices(batches, "_t"):
-                _, sym, _, offs = symbols.tokens(rb.column("_t"))
-                feats = features(sym, offs)
+                _, sym, _, past, offs = symbols.tokens(rb.column("_t"))
+                feats = features(past, offs)
                 for at in range(0, len(sym), BATCH):
                     any_ = True
                     s = slice(at, at + BATCH)
@@ -212,7 +233,7 @@ def train(docs: DataFrame, symbols: Symbols, model: Model) -> Model:
         width = max(CLASSES, MEMBERS)
         sums = deltas.groupBy("t", "at").agg(F.sum("n").alias("n"), *(F.sum(F.col("change")[i].cast("double")).alias(f"x{i}") for i in range(width)))
         got = sums.select("t", "at", F.array(*((F.col(f"x{i}") / F.col("n")).cast("float") for i in range(width))).alias("change")).toArrow()
-        model = Model(symbols.member, start.c, start.w)
+        model = Model(symbols.member, start.size, start.c, start.w)
         t, at = got["t"].to_numpy(), got["at"].to_numpy()
         change = got["change"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         model.c[at[t == 0]] += change[t == 0][:, :CLASSES]
@@ -242,9 +263,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     n_docs = training.count()
     words, types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = words + n_docs, types + (n_docs > 0)
-    best = vocab.orderBy(F.desc("c"), "h").limit(TOP).select("h", "c").collect()
+    rows = rows_for(types)
+    best = vocab.orderBy(F.desc("c"), "h").limit(max(TOP, rows)).select("h", "c").collect()  # in the order of sqrt(types)
+    symbols, best = Symbols([r["h"] for r in best]), best[:TOP]
     top = [r["h"] for r in best]
-    symbols = Symbols(top)
     rare = vocab.join(F.broadcast(spark.createDataFrame([(h,) for h in top], "h long")), "h", "left_anti")  # TOP rows at most
     totals = np.zeros((ENDINGS, 2))
     for e, a, b in rare.groupBy("ending").agg(F.sum("c"), F.count("*")).collect():
@@ -263,7 +285,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     chosen.select("h", "c").write.parquet(folder)
     counts = np.zeros(SYMBOLS)
     counts[: len(top)], counts[TOP], counts[TOP + 1 :] = [r["c"] for r in best], n_docs, totals[:, 0]
-    model = unigrams(symbols, counts)
+    model = unigrams(symbols, counts, rows)
     if n_docs:
         model = train(training, symbols, model)
     unit = np.log10(n + v + 1)
@@ -274,8 +296,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
         head, row = _hash.load(folder, folder, "h", "c"), TaskContext.get().partitionId() << 33
         for rb in _text.slices(batches, "_t"):
-            h, sym, is_rare, offs = symbols.tokens(rb.column("_t"))
-            logs = model.logs(features(sym, offs), sym)
+            h, sym, is_rare, past, offs = symbols.tokens(rb.column("_t"))
+            logs = model.logs(features(past, offs), sym)
             logs[is_rare] += rest[sym[is_rare] - TOP - 1]
             slot = head.find(h)
             end = h == 0

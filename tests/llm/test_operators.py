@@ -221,11 +221,11 @@ def test_maxent_learns_and_sums_to_one(spark):
     import pyarrow as pa
 
     s = maxent.Symbols([int(x) for x in range(1, 100)])
-    m = maxent.Model(s.member)
+    m = maxent.Model(s.member, 2000)
     m.c += np.random.default_rng(0).normal(size=m.c.shape).astype(np.float32)
     m.w += np.random.default_rng(1).normal(size=m.w.shape).astype(np.float32)
-    h, sym, rare, offs = s.tokens(pa.array(["a b c", None, "d"]))
-    feats = maxent.features(sym, offs)
+    h, sym, rare, past, offs = s.tokens(pa.array(["a b c", None, "d"]))
+    feats = maxent.features(past, offs)
     at = 2
     one = [np.repeat(f[at : at + 1], maxent.SYMBOLS) for f in feats]
     every = np.arange(maxent.SYMBOLS, dtype=np.int32)
@@ -236,7 +236,7 @@ def test_maxent_learns_and_sums_to_one(spark):
 def test_maxent_members_see_every_feature():
     sym, offs = np.array([[5, 6, 7, 9], [4, 6, 7, 9], [5, 4, 7, 9]], np.int32), np.arange(0, 13, 4)
     feats = maxent.features(sym.reshape(-1), offs)
-    m = maxent.Model(np.ones(maxent.SYMBOLS, bool))
+    m = maxent.Model(np.ones(maxent.SYMBOLS, bool), 1 << 13)
     _, rw = m.rows([f[3::4] for f in feats], np.full(3, 9))
     kept = [(r[0] == r[1], r[0] == r[2]) for r in rw]  # third last symbol changed, second last changed
     assert kept == [(True, True), (True, True), (True, False), (True, False), (False, True)]
@@ -245,6 +245,61 @@ def test_maxent_members_see_every_feature():
     assert p[0] > p[1] + 0.5
 
 
+def test_maxent_scores_against_plain_sums():
+    """Scores of a random model, token by token in plain Python; and a step's gradient against differences."""
+    import pyarrow as pa
+
+    texts = ["a b a c zz", "", "b b yy"]
+    hashes = [int(x) for x in _hashes(["a", "b", "yy"])]
+    s = maxent.Symbols(hashes)
+    rng = np.random.default_rng(3)
+    m = maxent.Model(s.member, 1500)
+    m.c += rng.normal(size=m.c.shape).astype(np.float32)
+    m.w += rng.normal(size=m.w.shape).astype(np.float32)
+    h, sym, rare, past, offs = s.tokens(pa.array(texts))
+    feats = maxent.features(past, offs)
+    got = m.logs(feats, sym)
+    i = 0
+    for t in texts:
+        seq = [*t.split(), None]
+        for j, w in enumerate(seq):
+            symbol = maxent.TOP if w is None else {"a": 0, "b": 1, "yy": 2}.get(w, int(sym[i]))
+            assert symbol == sym[i] and rare[i] == (w in ("c", "zz"))
+            cls, mem = symbol % maxent.CLASSES, symbol // maxent.CLASSES
+            rc, rw = m.rows([f[i : i + 1] for f in feats], np.array([cls]))
+            zc = [float(m.c[0][k] + sum(m.c[r[0]][k] for r in rc) + m.gone[k]) for k in range(maxent.CLASSES)]
+            zw = [float(m.w[cls][k] + sum(m.w[r[0]][k] for r in rw[1:]) + m.absent[cls][k]) for k in range(maxent.MEMBERS)]
+            top = lambda z: max(z) + math.log(sum(math.exp(x - max(z)) for x in z))
+            assert got[i] == pytest.approx((zc[cls] - top(zc) + zw[mem] - top(zw)) / math.log(10), abs=1e-4)
+            i += 1
+    assert i == len(got)
+
+
+def _hashes(ws):
+    import pyarrow as pa
+
+    from shapeloom.llm import _text
+
+    return _text.words(pa.array([" ".join(ws)]))[0].view(np.int64)
+
+
+def test_maxent_follows_the_vocabulary():
+    """More words, more rows and more words in histories; tables beyond sixteen bits are stepped through alike."""
+    assert maxent.rows_for(10**8) > 5 * maxent.rows_for(10**6) > 20 * maxent.rows_for(100)
+    rng = np.random.default_rng(1)
+    for size in (5000, 100_000):
+        rows = [rng.integers(0, size, 300) for _ in range(4)]
+        grad = rng.normal(size=(300, 8)).astype(np.float32)
+        table, sums, touched = np.zeros((size, 8), np.float32), np.full((size, 8), 1e-3, np.float32), np.zeros(size, np.int64)
+        maxent._step(table, sums, touched, rows, grad)
+        want = np.zeros((size, 8))
+        for r in rows:
+            np.add.at(want, r, grad)
+        used = np.unique(np.concatenate(rows))
+        assert np.allclose(table[used], (-maxent.RATE * want / np.sqrt(want**2 + 1e-3))[used], atol=1e-4) and not table[np.setdiff1d(np.arange(size), used)].any()
+        assert touched.sum() == 1200
+
+
 def test_maxent_empty(spark, empty):
     assert maxent.score(empty).count() == 0
     only = spark.createDataFrame([(2, "a b"), (2, None)], "doc_id long, text string").filter(maxent.held_out(F.col("doc_id")) | F.lit(True))
