@@ -14,8 +14,9 @@ words of an ending; a word that was never counted is the one further event of it
 probabilities of all events sum to 1.
 
 What the model holds follows the vocabulary of V words: the tables of hashed rows have in the order of
-sqrt(V) rows (`rows_for`), and in histories as many of the most frequent words stand for themselves (all others
-for their ending), so that more text brings more histories and more weights. The symbols, on whose
+sqrt(V) rows (`rows_for`), and as the last word of a history as many of the most frequent words that were
+counted SEEN times stand for themselves (all others, and those further back, for their symbol), so that more text
+brings more histories and more weights. The symbols, on whose
 number the time for a token depends, are of fixed number.
 
 Training starts from the symbols' shares. Documents are dealt into ROUNDS by hash. In a round every task starts from the current
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from . import _hash, _store, _text
 
 CLASSES, MEMBERS, ENDINGS = 32, 32, 255
-LEAST_ROWS, ROWS = 1024, 13
+LEAST_ROWS, ROWS, SEEN = 4096, 16, 32
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
 HEAD = 1 << 19
 SYMBOLS = CLASSES * MEMBERS
@@ -104,18 +105,19 @@ class Symbols:
         return *out, np.concatenate([[0], stops])
 
 
-def features(past: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+def features(sym: np.ndarray, past: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     """Hashed histories of every token, from what stands before it in its text (0: before its start)."""
     n = len(past)
-    back, h = [], (past + 1).astype(np.uint64)
+    back = []
     place = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
-    for k in (1, 2, 3):
+    for k, of in ((1, past), (1, sym), (2, sym), (3, sym)):
+        h = (of + 1).astype(np.uint64)
         p = np.zeros(n, np.uint64)
         p[k:] = h[: n - k] if k < n else h[:0]
         p[place < k] = 0
         back.append(p)
-    a, b, c = back
-    return [_text.mix(a * _K[0] + np.uint64(1)), _text.mix(a * _K[0] + b * _K[1] + np.uint64(2)), _text.mix(b * _K[2] + np.uint64(3)), _text.mix(c * _K[3] + np.uint64(4))]
+    w, a, b, c = back
+    return [_text.mix(w * _K[0] + np.uint64(1)), _text.mix(a * _K[0] + b * _K[1] + np.uint64(2)), _text.mix(b * _K[2] + np.uint64(3)), _text.mix(c * _K[3] + np.uint64(4))]
 
 
 class Model:
@@ -207,7 +209,7 @@ def train(docs: DataFrame, symbols: Symbols, model: Model) -> Model:
             any_ = False
             for rb in _text.slices(batches, "_t"):
                 _, sym, _, past, offs = symbols.tokens(rb.column("_t"))
-                feats = features(past, offs)
+                feats = features(sym, past, offs)
                 for at in range(0, len(sym), BATCH):
                     any_ = True
                     s = slice(at, at + BATCH)
@@ -265,7 +267,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     n, v = words + n_docs, types + (n_docs > 0)
     rows = rows_for(types)
     best = vocab.orderBy(F.desc("c"), "h").limit(max(TOP, rows)).select("h", "c").collect()  # in the order of sqrt(types)
-    symbols, best = Symbols([r["h"] for r in best]), best[:TOP]
+    symbols, best = Symbols([r["h"] for i, r in enumerate(best) if i < TOP or r["c"] >= SEEN]), best[:TOP]
     top = [r["h"] for r in best]
     rare = vocab.join(F.broadcast(spark.createDataFrame([(h,) for h in top], "h long")), "h", "left_anti")  # TOP rows at most
     totals = np.zeros((ENDINGS, 2))
@@ -297,7 +299,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         head, row = _hash.load(folder, folder, "h", "c"), TaskContext.get().partitionId() << 33
         for rb in _text.slices(batches, "_t"):
             h, sym, is_rare, past, offs = symbols.tokens(rb.column("_t"))
-            logs = model.logs(features(past, offs), sym)
+            logs = model.logs(features(sym, past, offs), sym)
             logs[is_rare] += rest[sym[is_rare] - TOP - 1]
             slot = head.find(h)
             end = h == 0
