@@ -165,7 +165,7 @@ def _copies(cap: int):
             if n:
                 k = min(cap, max(0, int(np.floor((want[i] - have) / n + 0.5))))
                 out[i], have = k, have + k * n
-        return pdf[["_mix_source", "_mix_block", "_mix_row"]].assign(copies=out)
+        return pdf[["_mix_row", "source_size", "target"]].rename(columns={"_mix_row": "_mix_at"}).assign(copies=out)
 
     return block
 
@@ -185,20 +185,19 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     total, mean, square = sized.agg(F.sum("size"), F.sum(n * log) / F.sum("size"), F.sum(n * log * log) / F.sum("size")).first() if sized.take(1) else (0, 0.0, 0.0)
     mean = round(mean, 6) if total else 0.0
     spread = max(round((square - mean * mean) ** 0.5, 6), 1e-6) if total and square > mean * mean else 1.0
-    sized = sized.withColumn("_mix_f", (log - mean) / spread)
-    stats = table(sized.groupBy("_mix_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_mix_docs")), "sources")
-    duals, m = solve(sized, targets(stats.select("_mix_source", "source_size"), weights, cap), cap)
+    light = sized.select("_mix_source", "_mix_row", "_mix_tie", "size", ((log - mean) / spread).alias("_mix_f"))  # all but the last join is on numbers
+    stats = table(light.groupBy("_mix_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_mix_docs")), "sources")
+    duals, m = solve(light, targets(stats.select("_mix_source", "source_size"), weights, cap), cap)
     per = table(duals.join(stats.select("_mix_source", "_mix_docs"), "_mix_source"), "rates")
     if per.count() <= MOST_BROADCAST:
         per = F.broadcast(per)
-    often = sized.groupBy("_mix_tie").agg(F.count("*").alias("_mix_n")).filter(F.col("_mix_n") > BLOCK_DOCS).select(F.col("_mix_tie").alias("_mix_often"))
+    often = light.groupBy("_mix_tie").agg(F.count("*").alias("_mix_n")).filter(F.col("_mix_n") > BLOCK_DOCS).select(F.col("_mix_tie").alias("_mix_often"))
     deal = F.when(F.col("_mix_often").isNull(), F.col("_mix_tie")).otherwise(F.xxhash64("_mix_tie", "_mix_row"))
-    rated = sized.join(per, "_mix_source").join(often, F.col("_mix_tie") == F.col("_mix_often"), "left").withColumn("_mix_block", F.pmod(deal, F.ceil(F.col("_mix_docs") / BLOCK_DOCS)))
-    rated = rated.withColumn("_mix_rate", _tilt(F.col("l"), m, cap)[0])
-    part = rated.select("_mix_source", "_mix_block", "_mix_row", "_mix_tie", "size", "_mix_rate")
-    schema = part.select("_mix_source", "_mix_block", "_mix_row").withColumn("copies", F.lit(0).cast("long")).schema
+    rated = light.join(per, "_mix_source").join(often, F.col("_mix_tie") == F.col("_mix_often"), "left").withColumn("_mix_block", F.pmod(deal, F.ceil(F.col("_mix_docs") / BLOCK_DOCS)))
+    part = rated.select("_mix_block", "_mix_row", "_mix_tie", "size", _tilt(F.col("l"), m, cap)[0].alias("_mix_rate"), "_mix_source", "source_size", "target")
+    schema = part.select(F.col("_mix_row").alias("_mix_at"), "source_size", "target").withColumn("copies", F.lit(0).cast("long")).schema
     taken = part.groupBy("_mix_source", "_mix_block").applyInPandas(_copies(int(cap)), schema)
-    out = rated.join(taken, ["_mix_source", "_mix_block", "_mix_row"])
+    out = sized.join(taken, F.col("_mix_row") == F.col("_mix_at"))
     if with_text:
         out = out.withColumnRenamed("_mix_kept", text)
         extra = [text if c == "_mix_kept" else c for c in extra]

@@ -436,8 +436,6 @@ def test_mixing_splits_rows_without_keys_and_repeated_rows(spark, monkeypatch):
     for r in out.collect():
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 8 * 14 for s in sizes)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "_mix_block" in plan
     blocks = Counter(r["b"] for r in dict(seen)["sized"].filter("source = 'hot'").select(F.pmod(F.when(F.col("doc_id").isNull(), F.col("_mix_tie")).otherwise(F.xxhash64("_mix_tie", "_mix_row")), F.lit(14)).alias("b")).collect())
     assert max(blocks.values()) < 120
 
