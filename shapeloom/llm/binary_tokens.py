@@ -16,6 +16,7 @@ other; other columns are ignored; an empty table gives no file and no row.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -47,16 +48,23 @@ class WordEncoder:
     characters that Python takes for white space and the tokenizer does not are encoded whole. A
     closing mark after letters, which the tokenizer splits off, and ASCII capitals, which it lowers,
     are taken off before a word is looked up. The memory is two generations of at most `most` words.
+    Any tokenizer whose normaliser or splitter is another one encodes whole texts, without memory.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     MARKS = ".,;:!?|"
+    # fixed values: the normalisers and the splitting pattern for which all this holds
+    NORMALISERS = ["NFC", "Replace", "Lowercase"]
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, most: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.new, self.old = Tokenizer.from_file(path), most, {}, {}
         self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
+        form = json.loads(self.tokenizer.to_str())
+        steps, splits = (form.get("normalizer") or {}).get("normalizers", []), (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_words = [x["type"] for x in steps] == self.NORMALISERS and bool(splits) and splits[0].get("pattern", {}).get("Regex") == self.PATTERN and splits[0].get("behavior") == "Removed" and splits[0].get("invert", False)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -84,7 +92,7 @@ class WordEncoder:
                     new[w] = ids + self.marks[mark] if mark else ids
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in self.ODD):
+        if not self.by_words or any(c in text for c in self.ODD):
             return self._encode([text])[0]
         words = text.split()
         try:

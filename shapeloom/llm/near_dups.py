@@ -19,8 +19,8 @@ links, not the square of a group; a very common passage makes buckets of texts t
 whose pairs step 4 compares inside the join without emitting them.
 
 Cases: null and empty texts have an empty set, link with nothing and are their own component; texts of
-fewer words than a shingle have one shingle, the whole sequence; of rows that share
-a key each has the component of its own text; a row with a null key links with nothing, has no component and is kept; an empty table gives an empty
+fewer words than a shingle have one shingle, the whole sequence; rows that share a key are one node, which
+is linked with whatever one of their texts is similar to; a row with a null key links with nothing, has no component and is kept; an empty table gives an empty
 result; other columns are ignored.
 """
 

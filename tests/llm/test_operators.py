@@ -325,6 +325,19 @@ def test_binary_tokens(spark, docs, empty):
     assert keys == sorted(keys) and binary_tokens.encode_documents(empty).count() == 0
 
 
+def test_word_encoder_takes_any_tokenizer():
+    """Texts by words where the tokenizer allows it, else whole; the ids are the library's."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, World!  it's fine: a|b\n\nNEW line", " two  spaces ", "", "x" * 300, "ÉCOLE e\u0301 <|endoftext|>x", "1,000.50 %"]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        e, t = binary_tokens.WordEncoder(public.path(name)), Tokenizer.from_file(public.path(name))
+        assert bool(e.by_words) is by_words
+        for x in texts * 2:
+            assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, (name, x)
+
+
 def test_seek_table(monkeypatch):
     monkeypatch.setattr(binary_tokens, "FRAME_IDS", 4)
     out = io.BytesIO()
@@ -529,6 +542,16 @@ def test_near_dups(spark, empty, size):
     assert near_dups.link(empty).count() == 0
 
 
+def test_near_dups_of_repeated_keys(spark):
+    """Rows that share a key are one node: what any of their texts is near to is linked with all of them."""
+    rng = random.Random(7)
+    a, b = prose(rng, 100), prose(rng, 100)
+    near = lambda t: " ".join(["other", *t.split()[1:]])
+    rows = [(3, a), (7, near(a)), (7, b), (9, near(b)), (11, prose(rng, 50)), (11, None)]
+    out = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dups.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == Counter([(3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), (11, 11, True), (11, 11, True)])
+
+
 def test_odd_sketches_estimate():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 2**63, 1000, dtype=np.uint64)
