@@ -22,3 +22,12 @@ def test_entry_without_llm(tmp_path):
     subprocess.run(["rm", "-rf", tmp_path / "shapeloom" / "llm"], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_other_tests_without_llm(tmp_path):
+    """With the folders and the pipeline taken away the remaining tests are all collected, so nothing of theirs imports them."""
+    for x in ("__spark_entry__.py", "shapeloom", "tests", "bench.py"):
+        subprocess.run(["cp", "-r", os.path.join(TOP, x), tmp_path], check=True)
+    subprocess.run(["rm", "-rf", tmp_path / "shapeloom" / "llm", tmp_path / "tests" / "llm"], check=True)
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert done.returncode == 0, done.stdout[-500:]
