@@ -19,7 +19,7 @@ from .plans import paths as P
 from .queries import PREFIXES, QUERIES, SHEX, SQL, _iri, _ontology, _shex, _status, _titles, _violations, query
 from .sources import rdf
 from .sources.tables import Tables, prop, row
-from .sources.terms import BNODE, IRI, LANGSTRING, LITERAL, RDFS, SH, XSD, constant, iri, node
+from .sources.terms import BNODE, IRI, LANGSTRING, LITERAL, RDFS, SH, XSD, constant, iri, node, text
 from .streaming import nodes as streaming
 
 SIZES, SIZED = ["part.p_size"], "{FOCUS p:p_size _}@:S"
@@ -302,6 +302,22 @@ _component("component_ask", _K + 'sh:validator [ sh:ask "ASK { FILTER ($value <=
 _component("component_node", _K + 'sh:nodeValidator [ sh:select "SELECT $this WHERE { $this <urn:p/p_size> ?v . FILTER (?v > $most) }" ] . c:S sh:targetSubjectsOf p:p_size ; c:most 40 .')
 _component("sparql_prefixes", 'c:O sh:declare [ sh:prefix "x" ; sh:namespace "urn:p/"^^xsd:anyURI ] . c:S sh:targetSubjectsOf p:p_size ; sh:sparql [ sh:prefixes c:O ; sh:select "SELECT $this WHERE { $this x:p_size ?v . FILTER (?v > 40) }" ] .')
 
+
+
+@query(f"SELECT {_iri('customer', 'c_custkey')} AS x FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey IN (3, 4, 5) AND NOT c_acctbal < 0")
+def sparql_values_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Tables(spark, sf_dir).graph("customer.c_nationkey", "customer.c_acctbal")
+    out = sq.select(graph, "SELECT ?x WHERE { ?x <urn:p/c_nationkey> ?n . VALUES ?n { <urn:t/nation/3> <urn:t/nation/4> <urn:t/nation/5> } MINUS { ?x <urn:p/c_acctbal> ?b . FILTER (?b < 0) } }")
+    return out.select(text(F.col("x")).alias("x"))
+
+
+@query(f"SELECT {_iri('nation', 'n_nationkey')} AS nation, '\"' || n || '\"^^<{XSD}integer>' AS n, {_iri('region', 'n_regionkey')} AS region FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE n > 5")
+def sparql_subselect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = Tables(spark, sf_dir).graph("customer.c_nationkey", "nation.n_regionkey")
+    out = sq.select(graph, "SELECT ?m ?n ?r WHERE { ?m <urn:p/n_regionkey> ?r . { SELECT ?m (COUNT(?x) AS ?n) WHERE { ?x <urn:p/c_nationkey> ?m } GROUP BY ?m } FILTER (?n > 5) }")
+    return out.select(text(F.col("m")).alias("nation"), text(F.col("n")).alias("n"), text(F.col("r")).alias("region"))
+
+
 # the minimal language
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import nodes as N
 from ..plans import paths as P
@@ -45,29 +46,45 @@ class Query:
             name = self.take()[1]
             self.prefixes[name.rstrip(":")] = self.take()[1][1:-1]
         self.ask = self.word("ASK")
-        self.names: list[str] | None = []
-        self.aliases: dict[str, object] = {}
-        if not self.ask:
+        if self.ask:
+            self.names, self.aliases, self.by = [], {}, None
+            self.word("WHERE")
+            self.body = self.group()
+        else:
             if not self.word("SELECT"):
                 raise NotSupported("only SELECT and ASK are supported")
-            self.word("DISTINCT")
-            if self.mark("*"):
-                self.names = None
-            while self.names is not None and not self.peek("{", "WHERE"):
-                if self.mark("("):
-                    e = self.expression()
-                    self.need("AS")
-                    v = self.var()
-                    self.need(")")
-                    self.aliases[v] = e
-                    self.names.append(v)
-                else:
-                    self.names.append(self.var())
-        self.word("WHERE")
-        self.body = self.group()
+            self.names, self.aliases, self.body, self.by, self.distinct = self.selection()
         if self.at < len(self.tok):
             raise NotSupported(f"{self.tok[self.at][1]} after the pattern")
 
+    def selection(self) -> tuple[list[str] | None, dict[str, object], list, list[str] | None, bool]:
+        """What follows SELECT: names (None for all), expressions, pattern, variables to group by (None: no groups), DISTINCT."""
+        distinct, names, aliases = self.word("DISTINCT"), [], {}
+        if self.mark("*"):
+            names = None
+        while names is not None and not self.peek("{", "WHERE"):
+            if self.mark("("):
+                e = self.expression()
+                self.need("AS")
+                v = self.var()
+                self.need(")")
+                aliases[v] = e
+                names.append(v)
+            else:
+                names.append(self.var())
+        self.word("WHERE")
+        body, by = self.group(), None
+        if self.word("GROUP"):
+            self.need("BY")
+            by = []
+            while self.at < len(self.tok) and self.tok[self.at][0] == "var":
+                by.append(self.var())
+        if by is None and any(e[0] == "count" for e in aliases.values() if isinstance(e, tuple)):
+            by = []
+        if by is not None and (names is None or any(v not in by and v not in aliases for v in names)):
+            raise NotSupported("a grouped query returns its groups' variables and counts")
+        return names, aliases, body, by, distinct
+
     def peek(self, *want: str) -> bool:
         return self.at < len(self.tok) and (self.tok[self.at][1] in want or self.tok[self.at][0] == "word" and self.tok[self.at][1].upper() in want)
 
@@ -118,8 +135,18 @@ class Query:
                 if v in self.bound:
                     raise NotSupported(f"?{v} is bound beforehand")
                 out.append(("bind", v, e))
-            elif self.peek("SERVICE", "VALUES", "MINUS", "GRAPH", "SELECT"):
+            elif self.peek("SERVICE", "GRAPH") or self.bound and self.peek("VALUES", "MINUS"):
                 raise NotSupported(f"{self.take()[1]} isn't supported")
+            elif self.word("MINUS"):
+                out.append(("minus", self.group()))
+            elif self.word("VALUES"):
+                out.append(self.values())
+            elif self.peek("{") and self.at + 1 < len(self.tok) and self.tok[self.at + 1][1].upper() == "SELECT":
+                if self.bound:
+                    raise NotSupported("sub-SELECT isn't supported where variables are bound beforehand")
+                self.at += 2
+                out.append(("select", *self.selection()))
+                self.need("}")
             elif self.peek("{"):
                 parts = [self.group()]
                 while self.word("UNION"):
@@ -130,6 +157,24 @@ class Query:
             self.mark(".")
         return out
 
+    def values(self) -> tuple:
+        """VALUES ?x { ... } or VALUES (?x ?y) { (...) ... }; UNDEF isn't supported."""
+        many = self.mark("(")
+        names = [self.var()]
+        while many and not self.mark(")"):
+            names.append(self.var())
+        self.need("{")
+        rows = []
+        while not self.mark("}"):
+            if many:
+                self.need("(")
+            rows.append([self.term() for _ in names])
+            if many:
+                self.need(")")
+        if any(not isinstance(x, Node) for r in rows for x in r):
+            raise NotSupported("VALUES takes terms alone")
+        return ("values", names, rows)
+
     def triples(self) -> list:
         s, out = self.term(), []
         while True:
@@ -239,6 +284,12 @@ class Query:
             return e
         if self.at < len(self.tok) and self.tok[self.at][0] == "word" and self.tok[self.at][1] not in ("true", "false"):
             name = self.take()[1]
+            if name.upper() == "COUNT":
+                self.need("(")
+                distinct = self.word("DISTINCT")
+                e = None if self.mark("*") else self.expression()
+                self.need(")")
+                return ("count", distinct, e)
             known = {f.upper(): f for f in FUNCTIONS}.get(name.upper())
             if known is None:
                 raise NotSupported(f"function {name} isn't supported")
@@ -377,12 +428,17 @@ class Compiler:
         right = right.select(*(F.col(f"v_{v}").alias(f"r_{v}" if v in both else f"v_{v}") for v in sorted(rv)))
         if not both:
             if how in ("left_semi", "left_anti"):
-                some = not right.isEmpty()
-                return left if some == (how == "left_semi") else left.limit(0)
+                return Compiler.whether(left, right, how)
             raise NotSupported("patterns without a common variable would need a cross join")
         on = reduce(lambda a, b: a & b, (F.col(f"v_{v}").eqNullSafe(F.col(f"r_{v}")) if how != "inner" else F.col(f"v_{v}") == F.col(f"r_{v}") for v in both))
         return left.join(right, on, how).drop(*(f"r_{v}" for v in both))
 
+    @staticmethod
+    def whether(left: DataFrame, right: DataFrame, how: str = "left_semi") -> DataFrame:
+        """`left` if `right` has a row (or has none, for left_anti), found when the plan runs: a join with one row."""
+        one = right.limit(1).select(F.lit(1).alias("_some"))
+        return left.withColumn("_one", F.lit(1)).join(F.broadcast(one), F.col("_one") == F.col("_some"), how).drop("_one")
+
     def solve(self, body: list, rows: DataFrame | None = None, have: set[str] | None = None) -> tuple[DataFrame, set[str]]:
         have = set(have or ())
         todo = list(body)
@@ -393,7 +449,7 @@ class Compiler:
             x = todo.pop(i if todo[0][0] == "triple" else 0)
             if x[0] == "triple":
                 right, rv = self.triple(*x[1:])
-                rows = right if rows is None else self.join(rows, have, right, rv) if rv else (rows if not right.isEmpty() else rows.limit(0))
+                rows = right if rows is None else self.join(rows, have, right, rv) if rv else self.whether(rows, right)
                 have |= rv
             elif x[0] == "union":
                 parts = [self.solve(b, rows, have) for b in x[1]]
@@ -408,6 +464,19 @@ class Compiler:
                 on = reduce(lambda a, b: a & b, (F.col(f"v_{v}").eqNullSafe(F.col(f"r_{v}")) for v in sorted(key)))
                 rows = rows.join(r, on, "left").drop(*(f"r_{v}" for v in key))
                 have |= rv
+            elif x[0] == "minus":
+                right, rv = self.solve(x[1])
+                if have & rv:
+                    rows = self.join(rows, have, right.select(*(f"v_{v}" for v in sorted(have & rv))).distinct(), have & rv, "left_anti")
+            elif x[0] in ("values", "select"):
+                if x[0] == "values":
+                    right = self.graph.sparkSession.createDataFrame([[tuple([int(n.kind), *n[1:]]) for n in r] for r in x[2]], T.StructType([T.StructField(f"v_{v}", NODE) for v in x[1]]))
+                    rv = set(x[1])
+                else:
+                    right, names = selected(self, *x[1:])
+                    right, rv = right.select(*(F.col(v).alias(f"v_{v}") for v in names)), set(names)
+                rows = right if rows is None else self.join(rows, have, right, rv)
+                have |= rv
             elif x[0] == "bind":
                 rows = rows.withColumn(f"v_{x[1]}", value(x[2], {v: f"v_{v}" for v in have}))
                 have.add(x[1])
@@ -424,14 +493,35 @@ class Compiler:
 def select(graph: DataFrame, text: str, prefixes: dict[str, str] | None = None) -> DataFrame:
     """Solutions of a SELECT query, a node column for each variable."""
     q = Query(text, prefixes)
-    rows, have = Compiler(graph).solve(q.body)
-    for v, e in q.aliases.items():
-        rows = rows.withColumn(f"v_{v}", value(e, {x: f"v_{x}" for x in have}))
-        have.add(v)
-    names = q.names if q.names is not None else sorted(v for v in have if not v.startswith("_b"))
+    if q.ask:
+        raise NotSupported("only SELECT queries have solutions")
+    return selected(Compiler(graph), q.names, q.aliases, q.body, q.by, q.distinct)[0]
+
+
+def selected(compiler: Compiler, names: list[str] | None, aliases: dict, body: list, by: list[str] | None, distinct: bool) -> tuple[DataFrame, list[str]]:
+    """The solutions of a selection, a node column for each variable, and the variables."""
+    rows, have = compiler.solve(body)
+    if by is not None:
+        if missing := [v for v in by if v not in have]:
+            raise NotSupported(f"?{missing[0]} is not bound")
+        cols, counts = {x: f"v_{x}" for x in have}, {}
+        for v, e in aliases.items():
+            if e[0] != "count":
+                raise NotSupported("a grouped query returns its groups' variables and counts")
+            of = F.lit(1) if e[2] is None else value(e[2], cols)
+            counts[v] = (F.count_distinct(of) if e[1] else F.count(of)).cast("string")
+        rows = rows.groupBy(*(f"v_{v}" for v in by)).agg(*(c.alias(f"_c_{v}") for v, c in counts.items()))
+        rows = rows.select(*(f"v_{v}" for v in by), *(node(LITERAL, F.col(f"_c_{v}"), XSD + "integer").alias(f"v_{v}") for v in counts))
+        have = {*by, *counts}
+    else:
+        for v, e in aliases.items():
+            rows = rows.withColumn(f"v_{v}", value(e, {x: f"v_{x}" for x in have}))
+            have.add(v)
+    names = names if names is not None else sorted(v for v in have if not v.startswith("_b"))
     if missing := [v for v in names if v not in have]:
         raise NotSupported(f"?{missing[0]} is not bound")
-    return rows.select(*(F.col(f"v_{v}").alias(v) for v in names))
+    rows = rows.select(*(F.col(f"v_{v}").alias(v) for v in names))
+    return rows.distinct() if distinct else rows, names
 
 
 def rejected(graph: DataFrame, text: str, prefixes: dict[str, str], values: DataFrame, constants: dict[str, Node], path=None) -> DataFrame:
@@ -450,6 +540,8 @@ def violations(graph: DataFrame, text: str, prefixes: dict[str, str], focus: Dat
     q = Query(text, prefixes, ("this", *(constants or ())), constants)
     if q.ask:
         raise NotSupported("sh:select needs a SELECT query")
+    if q.by is not None:
+        raise NotSupported("a constraint's query has no groups")
     if q.names is not None and "this" not in q.names:
         raise NotSupported("a constraint's query has to return $this")
     start = focus.select(F.col("focus").alias("v_this")).distinct()

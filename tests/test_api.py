@@ -110,9 +110,17 @@ def test_sparql(spark):
     assert run("SELECT ?x WHERE { ?x :p ?v . FILTER NOT EXISTS { ?x :q ?l } }") == [(e + "b",)]
     assert run("SELECT ?x WHERE { { ?x :q ?v } UNION { ?x :r ?v } }") == [(e + "a",), (e + "c",)]
     assert run("SELECT ?y WHERE { ?x :r/:q ?v . BIND (CONCAT(str(?v), '!') AS ?y) }") == [("x!",)]
-    for bad in ("SELECT ?x WHERE { SERVICE <x> { ?x :p ?y } }", "SELECT ?x WHERE { ?x :p ?y MINUS { ?x :q ?z } }", "SELECT ?x WHERE { ?x :p ?y . VALUES ?x { :a } }", "CONSTRUCT { } WHERE { }"):
+    for bad in ("SELECT ?x WHERE { SERVICE <x> { ?x :p ?y } }", "SELECT ?x WHERE { GRAPH :g { ?x :p ?y } }", "SELECT ?y (COUNT(*) AS ?n) WHERE { ?x :p ?y }", "SELECT ?x WHERE { VALUES ?x { UNDEF } ?x :p ?y }", "CONSTRUCT { } WHERE { }"):
         with pytest.raises(sparql.NotSupported):
             run(bad)
+    assert run("SELECT ?x WHERE { ?x :p ?v MINUS { ?x :q ?l } }") == [(e + "b",)]
+    assert run("SELECT ?x ?v WHERE { VALUES (?x ?v) { (:a 2) (:b 3) (:c 1) } ?x :p ?v }") == [(e + "a", "2"), (e + "b", "3")]
+    assert run("SELECT ?x ?n WHERE { ?x :p ?any . { SELECT ?x (COUNT(DISTINCT ?v) AS ?n) WHERE { ?x :p ?v } GROUP BY ?x } FILTER (?n > 1) }") == [(e + "a", "2")] * 2
+    assert run("SELECT (COUNT(*) AS ?n) WHERE { ?x :p ?v }") == [("3",)] and run("SELECT DISTINCT ?x WHERE { ?x :p ?v }") == [(e + "a",), (e + "b",)]
+    assert run("SELECT ?x WHERE { ?x :r ?y FILTER EXISTS { :b :p 3 } }") == [(e + "c",)] and run("SELECT ?x WHERE { ?x :r ?y FILTER NOT EXISTS { :b :p 3 } }") == []
+    for inner in ("VALUES ?x { :a }", "MINUS { $this :q ?z }", "{ SELECT $this WHERE { $this :p ?y } }"):
+        with pytest.raises(sparql.NotSupported):
+            sparql.Query("PREFIX : <http://e/> SELECT $this WHERE { $this :p ?v . " + inner + " }", bound=("this",))
     with pytest.raises(sparql.NotSupported):
         sparql.Query("SELECT $this WHERE { BIND (1 AS $this) }", bound=("this",))
     test = sparql.ask_column("ASK { FILTER (isLiteral($value) && langMatches(lang($value), $lang)) }")
