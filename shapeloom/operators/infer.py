@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.terms import LANGSTRING, LITERAL, RDFS, SX, XSD
 
-#: Prefixes that are added to an inferred schema if it uses them.
+# fixed values: prefixes that are added to an inferred schema if it uses them
 KNOWN = {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": RDFS, "xsd": XSD, "sx": SX, "foaf": "http://xmlns.com/foaf/0.1/", "schema": "http://schema.org/", "skos": "http://www.w3.org/2004/02/skos/core#", "dct": "http://purl.org/dc/terms/", "wd": "http://www.wikidata.org/entity/", "wdt": "http://www.wikidata.org/prop/direct/"}
 
 

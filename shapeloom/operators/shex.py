@@ -474,16 +474,37 @@ class Validator:
                 continue
             for x in part:
                 self.typing[x] = want[x]
-            sizes = {x: want[x].count() for x in part}
-            while True:
-                now = {x: cut(self.conforming(self.schema.shape(x), self.typing[x])) for x in part}
-                new = {x: now[x].count() for x in part}
+            now = {x: cut(self.conforming(self.schema.shape(x), want[x])) for x in part}
+            while True:  # only nodes near one that has lost a shape can lose theirs
+                lost = cut(reduce(lambda a, b: a.unionByName(b), (self._less(self.typing[x], now[x]) for x in part)).distinct())
                 self.typing |= now
-                if new == sizes:
+                if lost.isEmpty():
                     break
-                sizes = new
+                near = lost
+                for _ in range(max(self._arcs(self.schema.shape(x)) for x in part)):
+                    here = near.select(F.col("node").alias("_l"))
+                    beside = [self.graph.join(here, F.col(at) == F.col("_l"), "left_semi").select(F.col(other).alias("node")) for at, other in (("o", "s"), ("s", "o"))]
+                    near = cut(reduce(lambda a, b: a.unionByName(b), beside, near).distinct())
+                now = {x: self._recheck(x, near) for x in part}
         return self.typing
 
+    def _arcs(self, e) -> int:
+        """Over how many arcs a shape looks before it asks for another one's typing; anonymous shapes nest."""
+        if not isinstance(e, dict):
+            return 0
+        inner = [*e.get("shapeExprs", []), *([e["shapeExpr"]] if "shapeExpr" in e else [])]
+        own = [1 + self._arcs(c.get("valueExpr")) for c in self.schema.constraints(e["expression"])] if e["type"] == "Shape" and "expression" in e else []
+        return max([0, *map(self._arcs, inner), *own])
+
+    @staticmethod
+    def _less(nodes: DataFrame, other: DataFrame, how: str = "left_anti") -> DataFrame:
+        return nodes.join(other.select(F.col("node").alias("_o")), F.col("node") == F.col("_o"), how)
+
+    def _recheck(self, x: str, near: DataFrame) -> DataFrame:
+        """A shape's nodes, those in `near` evaluated again."""
+        mine = cut(self._less(self.typing[x], near, "left_semi"))
+        return cut(self._less(self.typing[x], near).unionByName(self.conforming(self.schema.shape(x), mine)))
+
     def validate(self, targets: DataFrame) -> DataFrame:
         """`targets` (node, shape) with conforms; shape is a label or START."""
         labels = [r[0] for r in targets.select("shape").distinct().collect()]

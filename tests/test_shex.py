@@ -54,6 +54,7 @@ def statuses(spark, data, schema, targets, **kw):
 
 CASES = {
     "recursion": (":a :n 'A' ; :k :b . :b :n 'B' ; :k :a . :c :n 5 ; :k :a . :d :n 'D' ; :k :c .", ":S { :n xsd:string ; :k @:S* }", {"a": True, "b": True, "c": False, "d": False}),
+    "recursion through an anonymous shape": (":a :k _:x . _:x :l :b . :b :k _:y . _:y :l :c . :c :k _:z . _:z :l :d . :d :n 1 . :e :k _:w . _:w :l :f . :f :k _:v . _:v :l :e .", ":S { :k { :l @:S ; :n .{0} }? ; :n .{0} }", {x: x in "ef" for x in "abcdef"}),
     "extra": (":a :p 1, 2 . :b :p 2, 3 . :c :p 1, 1.0 .", ":S EXTRA :p { :p [1] }", {"a": True, "b": False, "c": True}),
     "closed": (":a :p 1 . :b :p 1 ; :q 2 .", ":S CLOSED { :p . }", {"a": True, "b": False}),
     "open ignores others": (":a :p 1 ; :q 2 . :b :q 2 .", ":S { :p . }", {"a": True, "b": False}),
