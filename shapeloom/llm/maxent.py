@@ -47,7 +47,7 @@ from . import _hash, _store, _text
 
 CLASSES, MEMBERS, ENDINGS = 32, 32, 255
 LEAST_ROWS, ROWS, SEEN = 4096, 16, 32
-ROUNDS, BATCH, RATE = 2, 8192, 0.1
+ROUNDS, BATCH, RATE, FEW = 2, 8192, 0.1, 7
 HEAD = 1 << 19
 SYMBOLS = CLASSES * MEMBERS
 TOP = SYMBOLS - ENDINGS - 1
@@ -171,14 +171,33 @@ def _step(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, rows: list[n
     flat = np.concatenate(rows)
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # by radix, sixteen bits at a time
     if len(table) > 1 << 16:
-        order = order[np.argsort((flat[order] >> 16).astype(np.uint16), kind="stable")]
-    flat = flat[order]
+        order = order[np.argsort((flat.take(order) >> 16).astype(np.uint16), kind="stable")]
+    flat = flat.take(order)
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    total = np.add.reduceat(grad.T.copy().take(order % len(grad), 1), first, axis=1).T  # sums along rows are the fast ones
-    at = flat[first]
-    sums[at] += total * total
-    table[at] -= RATE * total / np.sqrt(sums[at] + 1e-6)
-    touched[at] += np.diff(np.concatenate([first, [len(flat)]]))
+    order %= len(grad)
+    counts, at = np.diff(np.append(first, len(flat))), flat.take(first)
+    total = np.empty((len(at), grad.shape[1]), grad.dtype)
+    for c in range(1, FEW + 1):  # most rows are met a few times in a minibatch
+        same = np.flatnonzero(counts == c)
+        begin = first.take(same)
+        part = grad.take(order.take(begin), 0)
+        for k in range(1, c):
+            part += grad.take(order.take(begin + k), 0)
+        total[same] = part
+    many = np.flatnonzero(counts > FEW)
+    if len(many):
+        sizes = counts.take(many)
+        starts = np.cumsum(sizes) - sizes
+        shared = order.take(np.arange(sizes.sum()) + np.repeat(first.take(many) - starts, sizes))
+        total[many] = np.add.reduceat(grad.T.copy().take(shared, 1), starts, axis=1).T  # sums along rows are the fast ones
+    new = sums.take(at, 0)
+    new += total * total
+    sums[at] = new
+    np.sqrt(new, out=new)
+    total /= new
+    total *= RATE
+    table[at] -= total
+    touched[at] += counts
 
 
 def _bias(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, grad: np.ndarray) -> None:
