@@ -8,7 +8,7 @@ others are revisit records that name it and keep the payload's digest and length
 
 Cases: a null html is an empty payload; a null url leaves out the target; a null page id counts as
 larger than any other and comes back as null; rows with the same page id and payload as the response
-are responses too; payloads under `least` bytes are always responses; other columns are ignored; an
+are responses too, with its record id; payloads under `least` bytes are always responses; other columns are ignored; an
 empty table gives no archive and no row.
 """
 
@@ -39,20 +39,26 @@ ARCHIVES = "path string, n_records long, n_bytes long"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool) -> bytes:
-    """One WARC record; a revisit holds the HTTP head alone."""
+def record(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, first_url: str | None = None) -> bytes:
+    """One WARC record; a revisit holds the HTTP head alone and names the response's record and target."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", ID % ("" if page is None else page)), ("WARC-Date", DATE)]
     if url is not None:
-        fields.append(("WARC-Target-URI", urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]|")))
+        fields.append(("WARC-Target-URI", _uri(url)))
     fields.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if revisit:
         fields += [("WARC-Refers-To", ID % first), ("WARC-Profile", PROFILE)]
+        if first_url is not None:
+            fields.append(("WARC-Refers-To-Target-URI", _uri(first_url)))
     body = head if revisit else head + payload
     fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
+def _uri(url: str) -> str:
+    return urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]|")
+
+
 def head(stream) -> tuple[bytes, dict[str, str]] | None:
     """The next record's head as bytes and as fields, or None at the end."""
     line = stream.readline()
@@ -99,15 +105,15 @@ def out_write(out, piece: bytes) -> int:
 
 
 def with_first(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, digest (hex SHA-1), and for repeated payloads the smallest page id as `first`.
+    """page_id, url, payload, digest (hex SHA-1), and for repeated payloads the smallest page id and its url as `first` and `first_url`.
 
     Only digests are grouped, with partial minima before the exchange; payloads that occur once are not
     in the joined table, and a payload that many pages share is a skewed join that Spark splits.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
-    shared = p.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    return p.join(shared.filter("n > 1").select("digest", "first"), "digest", "left")
+    shared = p.filter(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
+    return p.join(shared.filter("n > 1").select("digest", "first", "first_url"), "digest", "left")
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
@@ -122,9 +128,9 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(path, compression=None)
                 stream = zlib.compressobj(1, zlib.DEFLATED, 31)
-            for page, url, payload, digest, first in zip(*(rb.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
+            for page, url, payload, digest, first, first_url in zip(*(rb.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first", "first_url")), strict=True):
                 bare = base64.b32encode(bytes.fromhex(digest)).decode()
-                out_write(out, stream.compress(record(page, url, payload, bare, first, first is not None and page != first)))
+                out_write(out, stream.compress(record(page, url, payload, bare, first, first is not None and page != first, first_url)))
                 n += 1
         if out is not None:
             out_write(out, stream.flush())
@@ -132,7 +138,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "n_records", "n_bytes"])
 
-    return _store.table(with_first(pages, least).select("page_id", "url", "payload", "digest", "first").mapInArrow(run, ARCHIVES), "archives")
+    return _store.table(with_first(pages, least).select("page_id", "url", "payload", "digest", "first", "first_url").mapInArrow(run, ARCHIVES), "archives")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:

@@ -706,6 +706,14 @@ def test_warc(spark, tmp_path):
     assert set(r["record_type"] for r in warc.archive(d, least=10**6).collect()) == {"response"}
 
 
+def test_revisits_name_the_response():
+    import io as io_
+
+    raw = warc.record(9, "http://e/b", b"xyz", "A" * 32, 4, True, "http://e/a b")
+    _, fields = warc.head(io_.BytesIO(raw))
+    assert fields["warc-refers-to"] == "<urn:page:4>" and fields["warc-refers-to-target-uri"] == "http://e/a%20b" and fields["warc-target-uri"] == "http://e/b"
+
+
 def test_normaliser():
     records = [warc.record(i, f"http://e/{i}", b"x" * i * 5000, "A" * 32, None, False) for i in range(4)]
     source = io.BytesIO(gzip.compress(b"".join(records[:3])) + gzip.compress(records[3]))
