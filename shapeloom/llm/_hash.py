@@ -16,7 +16,7 @@ class HashTable:
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         size = 2
-        while size < 2 * len(keys):
+        while 2 * size < 3 * len(keys):
             size *= 2
         self.mask = np.uint64(size - 1)
         self.keys = np.zeros(size, np.uint64)
@@ -54,12 +54,17 @@ _held: dict[str, object] = {}
 _owner = ""
 
 
-def resident(owner: str, key: str, make):
-    """make(), kept by this worker process until another owner needs its memory."""
+def only(owner: str) -> None:
+    """Lets go of what this worker process keeps for other owners."""
     global _owner
     if owner != _owner:
         _held.clear()
         _owner = owner
+
+
+def resident(owner: str, key: str, make):
+    """make(), kept by this worker process until another owner needs its memory."""
+    only(owner)
     if key not in _held:
         _held[key] = make()
     return _held[key]

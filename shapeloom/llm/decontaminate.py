@@ -141,6 +141,7 @@ def passages(docs: DataFrame, sizes: list[int], filters: list[tuple], key: str,
     def run(batches):
         from pyspark import TaskContext
 
+        _hash.only("decontaminate")
         region = TaskContext.get().partitionId() << 33
         for rb in _text.slices(batches, "t"):
             words, starts, rows = plain(rb.column("t"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _hash, _text
 from ._store import query, read, table
 
 CAP = 3.0
@@ -54,6 +54,7 @@ def sizes(docs: DataFrame, text: str) -> DataFrame:
     schema = docs.select(*keep).withColumn("size", F.lit(0).cast("long")).schema
 
     def count(batches):
+        _hash.only("mixing")
         for rb in _text.slices(batches, text, 1 << 22):
             n = pa.array(_text.counts(rb.column(text)), pa.int64())
             yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), n], names=[*keep, "size"])

@@ -102,6 +102,7 @@ def describe(docs: DataFrame, size: int, key: str, text: str, carry: str | None
     schema = "doc_id long, x long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
 
     def run(batches):
+        _hash.only("near-dups")
         for rb in _text.slices(batches, "text"):
             h, offs, *_ = _text.words(rb.column("text"))
             m = rb.num_rows
