@@ -88,3 +88,15 @@ def test_files_are_parsed_by_tasks(spark, tmp_path):
     assert rdf.from_path(spark, str(tmp_path / "two")).count() == 2
     with pytest.raises(ValueError):
         rdf.from_path(spark, str(tmp_path / "two"), "nothing")
+
+
+def test_tables_keep_fractions_and_are_sets(spark, tmp_path):
+    """Instants differ by their fractions; tables whose keys repeat still give sets of triples."""
+    from shapeloom.sources.tables import Tables
+
+    rows = [(1, "2024-01-01 00:00:00.1"), (1, "2024-01-01 00:00:00.9"), (1, "2024-01-01 00:00:00.9"), (2, "2024-01-01 00:00:05"), (3, "2024-01-01 00:00:10.250")]
+    spark.createDataFrame(rows, "event_id long, t string").selectExpr("event_id", "cast(t as timestamp) ts").write.parquet(f"{tmp_path}/events.parquet")
+    graph = Tables(spark, str(tmp_path)).graph("events", "events.ts")
+    got = sorted((r["s"]["lex"], r["o"]["lex"]) for r in graph.collect())
+    assert got == sorted([("urn:t/events/1", "2024-01-01T00:00:00.1"), ("urn:t/events/1", "2024-01-01T00:00:00.9"), ("urn:t/events/2", "2024-01-01T00:00:05"), ("urn:t/events/3", "2024-01-01T00:00:10.25"), *((f"urn:t/events/{i}", "urn:c/events") for i in (1, 2, 3))])
+    assert Tables(spark, str(tmp_path), unique=True).graph("events.ts").count() == 5
