@@ -14,9 +14,9 @@ from . import _store, _text
 class HashTable:
     """Open addressing with linear probing; `values` are arrays in the order of the slots."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+    def __init__(self, keys: np.ndarray, *values: np.ndarray, room: float = 2.0):
         size = 2
-        while 2 * size < 3 * len(keys):
+        while size < room * len(keys):
             size *= 2
         self.mask = np.uint64(size - 1)
         self.keys = np.zeros(size, np.uint64)
@@ -78,7 +78,7 @@ def load(owner: str, uri: str, key: str, *values: str) -> HashTable:
 
         fs, path = _store.files(uri)
         t = pq.read_table(path, columns=[key, *values], filesystem=fs)
-        return HashTable(t[key].to_numpy().view(np.uint64), *(t[v].to_numpy() for v in values))
+        return HashTable(t[key].to_numpy().view(np.uint64), *(t[v].to_numpy() for v in values), room=1.5)
 
     return resident(owner, uri, make)
 

@@ -167,7 +167,7 @@ class Model:
 
 
 def _step(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, rows: list[np.ndarray], grad: np.ndarray) -> None:
-    """An AdaGrad step on the rows of one minibatch, whose tokens share a gradient over their features."""
+    """An AdaGrad step, with one sum of squares a row, on the rows of one minibatch, whose tokens share a gradient over their features."""
     flat = np.concatenate(rows)
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # by radix, sixteen bits at a time
     if len(table) > 1 << 16:
@@ -190,20 +190,16 @@ def _step(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, rows: list[n
         starts = np.cumsum(sizes) - sizes
         shared = order.take(np.arange(sizes.sum()) + np.repeat(first.take(many) - starts, sizes))
         total[many] = np.add.reduceat(grad.T.copy().take(shared, 1), starts, axis=1).T  # sums along rows are the fast ones
-    new = sums.take(at, 0)
-    new += total * total
-    sums[at] = new
-    np.sqrt(new, out=new)
-    total /= new
-    total *= RATE
+    sums[at] += np.einsum("ij,ij->i", total, total) / grad.shape[1]
+    total *= (RATE / np.sqrt(sums.take(at)))[:, None]
     table[at] -= total
     touched[at] += counts
 
 
 def _bias(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, grad: np.ndarray) -> None:
     total = grad.sum(0)
-    sums[0] += total * total
-    table[0] -= RATE * total / np.sqrt(sums[0] + 1e-6)
+    sums[0] += np.mean(total * total)
+    table[0] -= RATE * total / np.sqrt(sums[0])
     touched[0] += len(grad)
 
 
@@ -223,7 +219,7 @@ def train(docs: DataFrame, symbols: Symbols, model: Model) -> Model:
 
         def run(batches, start=start):
             m = Model(symbols.member, start.size, start.c, start.w)
-            sums = [np.full_like(x, 1e-3) for x in (m.c, m.w)]
+            sums = [np.full(len(x), 1e-3, np.float32) for x in (m.c, m.w)]
             touched = [np.zeros(len(x), np.int64) for x in (m.c, m.w)]
             any_ = False
             for rb in _text.slices(batches, "_t"):

@@ -290,13 +290,13 @@ def test_maxent_follows_the_vocabulary():
     for size in (5000, 100_000):
         rows = [rng.integers(0, size, 300) for _ in range(4)]
         grad = rng.normal(size=(300, 8)).astype(np.float32)
-        table, sums, touched = np.zeros((size, 8), np.float32), np.full((size, 8), 1e-3, np.float32), np.zeros(size, np.int64)
+        table, sums, touched = np.zeros((size, 8), np.float32), np.full(size, 1e-3, np.float32), np.zeros(size, np.int64)
         maxent._step(table, sums, touched, rows, grad)
         want = np.zeros((size, 8))
         for r in rows:
             np.add.at(want, r, grad)
         used = np.unique(np.concatenate(rows))
-        assert np.allclose(table[used], (-maxent.RATE * want / np.sqrt(want**2 + 1e-3))[used], atol=1e-4) and not table[np.setdiff1d(np.arange(size), used)].any()
+        assert np.allclose(table[used], (-maxent.RATE * want / np.sqrt((want**2).mean(1, keepdims=True) + 1e-3))[used], atol=1e-4) and not table[np.setdiff1d(np.arange(size), used)].any()
         assert touched.sum() == 1200
 
 
