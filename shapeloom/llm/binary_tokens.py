@@ -33,7 +33,7 @@ from . import _hash, _store, _text
 
 END_ID = 2
 FRAME_IDS = 1 << 26
-MEMO_WORDS = 700_000
+MEMO_WORDS = 850_000
 # fixed values of the zstandard seekable format
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 MANIFEST = "part long, path string, n_docs long, n_tokens long, n_bytes long"
