@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -31,6 +32,12 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that no plan needs any more, which else waits for the driver to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def query(f):
     """A query whose result is written to the shared folder, after which all its other tables there are removed."""
 
@@ -82,4 +89,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["files", "query", "read", "remove", "scope", "shared", "spread", "table"]
+__all__ = ["files", "query", "read", "remove", "scope", "settle", "shared", "spread", "table"]

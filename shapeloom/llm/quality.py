@@ -1,17 +1,16 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Training: documents labelled good and not toxic are split by a hash of their key; two thirds may train
-the trigram model and the last third calibrates it. The model is fitted on a bounded sample (TRAIN_DOCS
-documents and TRAIN_CHARS characters at most, the first ones by hash; of a text, its first TRAIN_CHARS / 100
-characters are fitted, so that no long text takes the room of others). Counting is distributed:
+Training: documents labelled good and not toxic are split by a hash of their key; two thirds train
+the trigram model, with their whole texts, and the last third calibrates it. Counting is distributed:
 trigram counts, then for each lower order the number of different words before a gram, Kneser and Ney's
 continuation counts (plain counts for pairs at a text's beginning, before which no word can stand); three discounts an order come from its counts of counts, and the mass that they
-free at a context is its interpolation weight.
+free at a context is its interpolation weight. Trigrams meet in the shard of their first two words, so that a
+context's are together, and pairs in the shard of their own hash; a shard has about SHARD_CHARS characters'
+grams whatever the size of the text, and no table is held by a task but its shard's.
 
-Scoring: the grams' tables are dealt into SHARDS shards by key and written to the shared folder. A task
-hashes the grams of a batch of documents and joins them with shard after shard; a document's perplexity
-follows from the joined shares and weights. Documents are read once and no gram is exchanged. As the
-sample is bounded, all shards together are, and stay in a worker's memory for its next batch.
+Scoring: a task asks the shards for the different grams of a batch of documents, packed into one row a shard;
+each shard answers with their shares and weights, and the answers meet the batch again, which gives the
+documents' perplexities. That goes in ROUNDS rounds of documents, which bounds what is on disk at a time.
 
 Thresholds: every scored document of the calibrating third counts into a histogram (bins of BIN in
 log10) for its language. One rule holds for all sizes: a language's threshold is its own median plus
@@ -28,15 +27,19 @@ that repeat are scored alike; empty tables give an empty result; other columns a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _hash, _store, _text
 
 TRAIN_DOCS, TRAIN_CHARS = 4000, 6_000_000
-SHARDS = 4
+LEAST_SHARDS, SHARD_CHARS, SLICE, ROUNDS = 4, 1 << 22, 1 << 23, 6
 BIN, QUANTILE, SLACK, PRIOR = 0.002, 0.99, 0.5, 30
 _ROLE = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03, 0xD6E8FEB86659FD93)]
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38495AB5A3C1F0E7)
@@ -73,7 +76,7 @@ def _split(df: DataFrame, key: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
-    """The bounded training sample's texts; of rows that share a key, the one whose text has the smallest hash."""
+    """A bounded sample of the training texts, for trials; no query and no stage uses it. Of rows that share a key, the one whose text has the smallest hash."""
     ids = _split(trusted, key).filter("pmod(_h, 3) <> 0").orderBy("_h", key).limit(TRAIN_DOCS)
     found = docs.select(key, F.substring(F.coalesce(text, F.lit("")), 1, TRAIN_CHARS // 100).alias("_t"), F.xxhash64(text).alias("_x")).join(F.broadcast(ids), key)  # TRAIN_DOCS ids at most
     found = _store.table(found.groupBy("_h", key).agg(F.min_by("_t", "_x").alias("_t")), "trusted")
@@ -82,91 +85,312 @@ def sample(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFram
     return found.join(F.broadcast(fits), (F.col("_h") == F.col("_i")) & (F.col(key) == F.col("_k"))).select("_t")
 
 
-def train(texts: DataFrame, folder: str) -> tuple[str, float]:
-    """Write the shards of (k, share, weight); returns their folder and the share of an unknown word."""
+def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str, text: str) -> DataFrame:
+    """The whole texts of all trusted documents that train; of rows that share a key, the one whose text has the smallest hash.
+
+    A filter of bounded size keeps most other texts out of the exchange; the join decides.
+    """
+    ids = _split(trusted, key).filter("pmod(_h, 3) <> 0").select(F.col(key).cast("long").alias("_k")).filter("_k is not null")
+    maybe = _hash.Bloom(ids, "_k")
+
+    def run(batches):
+        for rb in batches:
+            k = pc.fill_null(rb.column("_k"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+            hit = maybe.find(k)
+            if len(hit):
+                yield rb.take(pa.array(hit))
+
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.coalesce(text, F.lit("")).alias("_t")).mapInArrow(run, "_k long, _t string")
+    return rows.join(ids, "_k").groupBy("_k").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).select("_t")
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, which packs better."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _pack(n: np.ndarray, *words: np.ndarray) -> bytes:
+    """Grams with their counts: the different words once, then the words' places among them in ascending order."""
+    known, of = np.unique(np.concatenate(words), return_inverse=True)
+    of = of.astype("<u4").reshape(len(words), -1)
+    order = np.lexsort(of[::-1])
+    of = of[:, order]
+    of[0] = np.diff(of[0], prepend=np.uint32(0))
+    head = np.asarray([len(known), len(n)], "<u8").tobytes()
+    return head + zstandard.compress(b"".join([_planes(np.diff(known, prepend=np.uint64(0)).astype("<u8")), _planes(n[order].astype("<u8")), *map(_planes, of)]), 1)
+
+
+def _unpack(blobs: pa.ChunkedArray, n: int) -> list[np.ndarray]:
+    """The counts and the n words of the grams of all blobs."""
+    out: list[list[np.ndarray]] = [[] for _ in range(n + 1)]
+    for x in blobs:
+        raw = x.as_buffer()
+        types, rows = np.frombuffer(raw[:16], "<u8").tolist()
+        raw, at = zstandard.decompress(raw[16:]), 8 * (types + rows)
+        known = np.cumsum(_numbers(raw[: 8 * types], "<u8"), dtype=np.uint64)
+        out[0].append(_numbers(raw[8 * types : at], "<u8"))
+        for i in range(n):
+            of = _numbers(raw[at + 4 * rows * i : at + 4 * rows * (i + 1)], "<u4")
+            out[i + 1].append(known[np.cumsum(of) if i == 0 else of])
+    return [np.concatenate(x) for x in out]
+
+
+def _pieces(of: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that deals elements into shards, and the shards' S+1 offsets in it."""
+    order = np.argsort(of.astype(np.uint16) if shards <= 1 << 16 else of, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=shards))])
+
+
+def _of_counts(n: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(n == i)) for i in (1, 2, 3, 4)]
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    return [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+
+
+def _write(df: DataFrame, name: str, *by: str) -> str:
+    path = _store.shared(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return path
+
+
+def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str, float]:
+    """Write the shards of (k, share, weight); returns their folder and the share of an unknown word. `spent` is removed once the texts are counted."""
+    spark = texts.sparkSession
+    chars = texts.agg(F.sum(F.length("_t").cast("long"))).first()[0] or 0
+    shards = int(max(LEAST_SHARDS, -(-chars // SHARD_CHARS)))
+    counts = _store.shared(spark, "counts")
 
     def grams(batches):
-        for rb in _text.slices(batches, "_t"):
+        for rb in _text.slices(batches, "_t", SLICE):
             u, v, w, _ = _sequences(rb.column("_t"))
             keys, at, n = np.unique(_gram(u, v, w), return_index=True, return_counts=True)
             u, v, w = u[at], v[at], w[at]
-            cols = [keys, _gram(u, v), _gram(v, w), _gram(v), _gram(w)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(v == _BEGIN), pa.array(n)], names=["k3", "c3", "k2", "c2", "k1", "first", "n"])
-
-    t3 = texts.mapInArrow(grams, "k3 long, c3 long, k2 long, c2 long, k1 long, first boolean, n long")
-    t3 = _store.table(t3.groupBy("k3", "c3", "k2", "c2", "k1", "first").agg(F.sum("n").alias("n")), "grams")
-    t2 = t3.groupBy("k2", "c2", "k1", "first").agg(F.count("*").alias("n"), F.sum("n").alias("raw")).select("k2", "c2", "k1", F.when(F.col("first"), F.col("raw")).otherwise(F.col("n")).alias("n"))
-    t1 = t2.groupBy("k1").agg(F.count("*").alias("n"))
-    shares, weights, unknown = [], [], 1.0
-    for t, k, c in ((t3, "k3", "c3"), (t2, "k2", "c2"), (t1, "k1", None)):
-        n1, n2, n3, n4 = (x or 0 for x in t.agg(*(F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4))).first())
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        d = [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        free = (F.sum(cut) / F.sum("n")).alias("weight")
-        if c is None:
-            total, lost, types = t.agg(F.sum("n"), F.sum(cut), F.count("*")).first()
-            if total:
-                unknown = lost / total / (types + 1)
-                shares.append(t.select(F.col(k).alias("k"), ((F.col("n") - cut) / total + unknown).alias("share")))
-        else:
-            ctx = t.groupBy(F.col(c).alias("k")).agg(free, F.sum("n").alias("total"))
-            weights.append(ctx.select("k", "weight"))
-            shares.append(t.join(ctx, F.col(c) == F.col("k")).select(F.col(k).alias("k"), ((F.col("n") - cut) / F.col("total")).alias("share")))
-    if len(shares) < 3:
-        shares.append(texts.sparkSession.createDataFrame([], "k long, share double"))
-    both = shares[0].unionByName(shares[1]).unionByName(shares[2]).withColumn("weight", F.lit(None).cast("double"))
-    for w in weights:
-        both = both.unionByName(w.withColumn("share", F.lit(None).cast("double")))
-    model = both.groupBy("k").agg(F.coalesce(F.max("share"), F.lit(0.0)).cast("float").alias("share"), F.coalesce(F.max("weight"), F.lit(1.0)).cast("float").alias("weight"))
-    model.repartition(SHARDS, F.pmod("k", F.lit(SHARDS))).withColumn("shard", F.pmod("k", F.lit(SHARDS))).write.partitionBy("shard").parquet(folder)
-    return folder, float(unknown)
-
-
-def _join(keys: np.ndarray, folder: str, shards: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Share, weight and whether it is known, of each gram, from the shards."""
-    share, weight, known = np.zeros(len(keys), np.float32), np.ones(len(keys), np.float32), np.zeros(len(keys), bool)
-    of = keys.view(np.int64) % SHARDS
-    for s in shards:
-        mine = np.flatnonzero(of == s)
-        t = _hash.load(folder, f"{folder}/shard={s}", "k", "share", "weight")
-        slot = t.find(keys[mine])
-        hit = slot >= 0
-        at, slot = mine[hit], slot[hit]
-        share[at], weight[at], known[at] = t.values[0][slot], t.values[1][slot], True
-    return share, weight, known
+            order, ends = _pieces(_shard(_gram(u, v), shards), shards)
+            for s in np.flatnonzero(np.diff(ends)).tolist():
+                i = order[ends[s] : ends[s + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(n[i], u[i], v[i], w[i])])], names=["shard", "data"])
+
+    def three(table: pa.Table) -> pa.Table:
+        """All trigrams of a shard's contexts: written to a file of the shard, whose pairs go on to their own shards."""
+        import pyarrow.parquet as pq
+
+        s = table["shard"][0].as_py()
+        n, u, v, w = _unpack(table["data"], 3)
+        keys, at, of = np.unique(_gram(u, v, w), return_index=True, return_inverse=True)
+        n = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
+        u, v, w = u[at], v[at], w[at]
+        fs, root = _store.files(counts)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/{uuid.uuid4().hex}.parquet"
+        ctx, of = np.unique(_gram(u, v), return_inverse=True)
+        order = np.lexsort((keys, of))
+        pq.write_table(pa.table({"k": keys[order].view(np.int64), "ctx": ctx[of[order]].view(np.int64), "n": n[order]}), path, filesystem=fs, compression="zstd")
+        rows = [(0, s, path.encode(), _of_counts(n))]
+        pair, at, of = np.unique(_gram(v, w), return_index=True, return_inverse=True)
+        n2 = np.bincount(of, np.where(v == _BEGIN, n, 1).astype(np.float64), len(pair)).astype(np.int64)
+        v, w = v[at], w[at]
+        order, ends = _pieces(_shard(pair, shards), shards)
+        for t in np.flatnonzero(np.diff(ends)).tolist():
+            i = order[ends[t] : ends[t + 1]]
+            rows.append((1, t, _pack(n2[i], v[i], w[i]), None))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["kind", "shard", "data", "stats"])
+
+    def two(table: pa.Table) -> pa.Table:
+        n, v, w = _unpack(table["data"], 2)
+        keys, at, of = np.unique(_gram(v, w), return_index=True, return_inverse=True)
+        n = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
+        c, k1 = _gram(v[at]), _gram(w[at])
+        order = np.argsort(c)
+        return pa.table({"k": keys[order].view(np.int64), "c": c[order].view(np.int64), "k1": k1[order].view(np.int64), "n": n[order]})
+
+    found = _write(texts.mapInArrow(grams, "shard int, data binary").groupBy("shard").applyInArrow(three, "kind int, shard int, data binary, stats array<long>"), "grams", "kind")
+    _store.remove(spark, [spent] if spent else [])
+    _store.settle(spark)
+    found_rows = spark.read.schema("shard int, data binary, stats array<long>, kind int").parquet(found)
+    files = found_rows.filter("kind = 0").select("shard", "data", "stats").collect()  # a path and four numbers a shard
+    paths = {r["shard"]: bytes(r["data"]).decode() for r in files}
+    d3 = _discounts(*(sum(r["stats"][i] for r in files) for i in range(4)))
+    at2 = _write(found_rows.filter("kind = 1").select("shard", "data").groupBy("shard").applyInArrow(two, "k long, c long, k1 long, n long"), "pairs")
+    _store.remove(spark, [found])
+    _store.settle(spark)
+    t2 = spark.read.schema("k long, c long, k1 long, n long").parquet(at2)
+    many = [F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]
+    d2 = _discounts(*(x or 0 for x in t2.agg(*many).first()))
+    cut = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    t1 = _store.table(t2.groupBy("k1").agg(F.count("*").alias("n")), "words")
+    d1 = _discounts(*(x or 0 for x in t1.agg(*many).first()))
+    total, lost, types = t1.agg(F.sum("n"), F.sum(cut(d1)), F.count("*")).first()
+    unknown = float(lost / total / (types + 1)) if total else 1.0
+    ctx = _store.table(t2.groupBy(F.col("c").alias("c_")).agg((F.sum(cut(d2)) / F.sum("n")).alias("weight"), F.sum("n").alias("total")), "contexts")
+    none = F.lit(None).cast("double")
+    _store.settle(spark)
+    share2 = _store.table(t2.join(ctx, F.col("c") == F.col("c_")).select("k", ((F.col("n") - cut(d2)) / F.col("total")).cast("float").alias("share")), "pair-shares")
+    _store.remove(spark, [at2])
+    _store.settle(spark)
+    parts = [share2.withColumn("weight", none)]
+    parts.append(t1.select(F.col("k1").alias("k"), ((F.col("n") - cut(d1)) / F.lit(total or 1) + F.lit(unknown)).alias("share"), none.alias("weight")))
+    parts.append(ctx.select(F.col("c_").alias("k"), none.alias("share"), "weight"))
+    of = F.pmod(F.shiftrightunsigned("k", 33), F.lit(shards)).cast("int").alias("shard")
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(of, "k", F.col("share").cast("float"), F.col("weight").cast("float"))
+    rows = rows.unionByName(spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("float").alias("share"), F.lit(None).cast("float").alias("weight")))  # every shard is there
+
+    def shard(table: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
+
+        s = table["shard"][0].as_py()
+        table = table.filter(table["k"].is_valid())
+        k, share, weight = [table["k"].to_numpy()], [pc.fill_null(table["share"], 0).to_numpy()], [pc.fill_null(table["weight"], -1).to_numpy()]
+        if s in paths:
+            t = pq.read_table(paths[s], filesystem=_store.files(counts)[0])
+            n, (c, of) = t["n"].to_numpy(), np.unique(t["ctx"].to_numpy(), return_inverse=True)
+            less = np.asarray([0, *d3])[np.minimum(n, 3)]
+            all_ = np.bincount(of, n, len(c))
+            k += [t["k"].to_numpy(), c]
+            share += [((n - less) / all_[of]).astype(np.float32), np.zeros(len(c), np.float32)]
+            weight += [np.full(len(n), -1, np.float32), (np.bincount(of, less, len(c)) / all_).astype(np.float32)]
+        keys, of = np.unique(np.concatenate([*k, [s]]), return_inverse=True)  # the shard's own number, which no gram has: no shard is empty
+        out = [np.zeros(len(keys), np.float32), np.full(len(keys), -1, np.float32)]
+        for o, x in zip(out, (share, weight), strict=True):
+            np.maximum.at(o, of[:-1], np.concatenate(x))
+        out[1][out[1] < 0] = 1
+        return pa.table({"k": keys, "share": out[0], "weight": out[1], "shard": pa.array(np.full(len(keys), s, np.int32))})
+
+    for part in range(LEAST_SHARDS):  # a part's counts go before the next one's shards are written
+        mine = rows.filter(F.col("shard") % LEAST_SHARDS == part).groupBy("shard").applyInArrow(shard, "k long, share float, weight float, shard int")
+        mine.write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(folder)
+        _store.remove(spark, [f"{counts}/{paths[s].rpartition('/')[2]}" for s in paths if s % LEAST_SHARDS == part])
+        _store.settle(spark)
+    _store.remove(spark, [counts])
+    return folder, unknown
+
+
+class _Asked:
+    """The different grams of a batch of texts, in an order that depends on the texts alone, dealt into shards.
+
+    Words and pairs belong to the shard of their own hash, trigrams to that of their first two words.
+    """
+
+    def __init__(self, col: pa.Array, shards: int):
+        u, v, w, self.offs = _sequences(col)
+        k3, at, self.three = np.unique(_gram(u, v, w), return_index=True, return_inverse=True)
+        u, v, w = u[at], v[at], w[at]
+        ctx = _gram(u, v)
+        k2, of = np.unique(np.concatenate([_gram(v, w), ctx]), return_inverse=True)
+        self.pair, self.pair_ctx = of[: len(at)], of[len(at) :]
+        k1, of = np.unique(np.concatenate([_gram(w), _gram(v)]), return_inverse=True)
+        self.word, self.word_ctx = of[: len(at)], of[len(at) :]
+        self.keys = (k1, k2, k3)
+        self.dealt = [_pieces(_shard(h, shards), shards) for h in (k1, k2, ctx)]
+
+    def of(self, s: int) -> list[np.ndarray]:
+        return [order[ends[s] : ends[s + 1]] for order, ends in self.dealt]
 
 
 def perplexities(docs: DataFrame, model: tuple[str, float], key: str, lang: str, text: str, carry: str | None = None) -> DataFrame:
-    """(doc_id, lang, n_tokens, log_ppl) of every document; n_tokens counts words and one end. A long column may be carried along as x."""
+    """(doc_id, lang, n_tokens, log_ppl) of every document; n_tokens counts words and one end. A long column may be carried along as x.
+
+    Documents go in ROUNDS rounds by a hash of their key, so that one round's grams are on disk at a time.
+    """
     folder, unknown = model
     spark = docs.sparkSession
-    shards = [r[0] for r in spark.read.parquet(folder).select("shard").distinct().collect()] if unknown < 1 else []
-
-    def run(batches):
-        for rb in _text.slices(batches, "_t"):
-            u, v, w, offs = _sequences(rb.column("_t"))
-            p = np.full(len(w), unknown, np.float64)
-            s, _, known = _join(_gram(w), folder, shards)
-            p[known] = s[known]
-            s, wt, _ = _join(_gram(v), folder, shards)
-            weight = wt  # of the context v
-            pair = np.flatnonzero(known)
-            p *= weight
-            s, _, seen = _join(_gram(v[pair], w[pair]), folder, shards)
-            p[pair] += s
-            ctx = _gram(u, v)
-            _, wt, _ = _join(ctx, folder, shards)
-            p *= wt
-            three = pair[seen]
-            s, _, _ = _join(_gram(u[three], v[three], w[three]), folder, shards)
-            p[three] += s
-            total = np.add.reduceat(np.log10(np.maximum(p, 1e-30)), offs[:-1])
-            n = np.diff(offs)
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("lang"), rb.column("x"), pa.array(n), pa.array(-total / n)], names=["doc_id", "lang", "x", "n_tokens", "log_ppl"])
-
     ready = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), (F.col(carry) if carry else F.lit(0)).cast("long").alias("x"), F.coalesce(text, F.lit("")).alias("_t"))
-    return ready.mapInArrow(run, "doc_id long, lang string, x long, n_tokens long, log_ppl double")
+    shards = spark.read.parquet(folder).agg(F.max("shard")).first()[0] + 1
+    out = None
+    for r in range(ROUNDS):
+        mine = _scored(ready.filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS)) == r), folder, unknown, shards)
+        out = mine if out is None else out.unionByName(mine)
+    return out
+
+
+def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataFrame:
+    spark = ready.sparkSession
+    state = _store.shared(spark, "batches")
+
+    def ask(batches):
+        from pyspark import TaskContext
+
+        fs, root = _store.files(state)
+        fs.create_dir(root, recursive=True)
+        part = TaskContext.get().partitionId() << 32  # a task that runs again has the same batches
+        for i, rb in enumerate(_text.slices(batches, "_t", SLICE)):
+            with fs.open_output_stream(f"{root}/{part + i}.arrow", compression=None) as f, pa.ipc.new_file(f, rb.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                to.write_batch(rb)
+            asked = _Asked(rb.column("_t"), shards)
+            for s in range(shards):
+                keys = [k[o] for k, o in zip(asked.keys, asked.of(s), strict=True)]
+                if sum(map(len, keys)):
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part + i]), pa.array([[len(k) for k in keys]], pa.list_(pa.int32())), pa.array([_steps(keys)])], names=["shard", "batch", "n", "data"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        import pyarrow.parquet as pq
+
+        s = table["shard"][0].as_py()
+        fs, path = _store.files(f"{folder}/shard={s}")
+        t = pq.read_table(path, columns=["k", "share", "weight"], filesystem=fs)
+        have = t["k"].to_numpy().view(np.uint64)
+        order = np.roll(np.arange(len(have)), -int(np.count_nonzero(have >> np.uint64(63))))  # as written, by signed numbers
+        if np.any(have[order[1:]] <= have[order[:-1]]):
+            order = np.argsort(have)
+        have, share, weight = have[order], t["share"].to_numpy()[order], t["weight"].to_numpy()[order]
+        out = []
+        for n, data in zip(table["n"].to_pylist(), table["data"], strict=True):
+            ask = _unsteps(data.as_buffer(), n)
+            at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
+            hit = have[at] == ask
+            m = n[0] + n[1]
+            values = np.concatenate([np.where(hit, share[at], 0), np.where(hit[:m], weight[at[:m]], 1)]).astype("<f4")
+            out.append(zstandard.compress(_planes(values), 1))
+        return pa.table({"shard": table["shard"], "batch": table["batch"], "data": pa.array(out, pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        fs, root = _store.files(state)
+        with fs.open_input_file(f"{root}/{table['batch'][0].as_py()}.arrow") as f:
+            rb = pa.ipc.open_file(f).get_batch(0)
+        asked = _Asked(rb.column("_t"), shards)
+        share, weight = [np.zeros(len(k), np.float32) for k in asked.keys], [np.ones(len(k), np.float32) for k in asked.keys]
+        for s, data in zip(table["shard"].to_pylist(), table["data"], strict=True):
+            of = asked.of(s)
+            got = np.split(_numbers(zstandard.decompress(data.as_buffer()), "<f4"), np.cumsum([len(o) for o in (*of, of[0])]))
+            for i, o in enumerate(of):
+                share[i][o] = got[i]
+            weight[0][of[0]], weight[1][of[1]] = got[3], got[4]
+        first = share[0][asked.word].astype(np.float64)
+        p = np.where(first > 0, first, unknown) * weight[0][asked.word_ctx] + share[1][asked.pair]
+        p = p * weight[1][asked.pair_ctx] + share[2]
+        logs = np.log10(np.maximum(p, 1e-30))[asked.three]
+        n = np.diff(asked.offs)
+        sums = np.add.reduceat(logs, asked.offs[:-1])
+        return pa.table({"doc_id": rb.column("doc_id"), "lang": rb.column("lang"), "x": rb.column("x"), "n_tokens": pa.array(n), "log_ppl": pa.array(-sums / n)})
+
+    found = ready.mapInArrow(ask, "shard int, batch long, n array<int>, data binary").groupBy("shard").applyInArrow(answer, "shard int, batch long, data binary")
+    found = found.groupBy("batch").applyInArrow(total, "doc_id long, lang string, x long, n_tokens long, log_ppl double")
+    found = _store.table(found, "scored")
+    _store.remove(spark, [state])
+    _store.settle(spark)
+    return found
+
+
+def _steps(keys: list[np.ndarray]) -> bytes:
+    """Ascending keys as their differences, byte by byte."""
+    diffs = np.concatenate([np.diff(k, prepend=np.uint64(0)) for k in keys]).astype("<u8")
+    return zstandard.compress(_planes(diffs), 1)
+
+
+def _unsteps(data, n: list[int]) -> np.ndarray:
+    diffs = _numbers(zstandard.decompress(data), "<u8")
+    return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in np.split(diffs, np.cumsum(n)[:-1])])
 
 
 def thresholds(scored: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -189,8 +413,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str
     """doc_id, lang, n_tokens, log_ppl, threshold and kept of every document."""
     spark = docs.sparkSession
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    texts = _store.table(sample(docs, trusted, key, text), "trusted")
-    model = train(texts, _store.shared(spark, "shards"))
+    held = _store.shared(spark, "trusted")
+    trusted_texts(docs, trusted, key, text).write.parquet(held)
+    _store.settle(spark)
+    model = train(spark.read.schema("_t string").parquet(held), _store.shared(spark, "shards"), held)
     scored = _store.table(perplexities(docs, model, key, lang, text, carry), "scores")
     limits = _store.table(thresholds(scored, trusted), "limits")
     out = scored.withColumn("_g", F.coalesce("lang", F.lit(NULL))).join(limits, F.col("_g") == F.col("group"), "left")

@@ -189,6 +189,20 @@ def test_quality_against_plain_kneser_ney(spark):
         assert r["log_ppl"] == pytest.approx(want([*texts, *other][r["doc_id"]]), abs=1e-4)
 
 
+def test_quality_fits_all_trusted_texts(spark, monkeypatch):
+    """Whatever the bounds of a sample, perplexities are those of a plain model of all whole trusted texts that train."""
+    monkeypatch.setattr(quality, "TRAIN_DOCS", 4)
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 3_000)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.choice((5, 40, 90)), WORDS[:9]), "en") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    trains = {r["doc_id"] for r in quality._split(labels, "doc_id").filter("pmod(_h, 3) <> 0").collect()}
+    want = plain_kneser_ney([t for i, t, _ in rows if i in trains])
+    for r in quality.classify(d, labels).collect():
+        assert r["log_ppl"] == pytest.approx(want(rows[r["doc_id"]][1]), abs=1e-4)
+
+
 def test_quality_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r["kept"] for r in quality.classify(docs, none).collect()}
