@@ -22,7 +22,8 @@ number the time for a token depends, are of fixed number.
 Training starts from the symbols' shares. Documents are dealt into ROUNDS by hash. In a round every task starts from the current
 weights, goes through its part of all training text in minibatches with AdaGrad steps, and returns for
 each hashed row its change times the number of updates; rows are summed by the exchange, and their
-mean change is the update. Only the weights, some hundred bytes a row, reach the driver. A task's pass
+mean change is the update. Partitions of less than TASK tokens share a task, as far as all cores stay busy, since
+every task returns most of the rows whatever the size of its part. Only the weights, some hundred bytes a row, reach the driver. A task's pass
 depends on what text it holds, so scores are repeatable for one layout of the table and differ slightly for another.
 
 Scoring: tasks score sparse batches in numpy. Counts of words with at least the cut-off count (the most
@@ -48,7 +49,7 @@ from . import _hash, _store, _text
 CLASSES, MEMBERS, ENDINGS = 32, 32, 255
 LEAST_ROWS, ROWS, SEEN = 4096, 16, 32
 ROUNDS, BATCH, RATE, FEW = 2, 8192, 0.1, 7
-HEAD = 1 << 19
+HEAD, TASK = 1 << 19, 1 << 21
 SYMBOLS = CLASSES * MEMBERS
 TOP = SYMBOLS - ENDINGS - 1
 _K = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -304,7 +305,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     counts[: len(top)], counts[TOP], counts[TOP + 1 :] = [r["c"] for r in best], n_docs, totals[:, 0]
     model = unigrams(symbols, counts, rows)
     if n_docs:
-        model = train(training, symbols, model)
+        model = train(training.coalesce(max(spark.sparkContext.defaultParallelism, -(-n // TASK))), symbols, model)
     unit = np.log10(n + v + 1)
     end_count = n_docs
 

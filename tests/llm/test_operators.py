@@ -314,6 +314,14 @@ def test_maxent_follows_the_vocabulary():
         assert touched.sum() == 1200
 
 
+def test_maxent_small_partitions_share_a_task(spark, monkeypatch):
+    """A table dealt into many small partitions doesn't return a change of the whole model for each of them."""
+    rng, tasks, real = random.Random(12), [], maxent.train
+    monkeypatch.setattr(maxent, "train", lambda docs, *a: tasks.append(docs.rdd.getNumPartitions()) or real(docs, *a))
+    d = spark.createDataFrame([(i, prose(rng, 20)) for i in range(120)], "doc_id long, text string").repartition(40)
+    assert maxent.score(d).count() == 120 and tasks == [spark.sparkContext.defaultParallelism]
+
+
 def test_maxent_empty(spark, empty):
     assert maxent.score(empty).count() == 0
     only = spark.createDataFrame([(2, "a b"), (2, None)], "doc_id long, text string").filter(maxent.held_out(F.col("doc_id")) | F.lit(True))
