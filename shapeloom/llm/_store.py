@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import gc
 import tempfile
 import uuid
 
@@ -32,10 +31,16 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that no plan needs any more, which else waits for the driver to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """What is executed inside has its shuffle files removed as soon as it ends; garbage collection comes an execution too late, as Spark holds on to the last one."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def query(f):
@@ -89,4 +94,4 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["files", "query", "read", "remove", "scope", "settle", "shared", "spread", "table"]
+__all__ = ["files", "query", "read", "remove", "scope", "shared", "spread", "swept", "table"]

@@ -6,7 +6,8 @@ trigram counts, then for each lower order the number of different words before a
 continuation counts (plain counts for pairs at a text's beginning, before which no word can stand); three discounts an order come from its counts of counts, and the mass that they
 free at a context is its interpolation weight. Trigrams meet in the shard of their first two words, so that a
 context's are together, and pairs in the shard of their own hash; a shard has about SHARD_CHARS characters'
-grams whatever the size of the text, and no table is held by a task but its shard's.
+grams whatever the size of the text, and no table is held by a task but its shard's. Shards go in PARTS parts, and each
+step removes a part of what it reads before it turns to the next, so that the steps' tables are never all on disk twice.
 
 Scoring: a task asks the shards for the different grams of a batch of documents, packed into one row a shard;
 each shard answers with their shares and weights, and the answers meet the batch again, which gives the
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import _hash, _store, _text
 
 TRAIN_DOCS, TRAIN_CHARS = 4000, 6_000_000
-LEAST_SHARDS, SHARD_CHARS, SLICE, ROUNDS = 4, 1 << 22, 1 << 23, 6
+LEAST_SHARDS, PARTS, SHARD_CHARS, SLICE, ROUNDS = 4, 4, 1 << 22, 1 << 23, 6
 BIN, QUANTILE, SLACK, PRIOR = 0.002, 0.99, 0.5, 30
 _ROLE = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03, 0xD6E8FEB86659FD93)]
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x38495AB5A3C1F0E7)
@@ -159,10 +160,8 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def _write(df: DataFrame, name: str, *by: str) -> str:
-    path = _store.shared(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path)
-    return path
+def _write(df: DataFrame, path: str, *by: str) -> None:
+    df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str, float]:
@@ -170,7 +169,7 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
     spark = texts.sparkSession
     chars = texts.agg(F.sum(F.length("_t").cast("long"))).first()[0] or 0
     shards = int(max(LEAST_SHARDS, -(-chars // SHARD_CHARS)))
-    counts = _store.shared(spark, "counts")
+    counted, counts, found, at2, at1, at_ctx = (_store.shared(spark, x) for x in ("counted", "counts", "grams", "pairs", "words", "contexts"))
 
     def grams(batches):
         for rb in _text.slices(batches, "_t", SLICE):
@@ -180,10 +179,14 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
             order, ends = _pieces(_shard(_gram(u, v), shards), shards)
             for s in np.flatnonzero(np.diff(ends)).tolist():
                 i = order[ends[s] : ends[s + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(n[i], u[i], v[i], w[i])])], names=["shard", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_pack(n[i], u[i], v[i], w[i])]), pa.array([s % PARTS], pa.int32())], names=["shard", "data", "part"])
 
     def three(table: pa.Table) -> pa.Table:
-        """All trigrams of a shard's contexts: written to a file of the shard, whose pairs go on to their own shards."""
+        """All trigrams of a shard's contexts: written to a file of the shard, whose pairs go on to their own shards.
+
+        The file has the trigrams with their n and their context's total, then the contexts (n = 0) with their totals and
+        the numbers of their trigrams found once, twice and more often; keys of either ascend.
+        """
         import pyarrow.parquet as pq
 
         s = table["shard"][0].as_py()
@@ -195,17 +198,20 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
         fs.create_dir(root, recursive=True)
         path = f"{root}/{uuid.uuid4().hex}.parquet"
         ctx, of = np.unique(_gram(u, v), return_inverse=True)
-        order = np.lexsort((keys, of))
-        pq.write_table(pa.table({"k": keys[order].view(np.int64), "ctx": ctx[of[order]].view(np.int64), "n": n[order]}), path, filesystem=fs, compression="zstd")
-        rows = [(0, s, path.encode(), _of_counts(n))]
+        all_, zero = np.bincount(of, n.astype(np.float64), len(ctx)).astype(np.int64), np.zeros(len(keys), np.int64)
+        held = {"k": np.concatenate([keys, ctx]).view(np.int64), "n": np.concatenate([n, np.zeros(len(ctx), np.int64)]), "total": np.concatenate([all_[of], all_])}
+        for name, times in (("n1", n == 1), ("n2", n == 2), ("n3", n > 2)):
+            held[name] = np.concatenate([zero, np.bincount(of[times], minlength=len(ctx))])
+        pq.write_table(pa.table(held), path, filesystem=fs, compression="zstd", use_dictionary=[x for x in held if x != "k"], column_encoding={"k": "DELTA_BINARY_PACKED"})
+        rows = [(s, path.encode(), _of_counts(n), 0, s % PARTS)]
         pair, at, of = np.unique(_gram(v, w), return_index=True, return_inverse=True)
         n2 = np.bincount(of, np.where(v == _BEGIN, n, 1).astype(np.float64), len(pair)).astype(np.int64)
         v, w = v[at], w[at]
         order, ends = _pieces(_shard(pair, shards), shards)
         for t in np.flatnonzero(np.diff(ends)).tolist():
             i = order[ends[t] : ends[t + 1]]
-            rows.append((1, t, _pack(n2[i], v[i], w[i]), None))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["kind", "shard", "data", "stats"])
+            rows.append((t, _pack(n2[i], v[i], w[i]), None, 1, t % PARTS))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32()), strict=True)], names=["shard", "data", "stats", "kind", "part"])
 
     def two(table: pa.Table) -> pa.Table:
         n, v, w = _unpack(table["data"], 2)
@@ -215,36 +221,38 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
         order = np.argsort(c)
         return pa.table({"k": keys[order].view(np.int64), "c": c[order].view(np.int64), "k1": k1[order].view(np.int64), "n": n[order]})
 
-    found = _write(texts.mapInArrow(grams, "shard int, data binary").groupBy("shard").applyInArrow(three, "kind int, shard int, data binary, stats array<long>"), "grams", "kind")
+    _write(texts.mapInArrow(grams, "shard int, data binary, part int"), counted, "part")
     _store.remove(spark, [spent] if spent else [])
-    _store.settle(spark)
-    found_rows = spark.read.schema("shard int, data binary, stats array<long>, kind int").parquet(found)
+    for part in range(PARTS):
+        mine = spark.read.schema("shard int, data binary, part int").parquet(counted).filter(F.col("part") == part)
+        _write(mine.select("shard", "data").groupBy("shard").applyInArrow(three, "shard int, data binary, stats array<long>, kind int, part int"), found, "kind", "part")
+        _store.remove(spark, [f"{counted}/part={part}"])
+    _store.remove(spark, [counted])
+    found_rows = spark.read.schema("shard int, data binary, stats array<long>, kind int, part int").parquet(found)
     files = found_rows.filter("kind = 0").select("shard", "data", "stats").collect()  # a path and four numbers a shard
     paths = {r["shard"]: bytes(r["data"]).decode() for r in files}
     d3 = _discounts(*(sum(r["stats"][i] for r in files) for i in range(4)))
-    at2 = _write(found_rows.filter("kind = 1").select("shard", "data").groupBy("shard").applyInArrow(two, "k long, c long, k1 long, n long"), "pairs")
+    for part in range(PARTS):
+        mine = found_rows.filter((F.col("kind") == 1) & (F.col("part") == part)).select("shard", "data")
+        _write(mine.groupBy("shard").applyInArrow(two, "k long, c long, k1 long, n long"), f"{at2}/part={part}")
+        _store.remove(spark, [f"{found}/kind=1/part={part}"])
     _store.remove(spark, [found])
-    _store.settle(spark)
-    t2 = spark.read.schema("k long, c long, k1 long, n long").parquet(at2)
+    t2 = spark.read.schema("k long, c long, k1 long, n long, part int").parquet(at2)
     many = [F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]
     d2 = _discounts(*(x or 0 for x in t2.agg(*many).first()))
     cut = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    t1 = _store.table(t2.groupBy("k1").agg(F.count("*").alias("n")), "words")
+    _write(t2.groupBy("k1").agg(F.count("*").alias("n")), at1)
+    t1 = spark.read.schema("k1 long, n long").parquet(at1)
     d1 = _discounts(*(x or 0 for x in t1.agg(*many).first()))
     total, lost, types = t1.agg(F.sum("n"), F.sum(cut(d1)), F.count("*")).first()
     unknown = float(lost / total / (types + 1)) if total else 1.0
-    ctx = _store.table(t2.groupBy(F.col("c").alias("c_")).agg((F.sum(cut(d2)) / F.sum("n")).alias("weight"), F.sum("n").alias("total")), "contexts")
+    _write(t2.groupBy(F.col("c").alias("c_")).agg((F.sum(cut(d2)) / F.sum("n")).alias("weight"), F.sum("n").alias("total")), at_ctx)
+    ctx = spark.read.schema("c_ long, weight double, total long").parquet(at_ctx)
     none = F.lit(None).cast("double")
-    _store.settle(spark)
-    share2 = _store.table(t2.join(ctx, F.col("c") == F.col("c_")).select("k", ((F.col("n") - cut(d2)) / F.col("total")).cast("float").alias("share")), "pair-shares")
-    _store.remove(spark, [at2])
-    _store.settle(spark)
-    parts = [share2.withColumn("weight", none)]
-    parts.append(t1.select(F.col("k1").alias("k"), ((F.col("n") - cut(d1)) / F.lit(total or 1) + F.lit(unknown)).alias("share"), none.alias("weight")))
-    parts.append(ctx.select(F.col("c_").alias("k"), none.alias("share"), "weight"))
-    of = F.pmod(F.shiftrightunsigned("k", 33), F.lit(shards)).cast("int").alias("shard")
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(of, "k", F.col("share").cast("float"), F.col("weight").cast("float"))
-    rows = rows.unionByName(spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("float").alias("share"), F.lit(None).cast("float").alias("weight")))  # every shard is there
+    of = F.pmod(F.shiftrightunsigned("k", 33), F.lit(shards)).cast("int")
+    rows = t1.select(F.col("k1").alias("k"), ((F.col("n") - cut(d1)) / F.lit(total or 1) + F.lit(unknown)).alias("share"), none.alias("weight"))
+    rows = rows.unionByName(ctx.select(F.col("c_").alias("k"), none.alias("share"), "weight")).withColumn("shard", of)
+    rows = rows.unionByName(spark.range(shards).select(F.lit(None).cast("long").alias("k"), none.alias("share"), none.alias("weight"), F.col("id").cast("int").alias("shard")))  # every shard is there
 
     def shard(table: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq
@@ -254,12 +262,12 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
         k, share, weight = [table["k"].to_numpy()], [pc.fill_null(table["share"], 0).to_numpy()], [pc.fill_null(table["weight"], -1).to_numpy()]
         if s in paths:
             t = pq.read_table(paths[s], filesystem=_store.files(counts)[0])
-            n, (c, of) = t["n"].to_numpy(), np.unique(t["ctx"].to_numpy(), return_inverse=True)
+            n, all_ = t["n"].to_numpy(), t["total"].to_numpy()
             less = np.asarray([0, *d3])[np.minimum(n, 3)]
-            all_ = np.bincount(of, n, len(c))
-            k += [t["k"].to_numpy(), c]
-            share += [((n - less) / all_[of]).astype(np.float32), np.zeros(len(c), np.float32)]
-            weight += [np.full(len(n), -1, np.float32), (np.bincount(of, less, len(c)) / all_).astype(np.float32)]
+            free = sum(d * t[x].to_numpy() for d, x in zip(d3, ("n1", "n2", "n3"), strict=True))
+            k.append(t["k"].to_numpy())
+            share.append(((n - less) / all_).astype(np.float32))
+            weight.append(np.where(n > 0, -1, free / all_).astype(np.float32))
         keys, of = np.unique(np.concatenate([*k, [s]]), return_inverse=True)  # the shard's own number, which no gram has: no shard is empty
         out = [np.zeros(len(keys), np.float32), np.full(len(keys), -1, np.float32)]
         for o, x in zip(out, (share, weight), strict=True):
@@ -267,12 +275,13 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
         out[1][out[1] < 0] = 1
         return pa.table({"k": keys, "share": out[0], "weight": out[1], "shard": pa.array(np.full(len(keys), s, np.int32))})
 
-    for part in range(LEAST_SHARDS):  # a part's counts go before the next one's shards are written
-        mine = rows.filter(F.col("shard") % LEAST_SHARDS == part).groupBy("shard").applyInArrow(shard, "k long, share float, weight float, shard int")
-        mine.write.mode("append").option("compression", "zstd").partitionBy("shard").parquet(folder)
-        _store.remove(spark, [f"{counts}/{paths[s].rpartition('/')[2]}" for s in paths if s % LEAST_SHARDS == part])
-        _store.settle(spark)
-    _store.remove(spark, [counts])
+    for part in range(PARTS):  # a part's counts and pairs go before the next one's shards are written
+        pairs = t2.filter(F.col("part") == part).join(ctx, F.col("c") == F.col("c_")).select("k", ((F.col("n") - cut(d2)) / F.col("total")).alias("share"), none.alias("weight"), of.alias("shard"))
+        mine = pairs.unionByName(rows.filter(F.col("shard") % PARTS == part)).select("shard", "k", F.col("share").cast("float"), F.col("weight").cast("float"))
+        mine = mine.groupBy("shard").applyInArrow(shard, "k long, share float, weight float, shard int")
+        mine.write.mode("append").option("compression", "zstd").option("parquet.writer.version", "v2").partitionBy("shard").parquet(folder)  # v2: ascending keys as differences
+        _store.remove(spark, [f"{at2}/part={part}", *(f"{counts}/{paths[s].rpartition('/')[2]}" for s in paths if s % PARTS == part)])
+    _store.remove(spark, [counts, at2, at1, at_ctx])
     return folder, unknown
 
 
@@ -325,7 +334,7 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId() << 32  # a task that runs again has the same batches
         for i, rb in enumerate(_text.slices(batches, "_t", SLICE)):
-            with fs.open_output_stream(f"{root}/{part + i}.arrow", compression=None) as f, pa.ipc.new_file(f, rb.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            with fs.open_output_stream(f"{root}/{part + i}.arrow", compression=None) as f, pa.ipc.new_file(f, rb.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as to:
                 to.write_batch(rb)
             asked = _Asked(rb.column("_t"), shards)
             for s in range(shards):
@@ -350,8 +359,8 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
             at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
             hit = have[at] == ask
             m = n[0] + n[1]
-            values = np.concatenate([np.where(hit, share[at], 0), np.where(hit[:m], weight[at[:m]], 1)]).astype("<f4")
-            out.append(zstandard.compress(_planes(values), 1))
+            values = np.concatenate([np.where(hit, share[at], 0), np.where(hit[:m], weight[at[:m]], 1)])
+            out.append(_values(values))
         return pa.table({"shard": table["shard"], "batch": table["batch"], "data": pa.array(out, pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
@@ -362,7 +371,7 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
         share, weight = [np.zeros(len(k), np.float32) for k in asked.keys], [np.ones(len(k), np.float32) for k in asked.keys]
         for s, data in zip(table["shard"].to_pylist(), table["data"], strict=True):
             of = asked.of(s)
-            got = np.split(_numbers(zstandard.decompress(data.as_buffer()), "<f4"), np.cumsum([len(o) for o in (*of, of[0])]))
+            got = np.split(_unvalues(data.as_buffer()), np.cumsum([len(o) for o in (*of, of[0])]))
             for i, o in enumerate(of):
                 share[i][o] = got[i]
             weight[0][of[0]], weight[1][of[1]] = got[3], got[4]
@@ -378,7 +387,6 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
     found = found.groupBy("batch").applyInArrow(total, "doc_id long, lang string, x long, n_tokens long, log_ppl double")
     found = _store.table(found, "scored")
     _store.remove(spark, [state])
-    _store.settle(spark)
     return found
 
 
@@ -393,6 +401,21 @@ def _unsteps(data, n: list[int]) -> np.ndarray:
     return np.concatenate([np.cumsum(x, dtype=np.uint64) for x in np.split(diffs, np.cumsum(n)[:-1])])
 
 
+def _values(x: np.ndarray) -> bytes:
+    """The different numbers, the most frequent first, and each number's place among them, byte by byte."""
+    known, of, n = np.unique(x.astype("<f4"), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), "<u2" if len(order) <= 1 << 16 else "<u4")
+    place[order] = np.arange(len(order))
+    return zstandard.compress(len(order).to_bytes(4, "little") + known[order].tobytes() + _planes(place[of]), 1)
+
+
+def _unvalues(data) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw, "<f4", n, 4)[_numbers(raw[4 + 4 * n :], "<u2" if n <= 1 << 16 else "<u4")]
+
+
 def thresholds(scored: DataFrame, trusted: DataFrame) -> DataFrame:
     """(group, threshold): of each language with calibrating documents."""
     held = _split(trusted.withColumnRenamed(trusted.columns[0], "doc_id"), "doc_id").filter("pmod(_h, 3) = 0").select("doc_id")
@@ -414,11 +437,12 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", lang: str
     spark = docs.sparkSession
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
     held = _store.shared(spark, "trusted")
-    trusted_texts(docs, trusted, key, text).write.parquet(held)
-    _store.settle(spark)
-    model = train(spark.read.schema("_t string").parquet(held), _store.shared(spark, "shards"), held)
-    scored = _store.table(perplexities(docs, model, key, lang, text, carry), "scores")
-    limits = _store.table(thresholds(scored, trusted), "limits")
+    with _store.swept(spark):
+        _write(trusted_texts(docs, trusted, key, text), held)
+        model = train(spark.read.schema("_t string").parquet(held), _store.shared(spark, "shards"), held)
+        scored = _store.table(perplexities(docs, model, key, lang, text, carry), "scores")
+        _store.remove(spark, [model[0]])
+        limits = _store.table(thresholds(scored, trusted), "limits")
     out = scored.withColumn("_g", F.coalesce("lang", F.lit(NULL))).join(limits, F.col("_g") == F.col("group"), "left")
     return out.select("doc_id", "lang", *["x"] * bool(carry), "n_tokens", "log_ppl", "threshold", ((F.col("n_tokens") > 1) & F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True))).alias("kept"))
 

@@ -203,6 +203,42 @@ def test_quality_fits_all_trusted_texts(spark, monkeypatch):
         assert r["log_ppl"] == pytest.approx(want(rows[r["doc_id"]][1]), abs=1e-4)
 
 
+def test_quality_leaves_only_the_model_on_disk_for_its_rounds(spark, monkeypatch):
+    """When a round of scoring begins, tables of the training and shuffle files of earlier steps are gone."""
+    import os
+    import time
+
+    from shapeloom.llm import _store
+
+    rng = random.Random(10)
+    rows = [(i, prose(rng, 40, WORDS[:9]), "en") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    root = os.path.dirname(_store.shared(spark, "x").removeprefix("file://"))
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if x.endswith(".data") and "/shuffle_" in x}
+    old, old_files, left, scored = set(os.listdir(root)) if os.path.isdir(root) else set(), shuffled(), [], quality._scored
+
+    def begin(*args):
+        for _ in range(50):  # Spark removes them in the background
+            if not (files := shuffled() - old_files):
+                break
+            time.sleep(0.1)
+        left.append(({x.rpartition("-")[0] for x in set(os.listdir(root)) - old}, files))
+        return scored(*args)
+
+    monkeypatch.setattr(quality, "_scored", begin)
+    assert quality.classify(d, labels).count() == 40
+    assert len(left) == quality.ROUNDS and all(names <= {"shards", "scored"} and not files for names, files in left), left
+
+
+def test_quality_packs_values_without_loss():
+    import numpy as np
+
+    for x in (np.zeros(1), np.tile([0, 0.5, -0.0, 1e-9], 50), np.random.default_rng(3).random(70_000)):
+        assert np.array_equal(quality._unvalues(quality._values(x)), x.astype("<f4"))
+
+
 def test_quality_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = {r["doc_id"]: r["kept"] for r in quality.classify(docs, none).collect()}
