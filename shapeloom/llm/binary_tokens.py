@@ -17,6 +17,7 @@ other; other columns are ignored; an empty table gives no file and no row.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import uuid
 import zlib
@@ -45,14 +46,17 @@ class WordEncoder:
 
     Words between white space are encoded apart, which gives the ids of the whole text as neither the
     normaliser nor the splitter of such a tokenizer sees across white space. Texts with the four
-    characters that Python takes for white space and the tokenizer does not are encoded whole. A
-    closing mark after letters, which the tokenizer splits off, and ASCII capitals, which it lowers,
-    are taken off before a word is looked up. The memory is two generations of at most `most` words.
+    characters that Python takes for white space and the tokenizer does not are encoded whole. A run of
+    closing marks after letters, which the tokenizer splits off, and ASCII capitals, which it lowers,
+    are taken off before a word is looked up. New words of letters alone go to the tokenizer as one text,
+    which takes half the time, and are told apart by the ids that end a word: every word has one at least, so
+    that with as many of them as words each has its own; otherwise the words are encoded in halves, down to
+    single ones. The memory is two generations of at most `most` words.
     Any tokenizer whose normaliser or splitter is another one encodes whole texts, without memory.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-    MARKS = ".,;:!?|"
+    MARKS, LONGEST_MARK, MOST_MARKS = string.punctuation, 8, 4096
     # fixed values: the normalisers and the splitting pattern for which all this holds
     NORMALISERS = ["NFC", "Replace", "Lowercase"]
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,48 +64,86 @@ class WordEncoder:
     def __init__(self, path: str, most: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.new, self.old = Tokenizer.from_file(path), most, {}, {}
-        self.marks = dict(zip(self.MARKS, self._encode(list(self.MARKS)), strict=True))
+        self.tokenizer, self.most, self.new, self.old, self.marks = Tokenizer.from_file(path), most, {}, {}, {}
         form = json.loads(self.tokenizer.to_str())
         steps, splits = (form.get("normalizer") or {}).get("normalizers", []), (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_words = [x["type"] for x in steps] == self.NORMALISERS and bool(splits) and splits[0].get("pattern", {}).get("Regex") == self.PATTERN and splits[0].get("behavior") == "Removed" and splits[0].get("invert", False)
+        # added tokens are looked for before all else: they may not reach from letters into marks or across words
+        self.by_words &= not (form.get("truncation") or form.get("padding")) and all(t["content"][0] in self.MARKS and len(t["content"].split()) == 1 and not t["single_word"] for t in form.get("added_tokens") or [])
+        self.last = self._last(form) if self.by_words else None
+
+    def _last(self, form: dict) -> np.ndarray | None:
+        """Whether an id ends a word, by id; None if words of letters may be without such an id."""
+        vocab, end = self.tokenizer.get_vocab(), form["model"].get("end_of_word_suffix")
+        if not end or sum(len(t) == 1 + len(end) and t.endswith(end) for t in vocab) < 256:
+            return None
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for t, i in vocab.items() if t.endswith(end)]] = True
+        return out
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """_encode for words of letters alone."""
+        if self.last is None or len(words) < 2:
+            return self._encode(words)
+        raw = self._encode([" ".join(words)])[0]
+        to = np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1
+        if len(to) != len(words):
+            half = len(words) // 2
+            return self._letters(words[:half]) + self._letters(words[half:])
+        ends = (to * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _mark(self, mark: str) -> bytes:
+        if (ids := self.marks.get(mark)) is None:
+            if len(self.marks) >= self.MOST_MARKS:
+                self.marks.clear()
+            ids = self.marks[mark] = self._encode([mark])[0]
+        return ids
+
     def _learn(self, words) -> None:
-        new, old, asked = self.new, self.old, {}
+        new, old, asked, later = self.new, self.old, {}, []
         for w in words:
             if (ids := old.get(w)) is not None:
                 new[w] = ids
                 continue
-            core, mark = (w[:-1], w[-1]) if w[-1] in self.marks and w[:-1].isalpha() else (w, "")
-            if core.isascii() and core.isalpha():
+            core = w.rstrip(self.MARKS)
+            if not core.isalpha() or len(w) - len(core) > self.LONGEST_MARK:
+                core = w
+            mark = w[len(core) :]
+            letters = core.isalpha()
+            if letters and core.isascii():
                 core = core.lower()
-            ids = new.get(core) or old.get(core)
-            if ids is None:
-                asked.setdefault(core, []).append((w, mark))
-            else:
-                new[w] = ids + self.marks[mark] if mark else ids
-        cores = list(asked)
-        for at in range(0, len(cores), 2048):
-            part = cores[at : at + 2048]
-            for core, ids in zip(part, self._encode(part), strict=True):
-                new[core] = ids
-                for w, mark in asked[core]:
-                    new[w] = ids + self.marks[mark] if mark else ids
+            if core not in new:
+                if (ids := old.get(core)) is None:
+                    asked[core] = letters
+                else:
+                    new[core] = ids
+            if core != w:
+                later.append((w, core, mark))
+        for encode, kind in ((self._letters, True), (self._encode, False)):
+            cores = [c for c, letters in asked.items() if letters is kind]
+            for at in range(0, len(cores), 2048):
+                part = cores[at : at + 2048]
+                new.update(zip(part, encode(part), strict=True))
+        for w, core, mark in later:
+            new[w] = new[core] + self._mark(mark) if mark else new[core]
 
     def __call__(self, text: str) -> bytes:
         if not self.by_words or any(c in text for c in self.ODD):
             return self._encode([text])[0]
         words = text.split()
-        try:
-            return b"".join(map(self.new.__getitem__, words))
-        except KeyError:
+        out = list(map(self.new.get, words))
+        if None in out:
             if len(self.new) >= self.most:
                 self.old, self.new = self.new, {}
-            self._learn(set(words).difference(self.new))
-            return b"".join(map(self.new.__getitem__, words))
+            lacking = [i for i, ids in enumerate(out) if ids is None]
+            self._learn({words[i] for i in lacking})
+            for i in lacking:
+                out[i] = self.new[words[i]]
+        return b"".join(out)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -63,6 +63,41 @@ def test_encoder_special_strings(encoder):
         assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_new_words_together(encoder):
+    """New words of letters go to the tokenizer as one text, without the marks that follow them."""
+    asked, real = [], encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **how)
+
+    e = WordEncoder(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    e.tokenizer = Counted()
+    text = " ".join(f"{a}{b}é{c}{m}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrst" for m in ("", ".", "***", "?!"))
+    assert np.frombuffer(e(text), "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= 4
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abZÉßİıΣςªºµﬁǅéŉ각가々กำ²Ⅷ'!*<|>"), st.characters(categories=["L"]), st.characters(categories=["M"])), min_size=1, max_size=8), max_size=12))
+def test_encoder_letters(encoder, words):
+    text = " ".join(words)
+    assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("added", ["hello", "b***", "*** x"])
+def test_encoder_added_tokens(encoder, tmp_path, added):
+    """Added tokens that begin with a letter or hold white space are found where the whole text has them."""
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_str(encoder.tokenizer.to_str())
+    t.add_tokens([AddedToken(added, normalized=False)])
+    t.save(str(tmp_path / "t.json"))
+    text = "HELLO xhello hello. ab*** b*** x*** x"
+    assert np.frombuffer(WordEncoder(str(tmp_path / "t.json"))(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_bloom(spark):
     b = _hash.Bloom(spark.range(0, 3000, 3), "id")
     every = np.arange(3000, dtype=np.uint64)
