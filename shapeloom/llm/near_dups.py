@@ -123,8 +123,11 @@ def describe(docs: DataFrame, size: int, key: str, text: str, carry: str | None
 
 
 def _plausible(percent: int, samples: int, bits: int, margin: float) -> Column:
-    """Of rows with na, nb, sa, sb: sizes and sketches may belong to sets of the similarity."""
-    ones = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(bits // 64)), F.lit(0))
+    """Of rows with na, nb, sa, sb: sizes and sketches may belong to sets of the similarity.
+
+    The ones are summed in a loop: written out, a term a word, the join's method outgrows the 8,000 bytes that the JVM compiles at most and stays interpreted.
+    """
+    ones = F.aggregate(F.zip_with("sa", "sb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most_ones(percent, samples, bits, margin))
 
 
@@ -184,9 +187,8 @@ def _mixed(crowded: DataFrame, found: DataFrame) -> DataFrame:
     """(bucket, id, c, main) of buckets that hold several components c; main is the largest of them."""
     placed = crowded.join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    many = sizes.groupBy("bucket").agg(F.max("k").alias("_k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select(F.col("bucket").alias("_b"), "_k")
-    main = sizes.join(many, (F.col("bucket") == F.col("_b")) & (F.col("k") == F.col("_k"))).groupBy("bucket").agg(F.min("c").alias("main"))
-    return placed.join(main, "bucket")
+    main = sizes.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("k"), "c"))["c"].alias("main")).filter("n > 1")
+    return placed.join(main.select("bucket", "main"), "bucket")
 
 
 def _cross(mixed: DataFrame, wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -230,8 +232,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc
         wide = table(_wide(texts, size), "wide")
         pairs = _cross(mixed, wide, classes, percent)
         pairs = table(pairs.join(likely.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "pairs")
-        links = links.unionByName(table(verified(pairs, texts, size, percent), "links"))
-        found = table(components(links), "components")
+        more = table(verified(pairs, texts, size, percent), "links")
+        if not more.isEmpty():
+            found = table(components(more.unionByName(found.select(F.col("component").alias("a"), F.col("id").alias("b")))), "components")
 
     comp = classes.select("d1", "d2", F.col("n").alias("_n"), "id").join(found.withColumnRenamed("id", "_c"), F.col("id") == F.col("_c"), "left")
     comp = comp.select("d1", "d2", "_n", F.coalesce("component", "id").alias("_component"))

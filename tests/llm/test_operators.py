@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from shapeloom.llm import binary_tokens, decontaminate, lattice, line_dedup, maxent, mixing, near_dups, quality, secrets, warc
+from shapeloom.llm._graph import components
 
 WORDS = ["the", "of", "and", "ra", "lo", "min", "tes", "vor", "qua", "zim", "pel", "dro", "nax", "ust", "ky", "bon"]
 
@@ -610,6 +611,28 @@ def test_near_dups_of_repeated_keys(spark):
     assert out == Counter([(3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), (11, 11, True), (11, 11, True)])
 
 
+def test_wide_sketches_are_compared_in_compiled_code(spark):
+    """No method of the join over crowded buckets outgrows the 8,000 bytes that the JVM compiles; a larger one is interpreted, pair by pair."""
+    bits, full = near_dups.WIDE_SKETCH // 64, [0] * (near_dups.WIDE_SKETCH // 64)
+    near, far = [1, *full[1:]], [-1] * bits
+    mixed = spark.createDataFrame([(1, 1, 1, 1), (1, 2, 2, 1), (1, 3, 3, 1), (1, 4, 4, 1)], "bucket long, id long, c long, main long")
+    wide = spark.createDataFrame([(1, 100, full), (2, 100, near), (3, 100, far), (4, 50, full)], "id long, n long, wide array<long>")
+    classes = spark.createDataFrame([(i, [1, 10 + i]) for i in range(1, 5)], "id long, bands array<long>")
+    pairs = near_dups._cross(*(x.hint("merge") for x in (mixed, wide, classes)), near_dups.PERCENT)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2)}
+    stages = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(pairs._jdf.queryExecution().executedPlan())
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(5, 1), (5, 2), (5, 2), (3, 3), (7, 9)], [(i, i + 1) for i in range(40)], [(i * 37 % 90, i * 53 % 91 + 2) for i in range(60)]])
+def test_components(spark, edges):
+    linked = {frozenset(e) for e in edges if e[0] != e[1]}
+    want = brute_links({x: x for e in linked for x in e}, lambda a, b: frozenset((a, b)) in linked)
+    out = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).select("id", "component").collect()]
+    assert sorted(out) == sorted(want.items())
+
+
 def test_odd_sketches_estimate():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 2**63, 1000, dtype=np.uint64)
