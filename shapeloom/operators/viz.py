@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.paths import _cut as cut
 from ..sources.terms import BNODE, IRI, TYPE, text
 
 
@@ -18,15 +19,17 @@ def _short(c, prefixes: dict[str, str]):
 def nodes(graph: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     """(id, label, type, node): ids N0, N1, ... in the order of the terms' text.
 
-    Numbers come from ranges of the text: each range is numbered alone, after the counts of those before it.
+    Ranges of the text are sorted and numbered each alone, after the counts of those before them. The ranges are written
+    before they are counted: read twice, Spark may merge them differently each time, and numbers would come twice or be left out.
     """
     every = graph.select(F.col("s").alias("node")).unionByName(graph.select(F.col("o").alias("node"))).distinct().withColumn("t", text(F.col("node")))
-    part = every.repartitionByRange("t").withColumn("part", F.spark_partition_id())
+    place = F.monotonically_increasing_id()  # the range in the upper 31 bits, the row's place in the lower 33
+    part = cut(every.repartitionByRange("t").sortWithinPartitions("t").withColumn("m", place))
+    part = part.select("node", "t", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
     counts = part.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("t")) - 1
-    out = part.withColumn("k", place).join(base, F.col("part") == F.col("_p"))
+    out = part.join(F.broadcast(base), F.col("part") == F.col("_p"))
     n = F.col("node")
     kind = F.when(n["kind"] == IRI, "iri").when(n["kind"] == BNODE, "bnode").otherwise("literal")
     label = F.when(n["kind"] == IRI, _short(n["lex"], prefixes or {})).when(n["kind"] == BNODE, F.concat(F.lit("_:"), n["lex"])).otherwise(F.col("t"))

@@ -154,3 +154,20 @@ def test_command_line(spark, tmp_path, capsys):
     cli.shell(lambda _: next(lines))
     assert "load x" in capsys.readouterr().out
     assert SH.endswith("#")
+
+
+def test_node_numbers_do_not_depend_on_merged_partitions(spark):
+    """Numbers are 0 to n - 1 in the order of the text where adaptive execution merges partitions in more than one way."""
+    from pyspark.sql import functions as F
+
+    from shapeloom.operators import viz
+    from shapeloom.sources.terms import IRI, node
+
+    own = spark.newSession()
+    for k, v in (("shuffle.partitions", "8"), ("adaptive.advisoryPartitionSizeInBytes", "100k"), ("adaptive.coalescePartitions.minPartitionSize", "1")):
+        own.conf.set(f"spark.sql.{k}", v)
+    x = lambda ns, c: node(IRI, F.concat(F.lit(ns), c.cast("string")))
+    graph = own.range(20_000).select(x("urn:x/", F.sha1(F.col("id").cast("string"))).alias("s"), F.lit("urn:p").alias("p"), x("urn:y/", F.col("id") % 7).alias("o"))
+    numbered = viz.nodes(graph)
+    assert [r["id"] for r in sorted(numbered.collect(), key=lambda r: r["node"]["lex"])] == [f"N{i}" for i in range(20_007)]
+    assert viz.edges(graph, numbered).count() == 20_000
