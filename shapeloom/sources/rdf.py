@@ -139,7 +139,11 @@ def write(graph: DataFrame, path: str, format: str = "n-triples", name: str = ""
 
 
 def infer(graph: DataFrame, name: str = "NONE", most: int = 64) -> DataFrame:
-    """The inference pre-pass: NONE, or RDFS (subclass, subproperty, domain and range rules to a fixpoint)."""
+    """The inference pre-pass: NONE, or RDFS (subclass, subproperty, domain and range rules to a fixpoint).
+
+    Rules about predicates are sent to all tasks, as there are no more of them than predicates need; dealt out by predicate,
+    all arcs of one would land in one task.
+    """
     from ..plans.paths import closure
 
     if name.upper() == "NONE":
@@ -149,9 +153,9 @@ def infer(graph: DataFrame, name: str = "NONE", most: int = 64) -> DataFrame:
     e = graph.select(F.col("s").alias("a"), "p", F.col("o").alias("b"))
     sub = closure(e.filter(F.col("p") == RDFS + "subPropertyOf").select("a", "b"), most)
     sub = sub.select(F.col("a")["lex"].alias("_sp"), F.col("b")["lex"].alias("_p"))
-    more = graph.join(sub, F.col("p") == F.col("_sp")).select("s", F.col("_p").alias("p"), "o")
+    more = graph.join(F.broadcast(sub), F.col("p") == F.col("_sp")).select("s", F.col("_p").alias("p"), "o")
     full = graph.unionByName(more).distinct()
-    kind = lambda side, rule: full.join(graph.filter(F.col("p") == RDFS + rule).select(F.col("s")["lex"].alias("_p"), F.col("o").alias("_c")), F.col("p") == F.col("_p")).filter(F.col(side)["kind"] != LITERAL).select(F.col(side).alias("s"), F.lit(TYPE).alias("p"), F.col("_c").alias("o"))
+    kind = lambda side, rule: full.join(F.broadcast(graph.filter(F.col("p") == RDFS + rule).select(F.col("s")["lex"].alias("_p"), F.col("o").alias("_c"))), F.col("p") == F.col("_p")).filter(F.col(side)["kind"] != LITERAL).select(F.col(side).alias("s"), F.lit(TYPE).alias("p"), F.col("_c").alias("o"))
     full = full.unionByName(kind("s", "domain")).unionByName(kind("o", "range"))
     classes = closure(e.filter(F.col("p") == SUBCLASS).select("a", "b"), most).withColumnsRenamed({"a": "_a", "b": "_b"})
     up = full.filter(F.col("p") == TYPE).join(classes, F.col("o") == F.col("_a")).select("s", "p", F.col("_b").alias("o"))
