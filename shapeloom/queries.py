@@ -57,23 +57,16 @@ def links(t: Tables) -> DataFrame:
 
 def _flags(t: Tables) -> DataFrame:
     """Arcs from orders to the flags of their lines."""
-    rows = t.table("lineitem")
-    s = row("orders", F.col("l_orderkey"))
-    parts = [rows.select(s.alias("s"), F.lit(prop(c)).alias("p"), node(LITERAL, F.col(c), XSD + "string").alias("o")) for c in ("l_returnflag", "l_linestatus")]
-    return parts[0].unionByName(parts[1]).distinct()
+    return t.arcs("lineitem", "l_orderkey", {c: (F.col(c), lambda x: node(LITERAL, x, XSD + "string")) for c in ("l_returnflag", "l_linestatus")})
 
 
 def _line_dates(t: Tables) -> DataFrame:
-    rows = t.table("lineitem").select(row("orders", F.col("l_orderkey")).alias("s"), F.lit(prop("l_shipdate")).alias("p"), node(LITERAL, F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), XSD + "dateTime").alias("o"))
-    return rows.distinct()
+    return t.arcs("lineitem", "l_orderkey", {"l_shipdate": (F.date_trunc("second", "l_shipdate"), lambda x: node(LITERAL, F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss"), XSD + "dateTime"))})
 
 
 def _line_keys(t: Tables) -> DataFrame:
     """Arcs from orders to part and supplier numbers, as literals of one type."""
-    rows = t.table("lineitem")
-    s = row("orders", F.col("l_orderkey"))
-    parts = [rows.select(s.alias("s"), F.lit(prop(c)).alias("p"), node(LITERAL, F.col(c).cast("string"), XSD + "integer").alias("o")) for c in ("l_partkey", "l_suppkey")]
-    return parts[0].unionByName(parts[1]).distinct()
+    return t.arcs("lineitem", "l_orderkey", {c: (F.col(c), lambda x: node(LITERAL, x.cast("string"), XSD + "integer")) for c in ("l_partkey", "l_suppkey")})
 
 
 def _titles(t: Tables) -> DataFrame:

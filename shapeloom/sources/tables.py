@@ -8,11 +8,13 @@ duplicates are removed where they are not. `unique` tells it instead: True for d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from .terms import IRI, LITERAL, STRING, TRIPLE, TYPE, XSD, Node, iri, node
 
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
@@ -51,7 +53,8 @@ class Tables:
     """The graph of a folder of Parquet tables."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: dict | None = None, parents: dict | None = None, unique: bool | None = None):
-        self.spark, self.folder, self.keys, self.parents, self.unique = spark, folder, keys or KEYS, parents or PARENTS, unique
+        self.spark, self.folder = shared.fine(spark), folder
+        self.keys, self.parents, self.unique = keys or KEYS, parents or PARENTS, unique
 
     def _unique(self, name: str) -> bool:
         """Whether no two rows of a table share their key; one pass over its key columns, once a session and path."""
@@ -67,7 +70,9 @@ class Tables:
         return triples if self._unique(name) else triples.distinct()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        t = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        shared.fit(self.spark, t)
+        return t
 
     def types(self, name: str) -> DataFrame:
         """rdf:type triples of a table's rows."""
@@ -86,8 +91,16 @@ class Tables:
 
     def links(self, name: str, a: str, b: str, predicate: str) -> DataFrame:
         """Arcs between the parents that two foreign keys of a (keyless) table name."""
-        t = self.table(name).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        return t.select(row(self.parents[name, a], F.col(a)).alias("s"), F.lit(predicate).alias("p"), row(self.parents[name, b], F.col(b)).alias("o")).distinct()
+        return self._arcs(name, a, F.col(b), predicate, lambda x: row(self.parents[name, b], x))
+
+    def arcs(self, name: str, key: str, terms: dict[str, tuple[Column, Callable[[Column], Column]]]) -> DataFrame:
+        """Arcs from the parents that a foreign key of a (keyless) table names; by column, the value and the term made of it, which must differ where values do."""
+        return reduce(lambda a, b: a.unionByName(b), (self._arcs(name, key, value, prop(c), term) for c, (value, term) in terms.items()))
+
+    def _arcs(self, name: str, key: str, value: Column, predicate: str, term: Callable[[Column], Column]) -> DataFrame:
+        """A set of arcs; repeated ones are removed by their values, which take a fraction of their terms' memory."""
+        t = self.table(name).select(F.col(key).alias("_k"), value.alias("_v")).filter("_k IS NOT NULL AND _v IS NOT NULL").distinct()
+        return t.select(row(self.parents[name, key], F.col("_k")).alias("s"), F.lit(predicate).alias("p"), term(F.col("_v")).alias("o"))
 
     def graph(self, *wanted) -> DataFrame:
         """The union of parts: "table" for its types, "table.column", or a table of triples."""

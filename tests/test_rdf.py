@@ -100,3 +100,31 @@ def test_tables_keep_fractions_and_are_sets(spark, tmp_path):
     got = sorted((r["s"]["lex"], r["o"]["lex"]) for r in graph.collect())
     assert got == sorted([("urn:t/events/1", "2024-01-01T00:00:00.1"), ("urn:t/events/1", "2024-01-01T00:00:00.9"), ("urn:t/events/2", "2024-01-01T00:00:05"), ("urn:t/events/3", "2024-01-01T00:00:10.25"), *((f"urn:t/events/{i}", "urn:c/events") for i in (1, 2, 3))])
     assert Tables(spark, str(tmp_path), unique=True).graph("events.ts").count() == 5
+
+
+def test_graphs_are_dealt_out_in_small_pieces(spark, tmp_path, monkeypatch):
+    """A graph's plans merge partitions to a few MB and have more of them for larger tables; the caller's settings stay."""
+    from shapeloom import shared
+    from shapeloom.sources.tables import Tables
+
+    lines = [(k, k % 3, f"{k}") for k in range(100)] * 2 + [(None, 1, "x"), (1, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(shared, "FILE_A_PART", 100, raising=False)
+    of = lambda s: [s.conf.get(f"spark.sql.{k}") for k in ("shuffle.partitions", "adaptive.advisoryPartitionSizeInBytes", "files.maxPartitionBytes")]
+    before = of(spark)
+    holds = Tables(spark, str(tmp_path)).links("lineitem", "l_orderkey", "l_partkey", "urn:p/holds")
+    got = of(holds.sparkSession)
+    assert int(got[0]) > 8 and [int(x.rstrip("b")) for x in got[1:]] == [shared.DEALT, shared.READ] and of(spark) == before
+    assert {(r["s"]["lex"], r["o"]["lex"]) for r in holds.collect()} == {(f"urn:t/orders/{k}", f"urn:t/part/{k % 3}") for k in range(100)} and holds.count() == 100
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    assert shared.fine(own).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16k"
+
+
+def test_inference_does_not_deal_out_by_predicate(spark):
+    """Rules about predicates go to every task; otherwise one task would get all arcs of a predicate."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    g = rdf.from_string(own, P + "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :A rdfs:subClassOf :B . :p rdfs:subPropertyOf :q . :x :p :y . :q rdfs:range :A .")
+    plan = rdf.infer(g, "RDFS")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [p#" in plan and "SortMergeJoin [p#" not in plan
