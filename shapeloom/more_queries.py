@@ -103,9 +103,10 @@ def nquads_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT '<urn:t/orders/' || o_orderkey || '> <urn:p/o_custkey> <urn:t/customer/' || o_custkey || '> .' AS line FROM orders")
 def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turtle files parsed on the executors, a task for each."""
-    path = shared.path(spark, "turtle")
-    rdf.write(Tables(spark, sf_dir).graph("orders.o_custkey").repartition(6), path, "Turtle")
-    return rdf.lines(rdf.from_path(spark, path, "Turtle")).select(F.col("value").alias("line"))
+    path, t = shared.path(spark, "turtle"), Tables(spark, sf_dir)
+    files = max(6, t.table("orders").rdd.getNumPartitions())  # more files for larger tables, as one is the work of one task
+    rdf.write(t.graph("orders.o_custkey").repartition(files), path, "Turtle")
+    return rdf.lines(rdf.from_path(t.spark, path, "Turtle")).select(F.col("value").alias("line"))
 
 
 @query("SELECT unnest(['url', 'endpoint']) AS source, '<urn:e/a> <urn:e/p> <urn:e/b> .' AS line")

@@ -2,7 +2,8 @@
 
 A graph is a set: `distinct` is applied once, where data come in. N-Triples and N-Quads are parsed on the
 executors from lines of text; files of Turtle, TriG, RDF/JSON, RDF/XML and a JSON-LD subset are parsed on the
-executors too, each in one task, which holds it whole. Texts are parsed on the driver, for schemas and
+executors too, each in one task. Turtle and TriG pass through it statement by statement; the task holds files of the other
+formats whole. Texts are parsed on the driver, for schemas and
 small data. Any path that Spark can read is accepted. Named graphs are merged into one set of triples.
 """
 
@@ -86,7 +87,10 @@ def from_path(spark: SparkSession, path: str, format: str = "turtle", base: str
         return read(spark, path, quads=kind == "n-quads")
     if kind not in (*FORMATS, "ttl"):
         raise ValueError(f"unknown format {format}; known are {', '.join(FORMATS)}")
-    texts = spark.read.text(path, wholetext=True).select("value", F.hex(F.xxhash64(F.input_file_name())).alias("file"))
+    file = F.hex(F.xxhash64(F.input_file_name())).alias("file")
+    if kind in ("turtle", "ttl", "trig"):
+        return _statements(spark.read.text(path, lineSep="\n"), file, base, scope)
+    texts = spark.read.text(path, wholetext=True).select("value", file)
 
     def run(batches):
         import pyarrow as pa
@@ -95,14 +99,39 @@ def from_path(spark: SparkSession, path: str, format: str = "turtle", base: str
         shape = to_arrow_schema(TRIPLE)
         for rb in batches:
             for data, file in zip(rb.column("value").to_pylist(), rb.column("file").to_pylist(), strict=True):
-                cell = lambda n: {"kind": int(n.kind), "lex": n.lex, "dt": n.dt, "lang": n.lang}
-                rows = [{"s": cell(s), "p": p, "o": cell(o)} for s, p, o in parse(data, kind, base, f"{scope}f{file}_")]
-                for at in range(0, len(rows), 8192):
-                    yield pa.RecordBatch.from_pylist(rows[at : at + 8192], schema=shape)
+                triples = parse(data, kind, base, f"{scope}f{file}_")
+                for at in range(0, len(triples), 8192):
+                    yield pa.RecordBatch.from_pylist(_cells(triples[at : at + 8192]), schema=shape)
 
     return texts.mapInArrow(run, TRIPLE).distinct()
 
 
+def _cells(triples) -> list[dict]:
+    cell = lambda n: {"kind": int(n.kind), "lex": n.lex, "dt": n.dt, "lang": n.lang}
+    return [{"s": cell(s), "p": p, "o": cell(o)} for s, p, o in triples]
+
+
+def _statements(lines: DataFrame, file: Column, base: str, scope: str) -> DataFrame:
+    """Triples of Turtle's lines (column value). A file may be read in pieces; its lines are put in order again for the task that parses it."""
+    placed = lines.select("value", file, F.input_file_block_start().alias("piece"), F.monotonically_increasing_id().alias("line"))
+    placed = placed.repartition(max(1, len(lines.inputFiles())), "file").sortWithinPartitions("file", "piece", "line").select("value", "file")
+
+    def run(batches):
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shape = to_arrow_schema(TRIPLE)
+        rows = (x for rb in batches for x in zip(rb.column("file").to_pylist(), rb.column("value").to_pylist(), strict=True))
+        for name, own in groupby(rows, lambda x: x[0]):
+            for triples in turtle.stream((x[1] for x in own), base, f"{scope}f{name}_"):
+                for at in range(0, len(triples), 8192):
+                    yield pa.RecordBatch.from_pylist(_cells(triples[at : at + 8192]), schema=shape)
+
+    return placed.mapInArrow(run, TRIPLE).distinct()
+
+
 def from_url(spark: SparkSession, url: str, fetch, format: str = "turtle") -> DataFrame:
     """The graph that a URL names; `fetch` (URL to text) is the caller's, as for imports."""
     return from_string(spark, fetch(url), format, url)

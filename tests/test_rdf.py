@@ -128,3 +128,40 @@ def test_inference_does_not_deal_out_by_predicate(spark):
     g = rdf.from_string(own, P + "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :A rdfs:subClassOf :B . :p rdfs:subPropertyOf :q . :x :p :y . :q rdfs:range :A .")
     plan = rdf.infer(g, "RDFS")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [p#" in plan and "SortMergeJoin [p#" not in plan
+
+
+HARD = [
+    P + ':a :p """x .\n"y". ""\n\\""" .\n""" ; :q \'\'\'.\n\' .\n\'\'\' . # "\n:b :p 5.\n:c :p 1.5 , :x\\. , <http://e/#.> .',
+    P + '_:x :p [ :q 1 ; :r (\n:a .5e1 ) ;\n:s "a # \\" ." ] .\n_:x :p _:y .\n[ :p 3\n] .\nPREFIX : <http://f/>\n:a :p "\'" , \'"\' .\r\n:a :p """1\r\n2""".\n<http://e/a> <http://e/p> _:x .',
+    P + ':g {\n:a :p 1 .\n:a :q """}\n.""" .\n}\n{ :b :p 2 }\nGRAPH :h\n{ :c :p 3 .\n}',
+    "", "# only a note",
+]
+
+
+@pytest.mark.parametrize("data", HARD)
+def test_turtle_by_lines(data):
+    """Whatever the parts, lines give what the whole text gives."""
+    want = set(turtle.parse(data, "http://b/", "s"))
+    for least in (0, 30, 1 << 16):
+        parts = list(turtle.stream(iter(data.split("\n")), "http://b/", "s", least))
+        assert {t for ts in parts for t in ts} == want
+        if least == 0 and data.count("\n") > 2:
+            assert len(parts) > 2
+    with pytest.raises(SyntaxError):
+        list(turtle.stream([P, ":a :p", "1"], least=0))
+
+
+def test_turtle_files_pass_by_statements(spark, tmp_path):
+    """No task parses a file's text as a whole, also where it is read in pieces; prefixes and blank nodes go on from piece to piece."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    own.conf.set("spark.sql.files.openCostInBytes", "1")
+    texts = {x: P + "".join(f':{x}{i} :p """line\n. {i}""" , _:n ;\n  :q {i} .\n' for i in range(300)) for x in "ab"}
+    for x, data in texts.items():
+        (tmp_path / x).write_text(data)
+    got = rdf.from_path(own, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" in plan, "files were held whole"
+    assert got.count() == 1800 and got.filter("o.kind = 1").select("o.lex").distinct().count() == 2
+    rows = {(r["s"]["lex"], r["p"], r["o"]["lex"]) for r in got.filter("o.kind = 2").collect()}
+    assert rows == {(s.lex, p, o.lex) for data in texts.values() for s, p, o in turtle.parse(data) if o.kind == 2}
