@@ -25,7 +25,7 @@ def path(spark: SparkSession, name: str) -> str:
 
 
 # fixed values: what a task gets at most, in bytes of files and of shuffled rows; both are compressed, and terms take 10 to 50 times as much in memory
-READ, DEALT, FILE_A_PART = 8 << 20, 2 << 20, 1 << 20
+READ, DEALT, FILE_A_PART = 8 << 20, 4 << 20, 2 << 20
 
 
 def fine(spark: SparkSession) -> SparkSession:
@@ -42,7 +42,7 @@ def fine(spark: SparkSession) -> SparkSession:
 
 
 def fit(spark: SparkSession, table: DataFrame) -> None:
-    """Shuffles of a session of `fine` get a partition at least for every MB of a table's files."""
+    """Shuffles of a session of `fine` get a partition at least for every 2 MB of a table's files."""
     files = int(table._jdf.queryExecution().analyzed().stats().sizeInBytes())
     if files // FILE_A_PART > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set("spark.sql.shuffle.partitions", files // FILE_A_PART)
