@@ -54,6 +54,30 @@ def _gram(*h: np.ndarray) -> np.ndarray:
     return _text.mix(out + np.uint64(len(h)))
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with the first index of each number and every number's place, by one sort of numbers.
+
+    A number's low bits make room for its index, so that nothing is sorted but plain numbers, which is several
+    times as fast as sorting indices. Where that takes two numbers for one, np.unique decides.
+    """
+    low = np.uint64((1 << max(1, len(h).bit_length())) - 1)
+    both = h & ~low
+    both |= np.arange(len(h), dtype=np.uint64)
+    both.sort()
+    order = (both & low).view(np.int64)
+    both &= ~low
+    mine = h.take(order)
+    new = np.ones(len(h), bool)
+    np.not_equal(mine[1:], mine[:-1], out=new[1:])
+    if np.any(new[1:] & (both[1:] == both[:-1])):
+        return np.unique(h, return_index=True, return_inverse=True)
+    place = np.cumsum(new, dtype=np.int32 if len(h) < 1 << 31 else np.int64)
+    place -= 1
+    of = np.empty_like(place)
+    of[order] = place
+    return mine[new], order[new], of
+
+
 def _sequences(col: pa.Array) -> tuple[np.ndarray, ...]:
     """u, v, w of every token, the end of each text included, and the tokens' row offsets."""
     h, offs, *_ = _text.words(col)
@@ -121,9 +145,16 @@ def _numbers(raw: bytes, kind: str) -> np.ndarray:
 
 def _pack(n: np.ndarray, *words: np.ndarray) -> bytes:
     """Grams with their counts: the different words once, then the words' places among them in ascending order."""
-    known, of = np.unique(np.concatenate(words), return_inverse=True)
+    known, _, of = _distinct(np.concatenate(words))
     of = of.astype("<u4").reshape(len(words), -1)
-    order = np.lexsort(of[::-1])
+    bits = len(known).bit_length()
+    if bits * len(words) <= 64:  # one number a gram is sorted faster than its words
+        one = of[0].astype(np.uint64)
+        for x in of[1:]:
+            one = one << np.uint64(bits) | x
+        order = np.argsort(one, kind="stable")
+    else:
+        order = np.lexsort(of[::-1])
     of = of[:, order]
     of[0] = np.diff(of[0], prepend=np.uint32(0))
     head = np.asarray([len(known), len(n)], "<u8").tobytes()
@@ -174,7 +205,8 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
     def grams(batches):
         for rb in _text.slices(batches, "_t", SLICE):
             u, v, w, _ = _sequences(rb.column("_t"))
-            keys, at, n = np.unique(_gram(u, v, w), return_index=True, return_counts=True)
+            _, at, of = _distinct(_gram(u, v, w))
+            n = np.bincount(of, minlength=len(at))
             u, v, w = u[at], v[at], w[at]
             order, ends = _pieces(_shard(_gram(u, v), shards), shards)
             for s in np.flatnonzero(np.diff(ends)).tolist():
@@ -191,20 +223,20 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
 
         s = table["shard"][0].as_py()
         n, u, v, w = _unpack(table["data"], 3)
-        keys, at, of = np.unique(_gram(u, v, w), return_index=True, return_inverse=True)
+        keys, at, of = _distinct(_gram(u, v, w))
         n = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
         u, v, w = u[at], v[at], w[at]
         fs, root = _store.files(counts)
         fs.create_dir(root, recursive=True)
         path = f"{root}/{uuid.uuid4().hex}.parquet"
-        ctx, of = np.unique(_gram(u, v), return_inverse=True)
+        ctx, _, of = _distinct(_gram(u, v))
         all_, zero = np.bincount(of, n.astype(np.float64), len(ctx)).astype(np.int64), np.zeros(len(keys), np.int64)
         held = {"k": np.concatenate([keys, ctx]).view(np.int64), "n": np.concatenate([n, np.zeros(len(ctx), np.int64)]), "total": np.concatenate([all_[of], all_])}
         for name, times in (("n1", n == 1), ("n2", n == 2), ("n3", n > 2)):
             held[name] = np.concatenate([zero, np.bincount(of[times], minlength=len(ctx))])
         pq.write_table(pa.table(held), path, filesystem=fs, compression="zstd", use_dictionary=[x for x in held if x != "k"], column_encoding={"k": "DELTA_BINARY_PACKED"})
         rows = [(s, path.encode(), _of_counts(n), 0, s % PARTS)]
-        pair, at, of = np.unique(_gram(v, w), return_index=True, return_inverse=True)
+        pair, at, of = _distinct(_gram(v, w))
         n2 = np.bincount(of, np.where(v == _BEGIN, n, 1).astype(np.float64), len(pair)).astype(np.int64)
         v, w = v[at], w[at]
         order, ends = _pieces(_shard(pair, shards), shards)
@@ -215,7 +247,7 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
 
     def two(table: pa.Table) -> pa.Table:
         n, v, w = _unpack(table["data"], 2)
-        keys, at, of = np.unique(_gram(v, w), return_index=True, return_inverse=True)
+        keys, at, of = _distinct(_gram(v, w))
         n = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
         c, k1 = _gram(v[at]), _gram(w[at])
         order = np.argsort(c)
@@ -293,12 +325,12 @@ class _Asked:
 
     def __init__(self, col: pa.Array, shards: int):
         u, v, w, self.offs = _sequences(col)
-        k3, at, self.three = np.unique(_gram(u, v, w), return_index=True, return_inverse=True)
+        k3, at, self.three = _distinct(_gram(u, v, w))
         u, v, w = u[at], v[at], w[at]
         ctx = _gram(u, v)
-        k2, of = np.unique(np.concatenate([_gram(v, w), ctx]), return_inverse=True)
+        k2, _, of = _distinct(np.concatenate([_gram(v, w), ctx]))
         self.pair, self.pair_ctx = of[: len(at)], of[len(at) :]
-        k1, of = np.unique(np.concatenate([_gram(w), _gram(v)]), return_inverse=True)
+        k1, _, of = _distinct(np.concatenate([_gram(w), _gram(v)]))
         self.word, self.word_ctx = of[: len(at)], of[len(at) :]
         self.keys = (k1, k2, k3)
         self.dealt = [_pieces(_shard(h, shards), shards) for h in (k1, k2, ctx)]
@@ -403,11 +435,20 @@ def _unsteps(data, n: list[int]) -> np.ndarray:
 
 def _values(x: np.ndarray) -> bytes:
     """The different numbers, the most frequent first, and each number's place among them, byte by byte."""
-    known, of, n = np.unique(x.astype("<f4"), return_inverse=True, return_counts=True)
+    both = x.astype("<f4").view("<u4").astype(np.uint64) << np.uint64(32)  # a number's bits, and its index
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    bits = (both >> np.uint64(32)).astype("<u4")
+    new = np.ones(len(x), bool)
+    np.not_equal(bits[1:], bits[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    n = np.diff(first, append=len(x))
     order = np.argsort(-n, kind="stable")
     place = np.empty(len(order), "<u2" if len(order) <= 1 << 16 else "<u4")
     place[order] = np.arange(len(order))
-    return zstandard.compress(len(order).to_bytes(4, "little") + known[order].tobytes() + _planes(place[of]), 1)
+    places = np.empty(len(x), place.dtype)
+    places[(both & np.uint64(0xFFFFFFFF)).view(np.int64)] = np.repeat(place, n)
+    return zstandard.compress(len(order).to_bytes(4, "little") + bits[first[order]].tobytes() + _planes(places), 1)
 
 
 def _unvalues(data) -> np.ndarray:

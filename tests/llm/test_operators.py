@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -961,3 +962,20 @@ def test_e8_is_nearest():
     for v in lattice._MINIMAL:
         assert (((x - p - v) ** 2).sum(1) >= d - 1e-9).all()
     assert len(lattice._MINIMAL) == 240
+
+
+def test_quality_distinct():
+    """One sort of numbers gives what np.unique gives, numbers that differ in their lowest bits alone included."""
+    from shapeloom.llm import quality
+
+    rng = np.random.default_rng(5)
+    near = np.uint64(1) << np.uint64(40)
+    cases = [np.zeros(0, np.uint64), np.asarray([2**64 - 1], np.uint64), rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64), rng.integers(0, 2**64 - 1, 50, dtype=np.uint64)[rng.integers(0, 50, 5000)], rng.integers(0, 300, 5000).astype(np.uint64) + near]
+    for x in cases:
+        for got, want in zip(quality._distinct(x), np.unique(x, return_index=True, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)
+    for x in (np.zeros(0), np.asarray([0.0, 1.0, 0.0, 0.25]), rng.random(70000), rng.integers(0, 9, 1000) / 8):
+        assert np.array_equal(quality._unvalues(quality._values(x)), x.astype(np.float32))
+    u, v = rng.integers(0, 99, 3000).astype(np.uint64), rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64)
+    n, a, b = quality._unpack(pa.chunked_array([[quality._pack(np.arange(3000), u, v)]]), 2)
+    assert sorted(zip(n.tolist(), a.tolist(), b.tolist(), strict=True)) == list(zip(range(3000), u.tolist(), v.tolist(), strict=True))
