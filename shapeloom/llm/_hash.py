@@ -60,6 +60,7 @@ def only(owner: str) -> None:
     if owner != _owner:
         _held.clear()
         _owner = owner
+        pa.default_memory_pool().release_unused()
 
 
 def resident(owner: str, key: str, make):

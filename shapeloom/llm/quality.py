@@ -203,6 +203,7 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
     counted, counts, found, at2, at1, at_ctx = (_store.shared(spark, x) for x in ("counted", "counts", "grams", "pairs", "words", "contexts"))
 
     def grams(batches):
+        _hash.only("quality")
         for rb in _text.slices(batches, "_t", SLICE):
             u, v, w, _ = _sequences(rb.column("_t"))
             _, at, of = _distinct(_gram(u, v, w))
@@ -221,6 +222,7 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
         """
         import pyarrow.parquet as pq
 
+        _hash.only("quality")
         s = table["shard"][0].as_py()
         n, u, v, w = _unpack(table["data"], 3)
         keys, at, of = _distinct(_gram(u, v, w))
@@ -246,6 +248,7 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32()), strict=True)], names=["shard", "data", "stats", "kind", "part"])
 
     def two(table: pa.Table) -> pa.Table:
+        _hash.only("quality")
         n, v, w = _unpack(table["data"], 2)
         keys, at, of = _distinct(_gram(v, w))
         n = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
@@ -289,6 +292,7 @@ def train(texts: DataFrame, folder: str, spent: str | None = None) -> tuple[str,
     def shard(table: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq
 
+        _hash.only("quality")
         s = table["shard"][0].as_py()
         table = table.filter(table["k"].is_valid())
         k, share, weight = [table["k"].to_numpy()], [pc.fill_null(table["share"], 0).to_numpy()], [pc.fill_null(table["weight"], -1).to_numpy()]
@@ -362,6 +366,7 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
     def ask(batches):
         from pyspark import TaskContext
 
+        _hash.only("quality")
         fs, root = _store.files(state)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId() << 32  # a task that runs again has the same batches
@@ -377,6 +382,7 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
     def answer(table: pa.Table) -> pa.Table:
         import pyarrow.parquet as pq
 
+        _hash.only("quality")
         s = table["shard"][0].as_py()
         fs, path = _store.files(f"{folder}/shard={s}")
         t = pq.read_table(path, columns=["k", "share", "weight"], filesystem=fs)
@@ -396,6 +402,7 @@ def _scored(ready: DataFrame, folder: str, unknown: float, shards: int) -> DataF
         return pa.table({"shard": table["shard"], "batch": table["batch"], "data": pa.array(out, pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
+        _hash.only("quality")
         fs, root = _store.files(state)
         with fs.open_input_file(f"{root}/{table['batch'][0].as_py()}.arrow") as f:
             rb = pa.ipc.open_file(f).get_batch(0)
