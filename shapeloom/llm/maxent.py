@@ -177,20 +177,24 @@ def _step(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, rows: list[n
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     order %= len(grad)
     counts, at = np.diff(np.append(first, len(flat))), flat.take(first)
-    total = np.empty((len(at), grad.shape[1]), grad.dtype)
+    total = np.zeros((len(at), grad.shape[1]), grad.dtype)
+    rest = counts % (FEW + 1)
     for c in range(1, FEW + 1):  # most rows are met a few times in a minibatch
-        same = np.flatnonzero(counts == c)
+        same = np.flatnonzero(rest == c)
         begin = first.take(same)
         part = grad.take(order.take(begin), 0)
         for k in range(1, c):
             part += grad.take(order.take(begin + k), 0)
         total[same] = part
     many = np.flatnonzero(counts > FEW)
-    if len(many):
-        sizes = counts.take(many)
+    if len(many):  # blocks of FEW + 1 from behind the rest, then the blocks of a row
+        sizes = counts.take(many) // (FEW + 1)
         starts = np.cumsum(sizes) - sizes
-        shared = order.take(np.arange(sizes.sum()) + np.repeat(first.take(many) - starts, sizes))
-        total[many] = np.add.reduceat(grad.T.copy().take(shared, 1), starts, axis=1).T  # sums along rows are the fast ones
+        begin = np.repeat(first.take(many) + rest.take(many) - (FEW + 1) * starts, sizes) + (FEW + 1) * np.arange(sizes.sum())
+        part = grad.take(order.take(begin), 0)
+        for k in range(1, FEW + 1):
+            part += grad.take(order.take(begin + k), 0)
+        total[many] += np.add.reduceat(part.T.copy(), starts, axis=1).T  # sums along rows are the fast ones
     sums[at] += np.einsum("ij,ij->i", total, total) / grad.shape[1]
     total *= (RATE / np.sqrt(sums.take(at)))[:, None]
     table[at] -= total
@@ -204,6 +208,16 @@ def _bias(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, grad: np.nda
     touched[0] += len(grad)
 
 
+def _class_biases(table: np.ndarray, sums: np.ndarray, touched: np.ndarray, cls: np.ndarray, grad: np.ndarray) -> None:
+    """The step of _step on the CLASSES rows of which each token has its class's; all are met so often that one product sums them."""
+    one = np.zeros((len(cls), CLASSES), grad.dtype)
+    one[np.arange(len(cls)), cls] = 1
+    total = one.T @ grad
+    sums[:CLASSES] += np.einsum("ij,ij->i", total, total) / grad.shape[1]
+    table[:CLASSES] -= RATE * total / np.sqrt(sums[:CLASSES])[:, None]
+    touched[:CLASSES] += np.bincount(cls, minlength=CLASSES)
+
+
 def unigrams(symbols: Symbols, counts: np.ndarray, rows: int) -> Model:
     """The model whose biases alone give each symbol its share of `counts`; training starts from it."""
     m = Model(symbols.member, rows)
@@ -237,7 +251,8 @@ def train(docs: DataFrame, symbols: Symbols, model: Model) -> Model:
                     pw[i, mem] -= 1
                     _step(m.c, sums[0], touched[0], rc, pc)
                     _bias(m.c, sums[0], touched[0], pc)
-                    _step(m.w, sums[1], touched[1], rw, pw)
+                    _step(m.w, sums[1], touched[1], rw[1:], pw)
+                    _class_biases(m.w, sums[1], touched[1], cls, pw)
             if any_:
                 for t, (new, old, n) in enumerate(((m.c, start.c, touched[0]), (m.w, start.w, touched[1]))):
                     at = np.flatnonzero(n)

@@ -979,3 +979,21 @@ def test_quality_distinct():
     u, v = rng.integers(0, 99, 3000).astype(np.uint64), rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64)
     n, a, b = quality._unpack(pa.chunked_array([[quality._pack(np.arange(3000), u, v)]]), 2)
     assert sorted(zip(n.tolist(), a.tolist(), b.tolist(), strict=True)) == list(zip(range(3000), u.tolist(), v.tolist(), strict=True))
+
+
+def test_maxent_step_sums_every_occurrence():
+    """Steps on rows met from once to thousands of times take the plain sums of gradients, class rows by one product too."""
+    rng = np.random.default_rng(7)
+    rows = [np.minimum(rng.geometric(0.02, 4096) + 40, 300), np.full(4096, 301), rng.integers(302, 4000, 4096)]
+    cls, grad = rng.integers(0, 30, 4096), rng.normal(size=(4096, maxent.MEMBERS)).astype(np.float32)
+    want, got = [[np.zeros((4000, maxent.MEMBERS), np.float32), np.full(4000, 1e-3, np.float32), np.zeros(4000, np.int64)] for _ in range(2)]
+    total = np.zeros((4000, maxent.MEMBERS))
+    for r in (*rows, cls):
+        np.add.at(total, r, grad.astype(float))
+        np.add.at(want[2], r, 1)
+    want[1] += (total * total).mean(1)
+    want[0] -= maxent.RATE * total / np.sqrt(want[1])[:, None]
+    maxent._step(*got, rows, grad)
+    maxent._class_biases(*got, cls, grad)
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-5)
